@@ -97,7 +97,7 @@ def keyword_pattern(keywords: Iterable[str]) -> str:
 
 # -------------------------------------------------------------- rule registry
 
-# rule -> (label of the pattern, pattern).  `ip` has two written forms.
+# rule -> its patterns.  `ip` has two written forms.
 PATTERNS: dict[str, tuple[str, ...]] = {
     "email": (C.EMAIL_PATTERN,),
     "phone": (C.PHONE_PATTERN,),
@@ -140,10 +140,13 @@ def has_digit(text: Column) -> Column:
     return text.rlike(C.DIGIT)
 
 
+def has_long_token(text: Column) -> Column:
+    """A token long enough to pass the entropy limit."""
+    return text.rlike(C.LONG_TOKEN_PATTERN)
+
+
 def may_match(text: Column, pattern: str) -> Column:
     """Cheap necessary condition for ``pattern``."""
-    if pattern == C.TOKEN_PATTERN:
-        return text.rlike(C.LONG_TOKEN_PATTERN)
     hints = HINTS.get(pattern)
     if not hints:
         return text.isNotNull()
@@ -161,6 +164,11 @@ def pattern_matches(text: Column, pattern: str) -> Column:
     ).otherwise(no_strings())
 
 
+def tokens(text: Column) -> Column:
+    """White-space-free tokens that are long enough to be looked at."""
+    return F.regexp_extract_all(text, F.lit(C.TOKEN_PATTERN), F.lit(0))
+
+
 def sentences(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(C.SENTENCE_PATTERN), F.lit(0))
 
@@ -179,6 +187,8 @@ def matches(text: Column, rule: str, rules: RuleSet | None = None) -> Column:
     out = F.filter(out, check) if check else out
     if rule in NUMERIC_RULES:
         out = F.when(has_digit(text), out).otherwise(no_strings())
+    if rule == "high_entropy":
+        out = F.when(has_long_token(text), out).otherwise(no_strings())
     return out
 
 

@@ -25,9 +25,13 @@ def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN_TYPE}>")
 
 
-def _span(s: Column, e: Column, prio: int, rule: str) -> Column:
-    return F.struct(
-        s.alias("s"), e.alias("e"), F.lit(prio).alias("prio"), F.lit(rule).alias("rule")
+def _no_steps() -> Column:
+    return F.array().cast("array<struct<gap:int,len:int,ok:boolean>>")
+
+
+def _no_entries() -> Column:
+    return F.array().cast(
+        "array<struct<prio:int,rule:string,steps:array<struct<gap:int,len:int,ok:boolean>>>>"
     )
 
 
@@ -59,81 +63,89 @@ def _push(state: Column, span: Column) -> Column:
     return F.concat(state["out"], F.array(span))
 
 
-def pattern_spans(
-    text: Column, pattern: str, prio: int, rule: str,
-    check: Callable[[Column], Column] | None = None,
+def _located(prio: int, rule: str, steps: Column) -> Column:
+    """Candidates of one pattern as distances: the gap before each, its length, its verdict."""
+    return F.struct(
+        F.lit(prio).alias("prio"), F.lit(rule).alias("rule"), steps.alias("steps")
+    )
+
+
+def pattern_steps(
+    text: Column, pattern: str, check: Callable[[Column], Column] | None = None,
 ) -> Column:
-    """Offsets of all matches of one pattern that cannot match the empty string.
+    """Distances of all matches of one pattern that cannot match the empty string.
 
     The pieces between matches (``split``) and the matches themselves alternate, so
     their lengths add up to offsets.  Rows without a match never reach the split.
     """
 
-    def locate(found: Column) -> Column:
+    def measure(found: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-        steps = F.zip_with(gaps, found, lambda g, m: F.struct(
+        return F.zip_with(gaps, found, lambda g, m: F.struct(
             F.length(g).alias("gap"), F.length(m).alias("len"),
             (check(m) if check else F.lit(True)).alias("ok"),
         ))
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + x["gap"]
-            end = start + x["len"]
-            return _state(end, F.when(
-                x["ok"], _push(acc, _span(start, end, prio, rule))
-            ).otherwise(acc["out"]))
-
-        return let(steps, lambda st: _fold(st, step))
-
     def usable(found: Column) -> Column:
         return F.exists(found, check) if check else F.size(found) > 0
 
     return let(
         detect.pattern_matches(text, pattern),
-        lambda found: F.when(usable(found), locate(found)).otherwise(no_spans()),
+        lambda found: F.when(usable(found), measure(found)).otherwise(_no_steps()),
     )
 
 
-def sentence_spans(text: Column, words: str, prio: int) -> Column:
-    """Sentences holding a keyword.  They touch, so lengths alone give offsets."""
-
-    def step(acc: Column, sent: Column) -> Column:
-        end = acc["at"] + F.length(sent)
-        return _state(end, F.when(
-            sent.rlike(words), _push(acc, _span(acc["at"], end, prio, "confidential"))
-        ).otherwise(acc["out"]))
-
+def sentence_steps(text: Column, words: str) -> Column:
+    """Distances of sentences; they touch, so there are no gaps."""
     return F.when(
         text.rlike(words),
-        let(detect.sentences(text), lambda ss: _fold(ss, step)),
-    ).otherwise(no_spans())
+        F.transform(detect.sentences(text), lambda x: F.struct(
+            F.lit(0).alias("gap"), F.length(x).alias("len"), x.rlike(words).alias("ok"),
+        )),
+    ).otherwise(_no_steps())
 
 
-def rule_spans(text: Column, rule: str, rules: RuleSet) -> Column:
-    """All spans of one rule, left to right (an ``ip`` form each, concatenated)."""
+def rule_steps(text: Column, rule: str, rules: RuleSet) -> list[Column]:
+    """One located entry per written form of the rule."""
     prio = rules.priority(rule)
     if rule == "confidential":
-        return sentence_spans(text, detect.keyword_pattern(rules.keywords), prio)
-    parts = [
-        pattern_spans(text, p, prio, rule, detect.CHECKS.get(rule))
-        for p in detect.PATTERNS[rule]
-    ]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+        return [_located(prio, rule, sentence_steps(text, detect.keyword_pattern(rules.keywords)))]
+    check = detect.CHECKS.get(rule)
+    steps = [pattern_steps(text, p, check) for p in detect.PATTERNS[rule]]
+    if rule == "high_entropy":
+        steps = [F.when(detect.has_long_token(text), st).otherwise(_no_steps()) for st in steps]
+    return [_located(prio, rule, st) for st in steps]
 
 
 def all_spans(text: Column, rules: RuleSet) -> Column:
-    """Union of the chosen rules' spans; overlaps are still in.
+    """Union of the chosen rules' spans, each left to right; overlaps are still in.
 
     Rules that need a digit share one look for it.
     """
-    numeric = [r for r in rules.rules if r in detect.NUMERIC_RULES]
-    spans = [rule_spans(text, r, rules) for r in rules.rules if r not in numeric]
+    entries, numeric = [], []
+    for r in rules.rules:
+        (numeric if r in detect.NUMERIC_RULES else entries).extend(rule_steps(text, r, rules))
+    located = F.array(*entries) if entries else _no_entries()
     if numeric:
-        spans.append(F.when(
-            detect.has_digit(text),
-            F.concat(*[rule_spans(text, r, rules) for r in numeric], no_spans()),
-        ).otherwise(no_spans()))
-    return F.concat(*spans, no_spans())
+        located = F.concat(located, F.when(
+            detect.has_digit(text), F.array(*numeric)
+        ).otherwise(_no_entries()))
+
+    def spans(entry: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            end = start + x["len"]
+            span = F.struct(
+                start.alias("s"), end.alias("e"),
+                entry["prio"].alias("prio"), entry["rule"].alias("rule"),
+            )
+            return _state(end, F.when(x["ok"], _push(acc, span)).otherwise(acc["out"]))
+
+        return _fold(entry["steps"], step)
+
+    return F.flatten(F.transform(
+        F.filter(located, lambda e: F.size(e["steps"]) > 0), spans
+    ))
 
 
 def resolve(spans: Column) -> Column:
