@@ -194,13 +194,13 @@ def redact_spans(text: Column, spans: Column) -> Column:
         return let(F.struct(part.alias("part"), base.alias("base")), lambda v: let(
             F.substring(
                 text, v["base"] + 1,
-                F.element_at(v["part"], -1)["e"] - v["base"],
+                F.try_element_at(v["part"], F.lit(-1))["e"] - v["base"],
             ),
             lambda chunk: pieces(chunk, v["base"], v["part"]),
         ))
 
     blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int"))
-    tail = F.substring(text, F.element_at(spans, -1)["e"] + 1, F.length(text))
+    tail = F.substring(text, F.try_element_at(spans, F.lit(-1))["e"] + 1, F.length(text))
     return F.when(F.size(spans) == 0, text).otherwise(
         F.concat(F.array_join(F.transform(blocks, block), ""), tail)
     )

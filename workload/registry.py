@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from workload import text_oracles, text_queries
+from workload import metadata_oracles, metadata_queries, text_oracles, text_queries
 
 
 def queries():
-    return dict(text_queries.QUERIES)
+    return {**text_queries.QUERIES, **metadata_queries.QUERIES}
 
 
 def oracles():
-    return dict(text_oracles.ORACLES)
+    return {**text_oracles.ORACLES, **metadata_oracles.ORACLES}
