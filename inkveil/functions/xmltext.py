@@ -39,9 +39,10 @@ def xml_error(xml: Column) -> Column:
     )
 
 
-def escape(text: Column) -> Column:
-    """Text as XML character data or attribute value."""
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+def escape(text: Column, quotes: bool = False) -> Column:
+    """Text as XML character data, with ``quotes`` also as an attribute value."""
+    pairs = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")] + ([('"', "&quot;")] if quotes else [])
+    for raw, safe in pairs:
         text = F.replace(text, F.lit(raw), F.lit(safe))
     return text
 
@@ -100,3 +101,54 @@ def drop_relationship(xml: Column, rel_id: Column) -> Column:
 def text_runs(xml: Column) -> Column:
     """All run texts (local name ``t``) in document order; needs a well-formed part."""
     return F.xpath(xml, F.lit("//*[local-name()='t']/text()"))
+
+
+_RUN = rf"(<{_PREFIX}t(?:{_ATTR})*+\s*+>)([^<]++)(</{_PREFIX}t\s*+>)"
+_CDATA = r"(?s)(<!\[CDATA\[)(.*?)(\]\]>)"
+
+
+def unescape(text: Column) -> Column:
+    """Character data -> text.  Numeric references are left to the XML parser."""
+    plain = text
+    for safe, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(safe), F.lit(raw))
+    return F.when(
+        text.contains("&#"), F.xpath_string(F.concat(F.lit("<t>"), text, F.lit("</t>")), F.lit("/t"))
+    ).otherwise(plain)
+
+
+def _groups(xml: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract_all(xml, F.lit(pattern), F.lit(group))
+
+
+def _interleave(xml: Column, pattern: str, pieces: Column) -> Column:
+    """``xml`` with its matches of ``pattern`` replaced, in order, by ``pieces``."""
+    gaps = F.split(xml, pattern, -1)
+    return F.array_join(F.zip_with(
+        gaps, pieces, lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
+
+
+def plain_runs(xml: Column) -> Column:
+    """Marked sections become ordinary text and comments go, so that runs hold text only."""
+    text = F.when(
+        xml.contains("<![CDATA["),
+        _interleave(xml, _CDATA, F.transform(_groups(xml, _CDATA, 2), lambda t: escape(t))),
+    ).otherwise(xml)
+    return F.when(
+        text.contains("<!--"), F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    ).otherwise(text)
+
+
+def run_texts(xml: Column) -> Column:
+    """Texts of all runs, document order; ``xml`` comes from ``plain_runs``."""
+    return F.transform(_groups(xml, _RUN, 2), unescape)
+
+
+def replace_runs(xml: Column, old: Column, new: Column) -> Column:
+    """Put the ``new`` texts in place; tags, unchanged texts and all between keep their bytes."""
+    runs = F.arrays_zip(
+        _groups(xml, _RUN, 1).alias("open"), _groups(xml, _RUN, 2).alias("raw"),
+        _groups(xml, _RUN, 3).alias("close"), old.alias("old"), new.alias("new"))
+    pieces = F.transform(runs, lambda r: F.concat(
+        r["open"], F.when(r["old"] == r["new"], r["raw"]).otherwise(escape(r["new"])), r["close"]))
+    return _interleave(xml, _RUN, pieces)

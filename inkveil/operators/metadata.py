@@ -227,13 +227,13 @@ def _look_up(rows: DataFrame, left: str, right: str, surface: str, key: Column)
 def inventory(
     parts: DataFrame, surfaces: Iterable[str] = SURFACES, materialise: bool = False,
 ) -> DataFrame:
-    """Metadata of all packages as key/value rows.
+    """Metadata of all packages as key/value rows; ``parts`` went through ``check_parts``.
 
     ``materialise`` checkpoints the extracted rows before the look-ups read them again,
     so a large corpus is parsed once (see ``session.ensure_checkpoint_dir``).
     """
     surfaces = tuple(surfaces)
-    rows = part_rows(check_parts(_only(parts, surfaces)))
+    rows = part_rows(_only(parts, surfaces))
     if materialise:
         rows = rows.checkpoint()
     pieces = []

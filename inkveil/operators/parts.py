@@ -105,8 +105,9 @@ def scrubbed(part: Column, kind: Column, xml: Column, categories: Iterable[str])
 def scrub(parts: DataFrame, categories: Iterable[str] = C.CATEGORIES) -> DataFrame:
     """Part-level strip; parts with an error are passed on unchanged.
 
-    The relationship of a removed template goes with it.  It sits in another part of
-    the same package, so its id comes by a join on (path, part).
+    The relationship of a removed template goes with it.  Its id stands in another part
+    of the same package, so that one kind of part is joined on its path; the other parts
+    are edited where they are, without a shuffle.
     """
     categories = tuple(categories)
     ok = F.col("error").isNull()
@@ -119,12 +120,12 @@ def scrub(parts: DataFrame, categories: Iterable[str] = C.CATEGORIES) -> DataFra
     )["attachedTemplate"]["_id"]
     refs = (
         parts.filter(F.col("part") == "word/settings.xml")
-        .select("path", F.lit("word/_rels/settings.xml.rels").alias("part"), rid.alias("_rid"))
-        .filter(F.col("_rid") != "")
+        .select("path", rid.alias("_rid")).filter(F.col("_rid") != "")
     )
-    return parts.join(refs, ["path", "part"], "left").withColumn(
-        "xml", F.when(ok, X.drop_relationship(new, F.col("_rid"))).otherwise(F.col("xml"))
-    ).select(*parts.columns)
+    is_rels = F.col("part").eqNullSafe(F.lit("word/_rels/settings.xml.rels"))
+    rels = parts.filter(is_rels).join(refs, "path", "left").withColumn(
+        "xml", F.when(ok, X.drop_relationship(F.col("xml"), F.col("_rid"))).otherwise(F.col("xml")))
+    return parts.filter(~is_rels).withColumn("xml", new).unionByName(rels.select(*parts.columns))
 
 
 def substitute(parts: DataFrame, replacements: DataFrame) -> DataFrame:

@@ -240,7 +240,8 @@ ORACLES: dict[str, str] = {
         f"WHEN value IS NULL OR value = '0' THEN value ELSE '1' END AS value FROM ({CORE}) "
         f"WHERE key IN ('title', 'creator', 'author', 'revision', 'created')"),
     "scrub_workbook_part": (
-        "SELECT 'x' AS surface, count(*) AS n FROM part WHERE p_partkey < 0 GROUP BY 1"),
+        f"SELECT {BOOK_PATH} AS path, 'Data:-,' || p_brand || ':visible' AS sheets, "
+        f"false AS has_names FROM part"),
     "content_preserved": (
         f"SELECT {TURN_PATH} AS path, sha256(coalesce(string_agg(line, chr(10) ORDER BY i0) "
         f"FILTER (WHERE line <> ''), '')) AS digest, true AS preserved FROM {LINES} GROUP BY conv_id, turn"),

@@ -15,7 +15,7 @@ from workload import planted_parts as PP
 
 
 def _meta(parts: DataFrame, *surfaces: str) -> DataFrame:
-    return metadata.inventory(parts, surfaces).select(
+    return metadata.inventory(metadata.check_parts(parts), surfaces).select(
         "path", "surface", "key", F.col("ordinal").cast("bigint").alias("ordinal"), "value")
 
 
@@ -47,7 +47,8 @@ def meta_tracked_changes(spark, folder):
 
 def distinct_authors(spark, folder):
     """Distinct tracked-change authors of the whole corpus with their package counts."""
-    meta = metadata.inventory(spread(PP.body(spark, folder)), ["tracked_changes"])
+    meta = metadata.inventory(
+        metadata.check_parts(spread(PP.body(spark, folder))), ["tracked_changes"])
     return meta.filter("key = 'author'").groupBy("value").agg(F.count("*").alias("packages"))
 
 
@@ -110,7 +111,7 @@ def _all_parts(spark, folder) -> DataFrame:
 def meta_inventory(spark, folder):
     """All surfaces of all packages: rows and distinct values per surface and key."""
     ensure_checkpoint_dir(spark, "/tmp/inkveil-checkpoints")
-    meta = metadata.inventory(_all_parts(spark, folder), materialise=True)
+    meta = metadata.inventory(metadata.check_parts(_all_parts(spark, folder)), materialise=True)
     return meta.groupBy("kind", "surface").agg(
         F.count("*").alias("n"), F.count_distinct("path").alias("packages"),
         F.count("value").alias("with_value"))
@@ -190,14 +191,14 @@ def uncovered_keys(spark, folder):
 
 def package_strip(spark, folder):
     """Default policy over package metadata (core properties), dates and software only."""
-    meta = metadata.inventory(PP.core(spark, folder), ["core"])
+    meta = metadata.inventory(metadata.check_parts(PP.core(spark, folder)), ["core"])
     pol = PO.policy_frame(spark, DEFAULT_POLICY, ["dates", "software"])
     return PO.strip(meta, pol).select("path", "key", "value")
 
 
 def package_strip_legacy(spark, folder):
     """The same fields under the gate that clears core properties as a whole."""
-    meta = metadata.inventory(PP.core(spark, folder), ["core"])
+    meta = metadata.inventory(metadata.check_parts(PP.core(spark, folder)), ["core"])
     pol = PO.policy_frame(spark, legacy_gate(), ["author"])
     return PO.strip(meta, pol).select("path", "key", "value")
 
@@ -254,9 +255,13 @@ def scrub_core_part(spark, folder):
 
 
 def scrub_workbook_part(spark, folder):
+    """Sheet states and defined names read back after the scrub."""
     parts = PT.scrub(metadata.check_parts(PP.workbook(spark, folder)))
-    return metadata.inventory(parts, ["hidden_sheets", "defined_names"]).groupBy("surface").agg(
-        F.count("*").alias("n"))
+    x = F.from_xml("xml", "sheets struct<sheet:array<struct<_name:string,_state:string>>>, "
+                   "definedNames string", {"ignoreNamespace": "true"})
+    return parts.select("path", x.alias("x")).select(
+        "path", F.array_join(F.expr("transform(x.sheets.sheet, s -> concat(s._name, ':', coalesce(s._state, '-')))"), ",").alias("sheets"),
+        F.col("x.definedNames").isNotNull().alias("has_names"))
 
 
 def content_preserved(spark, folder):

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from workload import metadata_oracles, metadata_queries, text_oracles, text_queries
+from workload import (
+    batch_oracles,
+    batch_queries,
+    metadata_oracles,
+    metadata_queries,
+    text_oracles,
+    text_queries,
+)
 
 
 def queries():
-    return {**text_queries.QUERIES, **metadata_queries.QUERIES}
+    return {**text_queries.QUERIES, **metadata_queries.QUERIES, **batch_queries.QUERIES}
 
 
 def oracles():
-    return {**text_oracles.ORACLES, **metadata_oracles.ORACLES}
+    return {**text_oracles.ORACLES, **metadata_oracles.ORACLES, **batch_oracles.ORACLES}
