@@ -25,18 +25,21 @@ DEFAULT_RULES = (
 # Character classes.  Text rules are Unicode-aware: a word
 # character is any letter, any number or the underscore, a digit is any decimal
 # digit, white space is the Unicode set plus the four ASCII separators.  They
-# are spelled out so that results do not depend on the JDK's meaning of \b.
+# are spelled out so that results do not depend on the JDK's meaning of \b.  U+10000 is
+# a letter like others; written out it makes the JDK's look-behind step over whole code
+# points instead of half a surrogate pair.
 # --------------------------------------------------------------------------
 
-WORD = r"[\p{L}\p{N}_]"
+WORD_CHARS = "\\p{L}\\p{N}_\U00010000"
+WORD = f"[{WORD_CHARS}]"
 DIGIT = r"\p{Nd}"
 SPACE_CHARS = (
     r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Zero-width word boundary (a pattern may open with a plain look-ahead on its
-# first characters: same matches, and most positions fail on the cheap test); START / STOP are the cheaper halves for use next to
-# a character that is known to be a word character.
+# Zero-width word boundary; START / STOP are the cheaper halves for use next to a
+# character that is known to be a word character.  A pattern may open with a plain
+# look-ahead on its first characters: same matches, but most positions fail cheaply.
 START = rf"(?<!{WORD})"
 STOP = rf"(?!{WORD})"
 EDGE = rf"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
@@ -64,7 +67,7 @@ IPV4_PATTERN = rf"(?={DIGIT}){START}(?:{OCTET}\.){{3}}{OCTET}{STOP}"
 # Longest written form first; "::" may open or close an address.
 HEXTET = "[A-Fa-f0-9]{1,4}"
 IPV6_PATTERN = (
-    rf"(?=[A-Fa-f0-9]{{0,4}}:)(?<![\p{{L}}\p{{N}}_:])(?:"
+    rf"(?=[A-Fa-f0-9]{{0,4}}:)(?<![{WORD_CHARS}:])(?:"
     rf"[Ff][Ee]80:(?::{HEXTET}){{0,4}}%[0-9a-zA-Z]+"
     rf"|(?:{HEXTET}:){{7}}{HEXTET}(?!\.{DIGIT})"
     rf"|(?:{HEXTET}:){{1,1}}(?::{HEXTET}){{1,6}}(?!\.{DIGIT})"

@@ -209,8 +209,9 @@ def part_rows(parts: DataFrame) -> DataFrame:
     arms = " ".join(f"WHEN {cond} THEN {rows}" for cond, rows in _ROWS)
     return (
         parts.select("path", "kind", "part", "ordinal", xml.alias("xml"), "error", *parsed)
-        .filter("error IS NULL")
-        .select("path", "kind", F.inline(F.expr(f"CASE {arms} END")))
+        .select("path", "kind", F.inline_outer(F.expr(
+            f"CASE WHEN error IS NOT NULL THEN NULL {arms} END")))
+        .filter("surface IS NOT NULL")
     )
 
 

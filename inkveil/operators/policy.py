@@ -31,10 +31,9 @@ def policy_frame(
         rows, "kind string, surface string, key string, category string, action string")
 
 
-def _join(meta: DataFrame, policy: DataFrame, on: list[str], max_rows: int) -> DataFrame:
-    small = small_side(policy, max_rows)
-    if small is not None:
-        return meta.join(small, on, "left")
+def _join(meta: DataFrame, policy: DataFrame, on: list[str], small: bool) -> DataFrame:
+    if small:
+        return meta.join(F.broadcast(policy), on, "left")
     spread_out = policy.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = meta.withColumn(
         "_salt", F.pmod(F.xxhash64("path", "ordinal"), F.lit(SALTS)).cast("int"))
@@ -48,8 +47,9 @@ def with_action(
     exact = policy.filter(F.col("key") != ANY)
     whole = policy.filter(F.col("key") == ANY).select(
         "kind", "surface", F.col("category").alias("_category"), F.col("action").alias("_action"))
-    joined = _join(meta, exact, ["kind", "surface", "key"], max_rows)
-    joined = _join(joined, whole, ["kind", "surface"], max_rows)
+    small = small_side(policy, max_rows) is not None
+    joined = _join(meta, exact, ["kind", "surface", "key"], small)
+    joined = _join(joined, whole, ["kind", "surface"], small)
     return joined.select(
         *meta.columns,
         F.coalesce("category", "_category").alias("category"),
@@ -106,13 +106,6 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, keys, "full_outer").select(*keys, "old_value", "new_value", status.alias("status"))
 
 
-def _covered(meta: DataFrame, policy: DataFrame, how: str, max_rows: int) -> DataFrame:
-    """Semi or anti join with exact and whole-surface policy rows."""
-    if how == "semi":
-        return with_action(meta, policy, max_rows).filter("action IS NOT NULL").select(*meta.columns)
-    return with_action(meta, policy, max_rows).filter("action IS NULL").select(*meta.columns)
-
-
 def residual_metadata(
     after: DataFrame, policy: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
 ) -> DataFrame:
@@ -128,6 +121,6 @@ def uncovered_keys(
     meta: DataFrame, policy: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
 ) -> DataFrame:
     """Keys with values that no policy row covers, with their row counts."""
-    free = _covered(meta, policy, "anti", max_rows)
+    free = with_action(meta, policy, max_rows).filter("action IS NULL")
     return free.filter(F.col("value") != "").groupBy("kind", "surface", "key").agg(
         F.count("*").alias("n"))

@@ -48,8 +48,12 @@ def redact_columns(df: DataFrame, columns: Iterable[str], rules: RuleSet) -> Dat
 
 
 def explode_spans(df: DataFrame, keys: list[str], spans: str = "spans") -> DataFrame:
-    """One row per span."""
-    return df.select(*keys, F.explode(spans).alias("_x")).select(
+    """One row per span.
+
+    The outer form plus a filter on its result: the plain form would let the optimiser
+    copy the whole span expression into a size filter and scan every text again.
+    """
+    return df.select(*keys, F.explode_outer(spans).alias("_x")).filter("_x IS NOT NULL").select(
         *keys,
         F.col("_x.rule").alias("rule"),
         F.col("_x.s").cast("bigint").alias("s"),

@@ -18,7 +18,8 @@ def counts_by_row(df: DataFrame, column: str, rules: RuleSet, keys: list[str]) -
     """Long form ``(keys…, rule, n)``; rows without a span disappear."""
     return (
         scan(df, column, rules, "_spans")
-        .select(*keys, F.explode(S.count_spans(F.col("_spans"), rules)).alias("rule", "n"))
+        .select(*keys, F.explode_outer(S.count_spans(F.col("_spans"), rules)).alias("rule", "n"))
+        .filter("rule IS NOT NULL")
     )
 
 

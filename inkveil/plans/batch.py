@@ -8,7 +8,7 @@ projection, so it needs no shuffle and runs on a stream as well.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,17 +108,81 @@ def preview(df: DataFrame, n: int, config: AnonymiseConfig, **kwargs) -> DataFra
 
 # --------------------------------------------------------- office packages
 
-@dataclass(frozen=True)
 class PackageRun:
-    """What a run over packages yields; every field is a lazy DataFrame."""
+    """Results of a run over packages; each one is a lazy DataFrame, planned on demand.
 
-    parts: DataFrame        # cleaned parts, original order
-    before: DataFrame       # metadata rows as found
-    removed: DataFrame      # values that the policy cleared
-    after: DataFrame        # metadata rows read back from the cleaned parts
-    counts: DataFrame       # (path, rule, n)
-    errors: DataFrame       # (path, part, error)
-    results: DataFrame      # one row per package
+    ``parts`` is a stored table that went through ``metadata.check_parts``: several
+    results are read from it, and its error column alone tells the failed packages.  A
+    package with an unreadable part is reported and left out of the cleaned parts.
+    """
+
+    def __init__(
+        self, parts: DataFrame, config: AnonymiseConfig, key: DataFrame | None = None,
+        policy: tuple[PolicyRow, ...] | None = None,
+    ):
+        self._parts, self._config, self._key = parts, config, key
+        self._policy = policy or (legacy_gate() if config.legacy_gate else DEFAULT_POLICY)
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        """``(path, part, error)``"""
+        return part_errors(self._parts)
+
+    @cached_property
+    def _good(self) -> DataFrame:
+        bad = self.errors.select("path").distinct()
+        few = small_side(bad)
+        return self._parts.join(bad if few is None else few, "path", "left_anti")
+
+    @cached_property
+    def before(self) -> DataFrame:
+        """Metadata rows as found."""
+        return metadata.inventory(self._good)
+
+    @cached_property
+    def removed(self) -> DataFrame:
+        """Values that the policy clears."""
+        rows = PO.policy_frame(self._parts.sparkSession, self._policy, self._config.categories)
+        return PO.removed_report(PO.plan_strip(self.before, rows))
+
+    @cached_property
+    def _edited(self) -> DataFrame:
+        return edit_body(PT.scrub(self._good, self._config.categories), self._config, self._key)
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        """Cleaned parts; ``sources.packages.zip_parts`` makes packages of them."""
+        return self._edited.drop("counts")
+
+    @cached_property
+    def after(self) -> DataFrame:
+        """Metadata rows read back from the cleaned parts."""
+        return metadata.inventory(self.parts)
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """``(path, rule, n)``"""
+        return reports.merge_counts(
+            self._edited.select("path", F.explode_outer("counts").alias("rule", "n"))
+            .filter("rule IS NOT NULL"), ["path"])
+
+    @cached_property
+    def results(self) -> DataFrame:
+        """One row per package."""
+        failed = self.errors.groupBy("path").agg(F.min("error").alias("error"))
+        totals = self.counts.groupBy("path").agg(F.sum("n").alias("redactions"))
+        name, ok = display.base_name(F.col("path")), F.col("error").isNull()
+        encrypting = self._config.encrypt and self._key is not None
+        output = display.encrypted_name(name) if encrypting else display.cleaned_name(name)
+        return (
+            self._parts.select("path").distinct()
+            .join(failed, "path", "left").join(totals, "path", "left")
+            .select(
+                "path", name.alias("file"), ok.alias("success"),
+                F.when(ok, output).alias("output_path"),
+                F.when(ok, F.coalesce("redactions", F.lit(0).cast("bigint"))).alias("redactions"),
+                "error")
+        )
 
 
 def edit_body(
@@ -155,40 +219,5 @@ def anonymise_packages(
     parts: DataFrame, config: AnonymiseConfig, key: DataFrame | None = None,
     policy: tuple[PolicyRow, ...] | None = None,
 ) -> PackageRun:
-    """All steps over the parts of many packages.
-
-    ``parts`` is a stored table that went through ``metadata.check_parts``: several
-    results are read from it, and its error column alone tells the failed packages.  A
-    package with an unreadable part is reported and left out of the cleaned parts.
-    """
-    spark = parts.sparkSession
-    rows = policy or (legacy_gate() if config.legacy_gate else DEFAULT_POLICY)
-    errors = part_errors(parts)
-    failed = errors.groupBy("path").agg(F.min("error").alias("_failure"))
-    bad = errors.select("path").distinct()
-    few = small_side(bad)
-    good = parts.join(bad if few is None else few, "path", "left_anti")
-    before = metadata.inventory(good)
-    planned = PO.plan_strip(before, PO.policy_frame(spark, rows, config.categories))
-    edited = edit_body(PT.scrub(good, config.categories), config, key)
-    cleaned = edited.drop("counts")
-    counts = reports.merge_counts(
-        edited.select("path", F.explode("counts").alias("rule", "n")), ["path"])
-    totals = counts.groupBy("path").agg(F.sum("n").alias("redactions"))
-    name = display.base_name(F.col("path"))
-    encrypting = config.encrypt and key is not None
-    results = (
-        parts.select("path", "kind").distinct()
-        .join(failed, "path", "left").join(totals, "path", "left")
-        .select(
-            "path", name.alias("file"), F.col("_failure").isNull().alias("success"),
-            F.when(F.col("_failure").isNull(), (
-                display.encrypted_name(name) if encrypting else display.cleaned_name(name)
-            )).alias("output_path"),
-            F.when(F.col("_failure").isNull(), F.coalesce("redactions", F.lit(0).cast("bigint"))).alias("redactions"),
-            F.col("_failure").alias("error"),
-        )
-    )
-    return PackageRun(
-        parts=cleaned, before=before, removed=PO.removed_report(planned),
-        after=metadata.inventory(cleaned), counts=counts, errors=errors, results=results)
+    """All steps over the parts of many packages."""
+    return PackageRun(parts, config, key, policy)

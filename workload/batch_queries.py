@@ -100,7 +100,7 @@ PACKAGE_RULES = rule_set(C.RULE_ORDER, keywords=("that", "les", "der"))
 
 
 def _package_run(spark, folder) -> batch.PackageRun:
-    parts = metadata.check_parts(spread(PP.body(spark, folder)).unionByName(
+    parts = metadata.check_parts(PP.body(spark, folder).unionByName(
         PP.comments(spark, folder).withColumn("ordinal", F.lit(1))))
     return batch.anonymise_packages(parts, AnonymiseConfig(rules=PACKAGE_RULES))
 

@@ -30,25 +30,25 @@ def meta_app_fields(spark, folder):
 
 
 def meta_comment_authors(spark, folder):
-    return _meta(spread(PP.comments(spark, folder)), "comments").filter("key = 'author'")
+    return _meta(PP.comments(spark, folder), "comments").filter("key = 'author'")
 
 
 def comment_author_list(spark, folder):
     """Authors of a part with duplicates, document order, as one display line."""
-    parts = metadata.check_parts(spread(PP.comments(spark, folder)))
+    parts = metadata.check_parts(PP.comments(spark, folder))
     xml = F.when(F.col("error").isNull(), F.col("xml"))
     authors = F.xpath(xml, F.lit("//*[local-name()='comment']/@*[local-name()='author']"))
     return parts.select("path", F.array_join(F.filter(authors, lambda a: a != ""), ", ").alias("authors"))
 
 
 def meta_tracked_changes(spark, folder):
-    return _meta(spread(PP.body(spark, folder)), "tracked_changes")
+    return _meta(PP.body(spark, folder), "tracked_changes")
 
 
 def distinct_authors(spark, folder):
     """Distinct tracked-change authors of the whole corpus with their package counts."""
     meta = metadata.inventory(
-        metadata.check_parts(spread(PP.body(spark, folder))), ["tracked_changes"])
+        metadata.check_parts(PP.body(spark, folder)), ["tracked_changes"])
     return meta.filter("key = 'author'").groupBy("value").agg(F.count("*").alias("packages"))
 
 
@@ -211,7 +211,7 @@ def body_parts(spark, folder):
 
 
 def part_text_runs(spark, folder):
-    parts = metadata.check_parts(spread(PP.body(spark, folder)))
+    parts = metadata.check_parts(PP.body(spark, folder))
     return PT.text_runs(parts).select(
         "path", F.col("run_no").cast("bigint").alias("run_no"), "text")
 
@@ -229,7 +229,7 @@ def part_substitution(spark, folder):
 
 def scrub_comments_part(spark, folder):
     """Comment attributes read back after the part text was scrubbed."""
-    parts = PT.scrub(metadata.check_parts(spread(PP.comments(spark, folder))), ["author"])
+    parts = PT.scrub(metadata.check_parts(PP.comments(spark, folder)), ["author"])
     x = F.from_xml("xml", "comment array<struct<_id:bigint,_author:string,_initials:string,_date:string>>",
                    {"ignoreNamespace": "true"})
     return parts.select("path", F.inline(x["comment"])).select(
@@ -266,7 +266,7 @@ def scrub_workbook_part(spark, folder):
 
 def content_preserved(spark, folder):
     """Body text hashed before and after the strip of the same part."""
-    parts = metadata.check_parts(spread(PP.body(spark, folder)))
+    parts = metadata.check_parts(PP.body(spark, folder))
     def digest(df):
         return df.select("path", F.sha2(F.array_join(X.text_runs(
             F.when(F.col("error").isNull(), F.col("xml"))), "\n"), 256).alias("digest"))

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions.xmltext import escape
-from inkveil.sources.tables import read_table
+from inkveil.session import spread
+from inkveil.sources import tables
 
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -22,6 +23,10 @@ CORE = ('xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-
         'xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"')
 
 
+def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    return spread(tables.read_table(spark, folder, name, *columns))
+
+
 def _part(df: DataFrame, path: str, part: str, xml: str) -> DataFrame:
     """``path`` and ``xml`` are SQL expressions; ``$name`` columns are pre-escaped."""
     return df.select(
