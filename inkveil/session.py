@@ -33,6 +33,8 @@ def spread(df: DataFrame) -> DataFrame:
     expressions on a handful of cores.  Such a scan is dealt out once, round-robin
     (no key, so no hot partition).  A scan that already fills half the slots is left
     alone, so a large table is never shuffled for this.
+
+    ``df`` is a scan or a projection of one: counting its partitions runs no job.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() * 2 <= slots:
