@@ -212,4 +212,5 @@ ENC_SUFFIX = ":ENC⧘"
 KDF_ITERATIONS = 200_000
 KEY_BYTES = 32
 SALT_BYTES = 16
+SALT_PART = "encryption_salt.bin"
 ENCRYPTABLE_KINDS = ("docx", "xlsx")

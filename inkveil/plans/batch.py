@@ -108,6 +108,18 @@ def preview(df: DataFrame, n: int, config: AnonymiseConfig, **kwargs) -> DataFra
 
 # --------------------------------------------------------- office packages
 
+def decrypt_body(parts: DataFrame, key: DataFrame) -> DataFrame:
+    """Decrypt the text runs of body parts; with a wrong key every part stays as it is."""
+    body = F.col("error").isNull() & _is_body()
+    no_texts = F.array().cast("array<string>")
+    df = parts.withColumn("_old", F.when(body, X.run_texts(F.col("xml"))).otherwise(no_texts))
+    df = df.withColumn("_key", crypto.key_of(key)).withColumn("_new", F.transform(
+        "_old", lambda t: crypto.decrypt_text(t, F.col("_key"))))
+    same = F.col("_old").eqNullSafe(F.col("_new"))
+    return df.withColumn("xml", F.when(same, F.col("xml")).otherwise(
+        X.replace_runs(F.col("xml"), F.col("_old"), F.col("_new")))).select(*parts.columns)
+
+
 class PackageRun:
     """Results of a run over packages; each one is a lazy DataFrame, planned on demand.
 
@@ -185,6 +197,11 @@ class PackageRun:
         )
 
 
+def _is_body() -> Column:
+    """Body parts of text documents and the string cells of workbooks."""
+    return PT.is_body_part(F.col("part")) | (F.col("part") == "xl/sharedStrings.xml")
+
+
 def edit_body(
     parts: DataFrame, config: AnonymiseConfig, key: DataFrame | None = None,
 ) -> DataFrame:
@@ -192,8 +209,7 @@ def edit_body(
 
     A part whose texts do not change keeps its bytes.
     """
-    body = F.col("error").isNull() & (
-        PT.is_body_part(F.col("part")) | (F.col("part") == "xl/sharedStrings.xml"))
+    body = F.col("error").isNull() & _is_body()
     charts = F.col("part").startswith(C.CHART_PART_PREFIX)
     no_texts = F.array().cast("array<string>")
     df = parts.withColumn("_xml", F.when(body, X.plain_runs(F.col("xml"))))

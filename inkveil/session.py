@@ -17,12 +17,14 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder named by the session; ``fallback`` only where none is set."""
+def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
+    """The shared folder that the session names; ``fallback`` (tests) only where none is set.
+
+    Returns None if there is no folder: callers then go on without a checkpoint.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    spark.sparkContext.setCheckpointDir(folder)
+    if folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 

@@ -15,12 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkveil import constants as C
+from inkveil.session import small_side
 from inkveil.sources.files import file_kind
 
 PART_SCHEMA = (
     "path string, kind string, part string, ordinal int, content binary, xml string, error string"
 )
-PACKAGE_SCHEMA = "path string, kind string, content binary"
+PACKAGE_SCHEMA = "path string, kind string, content binary, error string"
 
 
 @dataclass(frozen=True)
@@ -89,11 +91,19 @@ def unzip_parts(files: DataFrame, caps: Caps = Caps()) -> DataFrame:
     return files.select("path", kind.alias("kind"), "content").mapInPandas(unpack, PART_SCHEMA)
 
 
-def zip_parts(parts: DataFrame) -> DataFrame:
+def _size(parts: DataFrame):
+    """Bytes of a part as it will be written."""
+    sizes = [F.octet_length("xml")]
+    if "content" in parts.columns:
+        sizes.append(F.octet_length("content"))
+    return F.coalesce(*sizes, F.lit(0))
+
+
+def zip_parts(parts: DataFrame, caps: Caps = Caps()) -> DataFrame:
     """Part rows -> one package per path, entries in their original order.
 
-    A path's rows are the entries of one package, so the group is bounded by the caps
-    that were applied when it was unpacked.
+    One package is written by one task, so its size is checked first, on lengths alone:
+    a package beyond the cap becomes a row with an error and is never gathered.
     """
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
@@ -105,16 +115,44 @@ def zip_parts(parts: DataFrame) -> DataFrame:
                 stamp.compress_type = zipfile.ZIP_DEFLATED
                 archive.writestr(stamp, data or b"")
         first = group.iloc[0]
-        return pd.DataFrame([(first["path"], first["kind"], out.getvalue())],
-                            columns=["path", "kind", "content"])
-
-    rows = parts.filter("part IS NOT NULL").select(
-        "path", "kind", "part", "ordinal",
-        *(["content"] if "content" in parts.columns else [F.lit(None).cast("binary").alias("content")]),
-        "xml")
-    return rows.groupBy("path").applyInPandas(pack, PACKAGE_SCHEMA)
+        return pd.DataFrame([(first["path"], first["kind"], out.getvalue(), None)],
+                            columns=["path", "kind", "content", "error"])
+
+    rows = parts.filter("part IS NOT NULL")
+    over = (
+        rows.groupBy("path").agg(F.sum(_size(rows)).alias("bytes"), F.count("*").alias("entries"))
+        .filter((F.col("bytes") > caps.package_bytes) | (F.col("entries") > caps.entries))
+    )
+    few = small_side(over.select("path"))
+    fit = rows.join(over.select("path") if few is None else few, "path", "left_anti")
+    content = F.col("content") if "content" in parts.columns else F.lit(None).cast("binary")
+    packed = fit.select("path", "kind", "part", "ordinal", content.alias("content"), "xml").groupBy(
+        "path").applyInPandas(pack, PACKAGE_SCHEMA)
+    too_big = over.select(
+        "path", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("binary").alias("content"),
+        F.concat(F.lit("package larger than the cap: "), F.col("bytes").cast("string"),
+                 F.lit(" bytes")).alias("error"))
+    return packed.unionByName(too_big)
 
 
 def part_errors(parts: DataFrame) -> DataFrame:
     """The error table: packages and parts that could not be read."""
     return parts.filter("error IS NOT NULL").select("path", "part", "error")
+
+
+def add_salt(parts: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Put the run's salt into every package, ahead of its other entries."""
+    salt = parts.select("path", "kind").distinct().select(
+        "path", "kind", F.lit(C.SALT_PART).alias("part"), F.lit(-1).alias("ordinal"),
+        manifest.select("salt").scalar().alias("content"),
+        F.lit(None).cast("string").alias("xml"), F.lit(None).cast("string").alias("error"))
+    return parts.unionByName(salt.select(*parts.columns))
+
+
+def package_salts(parts: DataFrame) -> DataFrame:
+    """``(path, salt)`` of the encrypted packages; others are not in it."""
+    return parts.filter(F.col("part") == C.SALT_PART).select("path", F.col("content").alias("salt"))
+
+
+def drop_salt(parts: DataFrame) -> DataFrame:
+    return parts.filter(~F.col("part").eqNullSafe(F.lit(C.SALT_PART)))

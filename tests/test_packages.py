@@ -10,7 +10,7 @@ from inkveil.config import AnonymiseConfig, rule_set
 from inkveil.functions.crypto import key_frame
 from inkveil.functions import xmltext as X
 from inkveil.operators import metadata, parts as PT, policy as PO
-from inkveil.plans.batch import anonymise_packages
+from inkveil.plans.batch import anonymise_packages, decrypt_body
 from inkveil.plans.policies import legacy_gate
 from inkveil.sources import files, packages
 
@@ -275,6 +275,27 @@ def test_encrypted_package_reads_back(spark, parts):
     xml = _part(out.parts, "good.docx", "word/document.xml")
     assert "⧙ENC:" in xml and "Mail" not in xml and '<w:pStyle w:val="Heading1"/>' in xml
     assert out.results.filter("path = 'good.docx'").first().output_path == "good_encrypted.docx"
+    # to files and back, with the salt that travels in the package
+    key, manifest = key_frame(spark, "pw", b"0123456789abcdef")
+    out = anonymise_packages(parts, config, key)
+    packed = packages.zip_parts(packages.add_salt(out.parts, manifest))
+    again = metadata.check_parts(packages.unzip_parts(packed)).cache()
+    salts = {r.path: bytes(r.salt) for r in packages.package_salts(again).collect()}
+    assert salts == {p: b"0123456789abcdef" for p in ("good.docx", "book.XLSX", "plain.docx")}
+    right, _ = key_frame(spark, "pw", salts["good.docx"])
+    plain = decrypt_body(packages.drop_salt(again), right)
+    body = _part(plain, "good.docx", "word/document.xml")
+    assert "<w:t>Mail [REDACTED]</w:t>" in body and "⧙ENC:" not in body
+    wrong, _ = key_frame(spark, "no", salts["good.docx"])
+    assert _part(decrypt_body(again, wrong), "good.docx", "word/document.xml") == _part(
+        again, "good.docx", "word/document.xml")
+
+
+def test_oversize_package_is_an_error_row(run):
+    rows = {r.path: r for r in packages.zip_parts(
+        run.parts, packages.Caps(package_bytes=1500)).collect()}
+    assert rows["plain.docx"].error is None and rows["plain.docx"].content
+    assert rows["good.docx"].content is None and "larger" in rows["good.docx"].error
 
 
 def test_text_runs_are_units(parts):

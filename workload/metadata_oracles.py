@@ -122,6 +122,27 @@ EVERYTHING = " UNION ALL ".join((
 
 ISO = "%Y-%m-%dT%H:%M:%S"
 
+PDF_PATH = "'order-' || o_orderkey || '.pdf'"
+ANNOTATORS = "list_sort(['user' || o_custkey, 'Zoe', 'Ann'])"
+PDF = rows(
+    "orders", PDF_PATH, "info",
+    ("'Author'", "0", "'user' || o_custkey", "true"), ("'Title'", "0", "o_orderpriority", "true"),
+    ("'Subject'", "0", "NULL", "true"), ("'Creator'", "0", "'Writer'", "true"),
+    ("'Producer'", "0", "''", "true"), ("'Keywords'", "0", "o_orderstatus", "true"),
+    ("'CreationDate'", "0", "strftime(o_orderdate, '%Y%m%d')", "true"), ("'ModDate'", "0", "NULL", "true"),
+) + " UNION ALL " + rows("orders", PDF_PATH, "xmp", ("'has_xmp'", "0", "'true'", "o_orderkey % 2 = 0")
+) + " UNION ALL " + rows("orders", PDF_PATH, "form", ("'acroform'", "0", "'true'", "o_orderkey % 3 = 0")
+) + " UNION ALL " + rows(
+    "orders", PDF_PATH, "annotation", *(("'T'", str(i), f"{ANNOTATORS}[{i + 1}]", "true") for i in range(3)))
+IMAGE_PATH = "'image-' || c_custkey || '.jpg'"
+IMAGE = " UNION ALL ".join(rows("customer", IMAGE_PATH, s, *items) for s, items in {
+    "exif": [("'Artist'", "0", "c_name", "true"), ("'GPSInfo'", "0", "c_nationkey", "true")],
+    "png_text": [("'Author'", "0", "c_name", "true")],
+    "iptc": [("'Byline'", "0", "c_name", "true"), ("'2#999'", "0", "c_mktsegment", "true")],
+    "icc_profile": [("'icc_profile'", "0", "'present (' || c_custkey || ' bytes)'", "c_custkey % 2 = 0")],
+    "comment": [("'jpeg_comment'", "0", "c_mktsegment", "c_custkey % 3 = 0")],
+}.items())
+
 
 def _table(table: str, key: str, *columns: tuple[str, str, str, str]) -> str:
     return " UNION ALL ".join(
@@ -190,6 +211,11 @@ ORACLES: dict[str, str] = {
         f"count(DISTINCT path) AS packages, count(value) AS with_value "
         f"FROM ({EVERYTHING}) GROUP BY ALL"),
     "meta_unpivot": f"SELECT path, surface, key, value, value_type FROM ({META})",
+    "meta_pdf_records": PDF,
+    "meta_image_records": f"SELECT path, surface, key, value FROM ({IMAGE})",
+    "record_strip": (
+        f"SELECT path, surface, key, CASE WHEN key = 'Author' OR surface = 'annotation' THEN '' "
+        f"ELSE value END AS value FROM ({PDF})"),
     "policy_strip": _after(*ALL),
     "policy_strip_salted": _after(*ALL),
     "policy_strip_author_only": _after("author"),

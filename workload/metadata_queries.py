@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkveil import constants as C
 from inkveil.functions import xmltext as X
-from inkveil.operators import metadata, parts as PT, policy as PO, reports
+from inkveil.operators import metadata, parts as PT, policy as PO, records
 from inkveil.plans.policies import DEFAULT_POLICY, PolicyRow, legacy_gate
 from inkveil.session import ensure_checkpoint_dir, spread
 from inkveil.sources.tables import read_table
@@ -110,8 +110,8 @@ def _all_parts(spark, folder) -> DataFrame:
 
 def meta_inventory(spark, folder):
     """All surfaces of all packages: rows and distinct values per surface and key."""
-    ensure_checkpoint_dir(spark, "/tmp/inkveil-checkpoints")
-    meta = metadata.inventory(metadata.check_parts(_all_parts(spark, folder)), materialise=True)
+    stored = ensure_checkpoint_dir(spark) is not None
+    meta = metadata.inventory(metadata.check_parts(_all_parts(spark, folder)), materialise=stored)
     return meta.groupBy("kind", "surface").agg(
         F.count("*").alias("n"), F.count_distinct("path").alias("packages"),
         F.count("value").alias("with_value"))
@@ -121,6 +121,50 @@ def meta_unpivot(spark, folder):
     return TABLE_META(spark, folder).select("path", "surface", "key", "value", "value_type")
 
 
+# ------------------------------------- records of PDF and image extractors
+
+def _pdf_rows(spark, folder) -> DataFrame:
+    """What a PDF extractor returns, one record per order."""
+    df = read_table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderdate",
+                    "o_orderpriority", "o_orderstatus")
+    return records.pdf_records(df.selectExpr(
+        "concat('order-', o_orderkey, '.pdf') AS path",
+        "concat('user', o_custkey) AS Author", "o_orderpriority AS Title",
+        "CAST(NULL AS STRING) AS Subject", "'Writer' AS Creator", "'' AS Producer",
+        "o_orderstatus AS Keywords", "date_format(o_orderdate, 'yyyyMMdd') AS CreationDate",
+        "CAST(NULL AS STRING) AS ModDate", "o_orderkey % 2 = 0 AS has_xmp",
+        "o_orderkey % 3 = 0 AS acroform", "false AS has_embedded_files",
+        "array(concat('user', o_custkey), 'Zoe', 'Ann', 'Zoe') AS annotation_authors"))
+
+
+def _image_rows(spark, folder) -> DataFrame:
+    """Raw tags of an image reader, one record per customer."""
+    df = read_table(spark, folder, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return records.image_records(df.selectExpr(
+        "concat('image-', c_custkey, '.jpg') AS path",
+        "map('Artist', c_name, 'GPSInfo', CAST(c_nationkey AS STRING), 'Orientation', '1') AS exif",
+        "map('Author', c_name, 'gamma', '0.45') AS info",
+        "map('2#080', c_name, '2#999', c_mktsegment) AS iptc",
+        "CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS icc_bytes",
+        "CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS comment"))
+
+
+def meta_pdf_records(spark, folder):
+    return _pdf_rows(spark, folder).select(
+        "path", "surface", "key", F.col("ordinal").cast("bigint").alias("ordinal"), "value")
+
+
+def meta_image_records(spark, folder):
+    return _image_rows(spark, folder).select("path", "surface", "key", "value")
+
+
+def record_strip(spark, folder):
+    """Default policy over PDF and image records, author only."""
+    meta = _pdf_rows(spark, folder).unionByName(_image_rows(spark, folder))
+    pol = PO.policy_frame(spark, DEFAULT_POLICY, ["author"])
+    return PO.strip(meta, pol).select("path", "surface", "key", "value")
+
+
 # ------------------------------------------------- the same over plain tables
 
 def TABLE_META(spark, folder) -> DataFrame:
@@ -296,6 +340,9 @@ QUERIES = {
     "meta_custom_parts": meta_custom_parts,
     "meta_inventory": meta_inventory,
     "meta_unpivot": meta_unpivot,
+    "meta_pdf_records": meta_pdf_records,
+    "meta_image_records": meta_image_records,
+    "record_strip": record_strip,
     "policy_strip": _strip(),
     "policy_strip_author_only": _strip("author"),
     "policy_strip_dates_only": _strip("dates"),
