@@ -23,9 +23,6 @@ class RuleSet:
     def __bool__(self) -> bool:
         return bool(self.rules)
 
-    def priority(self, rule: str) -> int:
-        return self.rules.index(rule)
-
 
 def parse_keywords(raw: str | None) -> tuple[str, ...]:
     """Comma list -> trimmed, non-blank phrases."""
@@ -80,3 +77,4 @@ class AnonymiseConfig:
     categories: tuple[str, ...] = CATEGORIES
     encrypt: bool = False
     legacy_gate: bool = False
+    join_units: bool = False    # packages: find matches across text runs

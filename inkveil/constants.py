@@ -105,7 +105,7 @@ TOKEN_PATTERN = rf"(?=\S{{12}})[^{SPACE_CHARS}]{{12,}}"
 ENTROPY_LIMIT = 4.0
 # More than 4 bits per character takes at least 17 different characters.
 ENTROPY_MIN_CHARS = 17
-LONG_TOKEN_PATTERN = rf"(?=\S{{17}})[^{SPACE_CHARS}]{{17}}"
+LONG_TOKEN_PATTERN = rf"(?=\S{{17}})[^{SPACE_CHARS}]{{17,}}"
 
 # A sentence runs up to and including its terminator; \G keeps the scan linear
 # on a long tail that has none (sentences always touch each other).

@@ -105,26 +105,20 @@ def sentence_steps(text: Column, words: str) -> Column:
     ).otherwise(_no_steps())
 
 
-def rule_steps(text: Column, rule: str, rules: RuleSet) -> list[Column]:
-    """One located entry per written form of the rule."""
-    prio = rules.priority(rule)
-    if rule == "confidential":
-        return [_located(prio, rule, sentence_steps(text, detect.keyword_pattern(rules.keywords)))]
-    check = detect.CHECKS.get(rule)
-    steps = [pattern_steps(text, p, check) for p in detect.PATTERNS[rule]]
-    if rule == "high_entropy":
-        steps = [F.when(detect.has_long_token(text), st).otherwise(_no_steps()) for st in steps]
-    return [_located(prio, rule, st) for st in steps]
-
-
 def all_spans(text: Column, rules: RuleSet) -> Column:
     """Union of the chosen rules' spans, each left to right; overlaps are still in.
 
-    Rules that need a digit share one look for it.
+    Patterns that need a digit share one look for it.
     """
     entries, numeric = [], []
-    for r in rules.rules:
-        (numeric if r in detect.NUMERIC_RULES else entries).extend(rule_steps(text, r, rules))
+    for prio, rule in enumerate(rules.rules):
+        if rule == "confidential":
+            words = detect.keyword_pattern(rules.keywords)
+            entries.append(_located(prio, rule, sentence_steps(text, words)))
+            continue
+        for p in detect.PATTERNS[rule]:
+            group = numeric if p in detect.NUMERIC_PATTERNS else entries
+            group.append(_located(prio, rule, pattern_steps(text, p, detect.CHECKS.get(rule))))
     located = F.array(*entries) if entries else _no_entries()
     if numeric:
         located = F.concat(located, F.when(
@@ -180,12 +174,15 @@ def redact_spans(text: Column, spans: Column) -> Column:
     ``substring`` walks the text from its start, so many spans are handled block by
     block on the stretch of text that the block covers.
     """
-    label = F.lit(C.REDACTED_LABEL)
+
+    def label(span: Column) -> Column:
+        # a span without a rule is the rest of one that began in an earlier unit
+        return F.when(span["rule"].isNull(), F.lit("")).otherwise(F.lit(C.REDACTED_LABEL))
 
     def pieces(chunk: Column, base: Column, part: Column) -> Column:
         begin = lambda i: F.when(i == 0, base).otherwise(F.get(part, i - 1)["e"])
         return F.array_join(F.transform(part, lambda x, i: F.concat(
-            F.substring(chunk, begin(i) - base + 1, x["s"] - begin(i)), label
+            F.substring(chunk, begin(i) - base + 1, x["s"] - begin(i)), label(x)
         )), "")
 
     def block(b: Column) -> Column:
@@ -228,3 +225,30 @@ def redact(text: Column, rules: RuleSet) -> Column:
 def rule_counts(text: Column, rules: RuleSet) -> Column:
     """Redaction counts in one expression."""
     return let(find_spans(text, rules), lambda sp: count_spans(sp, rules))
+
+
+def joined_spans(texts: Column, rules: RuleSet) -> Column:
+    """Kept spans of an array of units, found on the units put together.
+
+    Gives one span array per unit.  A match that runs over several units appears in each
+    of them; only its first piece carries the rule, the others have none.
+    """
+    sizes = F.transform(texts, lambda t: F.length(t))
+
+    def place(acc: Column, size: Column) -> Column:
+        end = acc["at"] + size
+        unit = F.struct(acc["at"].alias("s"), end.alias("e"),
+                        F.lit(0).alias("prio"), F.lit("unit").alias("rule"))
+        return _state(end, _push(acc, unit))
+
+    def cut(spans: Column, unit: Column) -> Column:
+        inside = F.filter(spans, lambda x: (x["s"] < unit["e"]) & (x["e"] > unit["s"]))
+        return F.transform(inside, lambda x: F.struct(
+            (F.greatest(x["s"], unit["s"]) - unit["s"]).alias("s"),
+            (F.least(x["e"], unit["e"]) - unit["s"]).alias("e"),
+            x["prio"].alias("prio"),
+            F.when(x["s"] >= unit["s"], x["rule"]).alias("rule"),
+        ))
+
+    return let(find_spans(F.array_join(texts, ""), rules), lambda spans: F.transform(
+        _fold(sizes, place), lambda unit: cut(spans, unit)))

@@ -215,7 +215,11 @@ def edit_body(
     df = parts.withColumn("_xml", F.when(body, X.plain_runs(F.col("xml"))))
     df = df.withColumn("_old", F.when(body, X.run_texts(F.col("_xml"))).otherwise(no_texts))
     if config.rules:
-        df = df.withColumn("_spans", F.transform("_old", lambda t: S.find_spans(t, config.rules)))
+        if config.join_units:
+            found = S.joined_spans(F.col("_old"), config.rules)
+        else:
+            found = F.transform("_old", lambda t: S.find_spans(t, config.rules))
+        df = df.withColumn("_spans", found)
         df = df.withColumn("_new", F.zip_with("_old", "_spans", S.redact_spans))
         df = df.withColumn("counts", S.count_spans(F.flatten("_spans"), config.rules))
     else:

@@ -298,6 +298,16 @@ def test_oversize_package_is_an_error_row(run):
     assert rows["good.docx"].content is None and "larger" in rows["good.docx"].error
 
 
+def test_units_can_be_joined(parts):
+    config = AnonymiseConfig(rules=rule_set(["email", "ip"]), join_units=True)
+    out = anonymise_packages(parts, config)
+    xml = _part(out.parts, "good.docx", "word/document.xml")
+    assert "<w:t>split [REDACTED]</w:t></w:r><w:r><w:t></w:t>" in xml
+    assert "<w:t>Mail [REDACTED]</w:t>" in xml
+    counts = {r.rule: r.n for r in out.counts.filter("path = 'good.docx'").collect()}
+    assert counts == {"email": 3, "ip": 1}
+
+
 def test_text_runs_are_units(parts):
     runs = PT.text_runs(parts.filter("path = 'good.docx'")).orderBy("part", "run_no").collect()
     assert [r.text for r in runs if r.part == "word/document.xml"] == [

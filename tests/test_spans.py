@@ -79,3 +79,13 @@ def test_partitioning_does_not_matter(spark, texts):
     one = scan(df.coalesce(1), "text", ALL_RULES).collect()
     many = scan(df.repartition(7), "text", ALL_RULES).collect()
     assert sorted(one) == sorted(many)
+
+
+def test_joined_units(spark):
+    df = spark.createDataFrame([(["mail a@", "b.", "com now", "", "x 10.0.", "0.1"],), ([],)], "u array<string>")
+    rows = df.select("u", S.joined_spans(F.col("u"), ALL_RULES).alias("s")).select(
+        F.zip_with("u", "s", S.redact_spans).alias("r"),
+        S.count_spans(F.flatten("s"), ALL_RULES).alias("c")).collect()
+    assert rows[0].r == ["mail [REDACTED]", "", " now", "", "x [REDACTED]", ""]
+    assert rows[0].c == {"email": 1, "ip": 1}
+    assert rows[1].r == [] and rows[1].c == {}
