@@ -9,6 +9,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterable
+from functools import cache
 from itertools import groupby
 
 from pyspark.sql import Column
@@ -29,6 +30,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 # ------------------------------------------------------------- numeric checks
 
+@cache
 def _decimal_digits() -> tuple[str, str]:
     """All non-ASCII decimal digits and, aligned, their ASCII values."""
     marks = [
@@ -38,14 +40,11 @@ def _decimal_digits() -> tuple[str, str]:
     return "".join(marks), "".join(str(unicodedata.decimal(m)) for m in marks)
 
 
-_DIGIT_MARKS, _DIGIT_VALUES = _decimal_digits()
-
-
 def luhn_valid(value: Column) -> Column:
     """13 to 19 digits, anything else dropped, mod-10 check digit correct."""
     plain = F.when(
         value.rlike(r"[^\x00-\x7f]"),
-        F.translate(value, _DIGIT_MARKS, _DIGIT_VALUES),
+        F.translate(value, *_decimal_digits()),
     ).otherwise(value)
     digits = F.regexp_replace(plain, "[^0-9]", "")
     return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
