@@ -24,11 +24,11 @@ GOLDEN = [
     ("phone", "٠٧١٢٣٤٥٦٧٨", ["٠٧١٢٣٤٥٦٧٨"]),
     ("phone", "𝐀12345678", []),
     ("phone", "a 071 234 5678 b", ["071 234 5678"]),
-    ("nin", "NIN: 12-345678-901234-56.", ["12-345678-901234-56"]),
-    ("nin", "NIN: 12-345678-9012345-56.", ["12-345678-9012345-56"]),
-    ("nin", "NIN: 12-345678-90123456-56.", []),
-    ("credit_card", "Card 4111 1111 1111 1111 expires", ["4111 1111 1111 1111"]),
-    ("credit_card", "Card 4111-1111-1111-1112 expires", []),
+    ("nin", "Id 47-120934-558201-63.", ["47-120934-558201-63"]),
+    ("nin", "Id 47-120934-5582017-63.", ["47-120934-5582017-63"]),
+    ("nin", "Id 47-120934-55820171-63.", []),
+    ("credit_card", "Paid by 4111 1111 1111 1111 today", ["4111 1111 1111 1111"]),
+    ("credit_card", "Paid by 4111-1111-1111-1112 today", []),
     ("credit_card", "4111 1111 1111 1111 22", ["4111 1111 1111 1111"]),
     ("credit_card", "41111111111111112 4111111111111111", ["4111111111111111"]),
     ("credit_card", "٤١١١١١١١١١١١١١١١", ["٤١١١١١١١١١١١١١١١"]),
@@ -46,7 +46,7 @@ GOLDEN = [
     ("currency", "Pay USD 1,000.50 or KES5, not XUSD 4", ["USD 1,000.50", "KES5"]),
     ("currency", "Pay USD\u00a012.345", ["USD\u00a012"]),
     ("currency", "USDT 5, 5 USD.", []),
-    ("high_entropy", "Token: aB3x$K9mP2!qR7xYzLmNpQsR", ["aB3x$K9mP2!qR7xYzLmNpQsR"]),
+    ("high_entropy", "login Qw7!zX4@vB9#nM2$kJ5%hG8^", ["Qw7!zX4@vB9#nM2$kJ5%hG8^"]),
     ("high_entropy", "hex 0123456789abcdef0123456789abcdef", []),
     ("high_entropy", "abcdefghijklmnop", []),
     ("high_entropy", "abcdefghijklmnopq", ["abcdefghijklmnopq"]),
@@ -84,7 +84,7 @@ def test_predicates_agree_with_matches(spark, texts):
 
 
 def test_entropy(spark, texts):
-    rows = ["", "   ", "aaaaa", "abab", "  abcd ", None, "aB3$xK9#mP2!qR7"]
+    rows = ["", "   ", "aaaaa", "abab", "  abcd ", None, "kT5!wZ8#rN3@yL6"]
     out = [r[0] for r in texts(rows).orderBy("id").select(detect.shannon_entropy(F.col("text"))).collect()]
     assert out[:5] == [0.0, 0.0, 0.0, 1.0, 2.0] and out[5] is None and 3.0 < out[6] < 4.0
 
@@ -102,12 +102,12 @@ def _redacted(texts, rows, rules):
 
 
 def test_counts_and_text(texts):
-    got = _redacted(texts, ["Email: a@b.com, Phone: +1-555-123-4567"], rule_set(["email", "phone"]))
-    assert got == [("Email: [REDACTED], Phone: +[REDACTED]", {"email": 1, "phone": 1})]
+    got = _redacted(texts, ["Mail x@y.org or ring +1-555-867-5309"], rule_set(["email", "phone"]))
+    assert got == [("Mail [REDACTED] or ring +[REDACTED]", {"email": 1, "phone": 1})]
 
 
 def test_unchanged_rows(texts):
-    rows = ["Just plain text", "", None, "\n\n", "[REDACTED] stays", "cost $5 \\1 $0 C:\\x"]
+    rows = ["Nothing to see", "", None, "\n\n", "[REDACTED] stays", "cost $5 \\1 $0 C:\\x"]
     assert _redacted(texts, rows, ALL_RULES) == [(r, {}) for r in rows]
     assert _redacted(texts, ["a@b.com"], rule_set([])) == [("a@b.com", {})]
 
@@ -146,10 +146,10 @@ def test_dots_of_a_mail_end_sentences(texts):
 
 
 def test_keywords_replace_or_extend(texts):
-    rows = ["The project-x plan is done.", "This is secret."]
-    own = rule_set(["confidential"], keywords="project-x, , budget ")
+    rows = ["The bluebird plan is done.", "This is secret."]
+    own = rule_set(["confidential"], keywords="bluebird, , falcon ")
     assert [g[1] for g in _redacted(texts, rows, own)] == [{"confidential": 1}, {}]
-    both = rule_set(["confidential"], keywords=["project-x"], keyword_mode="extend")
+    both = rule_set(["confidential"], keywords=["bluebird"], keyword_mode="extend")
     assert [g[1] for g in _redacted(texts, rows, both)] == [{"confidential": 1}] * 2
 
 
