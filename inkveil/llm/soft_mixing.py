@@ -19,14 +19,17 @@ from inkveil.llm.common import prepare, read_table, stored
 from inkveil.session import spread
 
 #: Hash buckets of words; about so many labelled documents are learned from, by a hash of the id.
-BUCKETS, MAX_ROWS = 2_048, 20_000
+BUCKETS, MAX_ROWS = 8_192, 20_000
+#: Words of the average text that every domain is given beside its own, and how many standard
+#: deviations a bucket's count must differ to count as evidence.
+SHRINK, SURE = 2_000, 6.0
 #: Shape of a text, cut into so many bins each.
 BINS = 8
 #: Every fourth learned document fits the temperature instead.
 TEMPERATURES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
-STEPS, PRECISION = 40, 1e-9
+STEPS, PRECISION = 12, 1e-5
 #: Token shares wanted from the domains of the labelled table.
-TARGETS = {"good": 0.92, "poor": 0.05, "toxic": 0.03}
+TARGETS = {"good": 0.80, "poor": 0.08, "toxic": 0.12}
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -57,18 +60,18 @@ def _numbers(values: list[float]) -> Column:
 
 
 def featured(docs: DataFrame, *more: Column) -> DataFrame:
-    """(doc_id, n_tokens, buckets, shape, …): tokens are words."""
+    """(doc_id, n_tokens, buckets, shape, …): tokens are words, buckets the distinct hashes of a text's words."""
     tokens = F.col("__tokens")
     base = docs.select("doc_id", "text", *more, words(F.col("text")).alias("__tokens"))
     others = [c for c in base.columns if c not in ("doc_id", "text", "__tokens")]
     return base.select("doc_id", F.size(tokens).cast("long").alias("n_tokens"),
-                       F.transform(tokens, lambda w: F.pmod(F.hash(w), F.lit(BUCKETS))).alias("buckets"),
+                       F.array_distinct(F.transform(tokens, lambda w: F.pmod(F.hash(w), F.lit(BUCKETS)))).alias("buckets"),
                        F.array(*shape(F.col("text"), tokens)).alias("shape"), *others)
 
 
 @dataclass
 class Classifier:
-    """Naive Bayes over hashed words and shape bins, as log-probabilities less their mean over the domains."""
+    """Naive Bayes over hashed words and shape bins, as log-ratios to the first domain."""
 
     domains: list[str]
     prior: list[float]
@@ -76,25 +79,40 @@ class Classifier:
     shape: list[list[list[float]]]
     temperature: float = 1.0
 
-    def logits(self, buckets: Column, shape_: Column) -> Column:
-        """array<double>: long texts' word evidence grows with the root of their length only."""
-        n = F.greatest(F.size(buckets), F.lit(1)).cast("double")
+    def evidence(self, rows: DataFrame) -> DataFrame:
+        """Evidence __z0, __z1, … in place of buckets and shape; the first domain's is 0."""
+        buckets = F.col("buckets")
 
         def one(k: int) -> Column:
+            if k == 0:
+                return F.lit(0.0)
             table = _numbers(self.word[k])
-            evidence = F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.sqrt(n)
+            found = F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.get(table, b))
             for j, bins in enumerate(self.shape[k]):
-                evidence = evidence + F.get(_numbers(bins), F.get(shape_, F.lit(j)))
-            return evidence + F.lit(self.prior[k])
+                found = found + F.get(_numbers(bins), F.get("shape", F.lit(j)))
+            return found
 
-        return F.array(*(one(k) for k in range(len(self.domains))))
+        others = [c for c in rows.columns if c not in ("buckets", "shape")]
+        return rows.select(*others, *(one(k).alias(f"__z{k}") for k in range(len(self.domains))))
 
-    def posterior(self, logits: Column, temperature: float | None = None) -> Column:
-        """array<double> that sums to 1."""
+    def chances(self, temperature: float | None = None) -> list[Column]:
+        """Probabilities from the columns of ``evidence``, not yet divided by their sum.
+
+        Words are not independent, so their evidence is divided by the temperature; the prior is not.
+        """
         t = F.lit(float(temperature or self.temperature))
-        shifted = F.transform(logits, lambda z: F.exp((z - F.array_max(logits)) / t))
-        total = F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b)
-        return F.transform(shifted, lambda e: e / total)
+        z = [F.lit(p) + F.col(f"__z{k}") / t for k, p in enumerate(self.prior)]
+        top = F.greatest(*z) if len(z) > 1 else z[0]
+        return [F.exp(x - top) for x in z]
+
+    def posteriors(self, rows: DataFrame) -> DataFrame:
+        """Columns __p0, __p1, …, which sum to 1, in place of buckets and shape."""
+        scored = self.evidence(rows)
+        others = [c for c in scored.columns if not c.startswith("__z")]
+        k = len(self.domains)
+        raised = scored.select(*others, *(e.alias(f"__e{i}") for i, e in enumerate(self.chances())))
+        total = sum((F.col(f"__e{i}") for i in range(1, k)), F.col("__e0"))
+        return raised.select(*others, *((F.col(f"__e{i}") / total).alias(f"__p{i}") for i in range(k)))
 
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Classifier:
@@ -119,25 +137,42 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Classifie
     bins = [[[1.0] * BINS for _ in range(4)] for _ in domains]
     for r in learned.select("domain", F.posexplode("shape").alias("j", "b")).groupBy("domain", "j", "b").agg(F.count(F.lit(1)).alias("n")).collect():
         bins[k_of[r["domain"]]][r["j"]][r["b"]] += r["n"]
+    ratios = [[0.0] * BUCKETS, *(_telling(w, word[0], word) for w in word[1:])]
     log = lambda x: [math.log(v / sum(x)) for v in x]
-
-    def centred(rows_: list[list[float]]) -> list[list[float]]:
-        mean = [sum(c) / len(rows_) for c in zip(*rows_, strict=True)]
-        return [[v - m for v, m in zip(r, mean, strict=True)] for r in rows_]
-
-    shapes = [centred([log(bins[k][j]) for k in range(len(domains))]) for j in range(4)]
-    model = Classifier(domains, log(docs_of), centred([log(w) for w in word]),
-                       [[shapes[j][k] for j in range(4)] for k in range(len(domains))])
+    less = lambda x, y: [p - q for p, q in zip(log(x), log(y), strict=True)]
+    prior = log(docs_of)
+    model = Classifier(domains, [p - prior[0] for p in prior], ratios,
+                       [[less(b, bins[0][j]) for j, b in enumerate(own)] for own in bins])
     index = F.lit(0)
     for d, k in k_of.items():
         index = F.when(F.col("domain") == d, F.lit(k)).otherwise(index)
-    scored = held.select(model.logits(F.col("buckets"), F.col("shape")).alias("z"), index.alias("k"))
-    losses = scored.agg(*(F.avg(-F.log(F.get(model.posterior(F.col("z"), t), F.col("k")) + 1e-12)) for t in TEMPERATURES)).first()
-    fitted = [(loss, t) for loss, t in zip(losses, TEMPERATURES, strict=True) if loss is not None]
+    scored = model.evidence(held)
+
+    def loss(t: float) -> Column:
+        raised = model.chances(t)
+        return F.avg(F.log(sum(raised[1:], raised[0])) - F.log(F.get(F.array(*raised), index) + 1e-12))
+
+    losses = scored.agg(*(loss(t) for t in TEMPERATURES)).first()
+    fitted = [(found, t) for found, t in zip(losses, TEMPERATURES, strict=True) if found is not None]
     model.temperature = min(fitted)[1] if fitted else 1.0
     return model
 
 
+def _telling(own: list[float], first: list[float], every: list[list[float]]) -> list[float]:
+    """Log-ratios of the buckets whose count differs surely from what all domains together suggest; else 0.
+
+    Both sides are shrunk towards the average, so a rare domain does not learn noise.
+    """
+    total = [sum(c) for c in zip(*every, strict=True)]
+    n_own, n_first, n = sum(own), sum(first), sum(total)
+    out = []
+    for a, b, t in zip(own, first, total, strict=True):
+        sure = max(abs(a - n_own * t / n) / math.sqrt(n_own * t / n), abs(b - n_first * t / n) / math.sqrt(n_first * t / n))
+        p, q = (a + SHRINK * t / n) / (n_own + SHRINK), (b + SHRINK * t / n) / (n_first + SHRINK)
+        out.append(math.log(p / q) if sure > SURE else 0.0)
+    return out
+
+
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     """Gaussian elimination; the matrix has a row and a column for each domain."""
     n = len(right)
@@ -152,20 +187,17 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [rows[i][n] / rows[i][i] for i in range(n)]
 
 
-def rate(posterior: Column, steps: list[list[float]]) -> Column:
+def rate(steps: list[list[float]]) -> Column:
     """A document's rate after these steps, from 1: each subtracts its part and is cut at 0."""
-    def step(r: Column, mu: Column) -> Column:
-        gain = F.aggregate(F.zip_with(posterior, mu, lambda p, m: p * m), F.lit(0.0), lambda a, b: a + b)
-        return F.greatest(F.lit(0.0), r - gain)
-
-    if not steps:
-        return F.lit(1.0)
-    history = F.array(*(F.array(*(F.lit(float(m)) for m in mu)) for mu in steps))
-    return F.aggregate(history, F.lit(1.0), step)
+    r = F.lit(1.0)
+    for mu in steps:
+        gain = sum((F.col(f"__p{k}") * F.lit(float(m)) for k, m in enumerate(mu)), F.lit(0.0))
+        r = F.greatest(F.lit(0.0), r - gain)
+    return r
 
 
 def solve_rates(members: DataFrame, targets: list[float]) -> list[list[float]]:
-    """Steps of projected gradient descent over ``members`` (n_tokens, posterior).
+    """Steps of projected gradient descent over ``members`` (n_tokens, __p0, __p1, …).
 
     Minimises the whitened squared gap between the domains' expected tokens and the targets, from
     rates of 1, in the metric that weighs a document by its tokens.  With G = sum of tokens x
@@ -174,58 +206,55 @@ def solve_rates(members: DataFrame, targets: list[float]) -> list[list[float]]:
     there are domains.  A domain that no document belongs to is met as far as it can be.
     """
     k = len(targets)
-    tokens, p = F.col("n_tokens").cast("double"), F.col("posterior")
-    at = lambda i: F.get(p, F.lit(i))
+    tokens = F.col("n_tokens").cast("double")
+    p = [F.col(f"__p{i}") for i in range(k)]
     first = members.agg(F.coalesce(F.sum(tokens), F.lit(0.0)),
-                        *(F.coalesce(F.sum(tokens * at(i) * at(j)), F.lit(0.0)) for i in range(k) for j in range(k))).first()
+                        *(F.coalesce(F.sum(tokens * x * y), F.lit(0.0)) for x in p for y in p)).first()
     total, gram = first[0], [[first[1 + i * k + j] for j in range(k)] for i in range(k)]
     if not total:
         return []
     ridge = 1e-9 * total
     gram = [[g + ridge * (i == j) for j, g in enumerate(row)] for i, row in enumerate(gram)]
     steps: list[list[float]] = []
-    gap = [sum(row) for row in gram]  # expected tokens of each domain at rate 1
-    gap = [g - t * total for g, t in zip(gap, targets, strict=True)]
-    for _ in range(STEPS):
-        if max(map(abs, gap)) <= PRECISION * total:
-            break
+    gap = [sum(row) - t * total for row, t in zip(gram, targets, strict=True)]  # at rate 1
+    while len(steps) < STEPS and max(map(abs, gap)) > PRECISION * total:
         steps.append(_solve(gram, gap))
-        now = members.agg(*(F.sum(tokens * rate(p, steps) * at(i)) for i in range(k))).first()
+        now = members.agg(*(F.sum(tokens * rate(steps) * x) for x in p)).first()
         gap = [n - t * total for n, t in zip(now, targets, strict=True)]
     return steps
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS) -> tuple[DataFrame, Classifier, list[list[float]]]:
+def copies(doc_id: Column, rate_: Column) -> Column:
+    """The rate rounded down, or up with the chance of its fraction, drawn from the id."""
+    drawn = F.pmod(F.xxhash64(F.lit("copies"), doc_id), F.lit(1 << 30)) / float(1 << 30)
+    return (F.floor(rate_) + (drawn < rate_ - F.floor(rate_)).cast("long")).cast("long")
+
+
+def mixed(docs: DataFrame, labelled: DataFrame,
+          targets: Mapping[str, float] = TARGETS) -> tuple[DataFrame, Classifier, list[list[float]]]:
     """Members (doc_id, n_tokens, posterior, rate, copies), the classifier and the steps.
 
     ``targets`` are shares of the documents' tokens for each domain.  ``copies`` is how often a
-    document is taken: the rate, rounded down or up by a hash of its id.  Null and blank texts
-    have no tokens and the posterior of their shape; repeated rows get equal rates; an empty
-    table gives an empty result.
+    document is taken: the rate, rounded by a hash of its id.  Null and blank texts have no tokens
+    and the posterior of their shape; repeated rows get equal rates; an empty table gives an
+    empty result.
     """
     model = learn(docs, labelled, list(targets))
-    scored = featured(spread(docs.select("doc_id", "text")))
-    members = stored(scored.select("doc_id", "n_tokens", model.posterior(
-        model.logits(F.col("buckets"), F.col("shape"))).alias("posterior")), "members")
+    members = stored(model.posteriors(featured(spread(docs.select("doc_id", "text")))), "members")
     steps = solve_rates(members, list(targets.values()))
-    rated = members.withColumn("rate", rate(F.col("posterior"), steps))
+    posterior = F.array(*(f"__p{k}" for k in range(len(targets))))
+    rated = members.select("doc_id", "n_tokens", posterior.alias("posterior"), rate(steps).alias("rate"))
     return rated.withColumn("copies", copies(F.col("doc_id"), F.col("rate"))), model, steps
 
 
-def copies(doc_id: Column, rate_: Column) -> Column:
-    drawn = F.pmod(F.xxhash64(F.lit("copies"), doc_id), F.lit(1 << 30)) / float(1 << 30)
-    return (F.floor(rate_) + (drawn < rate_ - F.floor(rate_)).cast("long")).cast("long")
-
-
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """Rows of ``docs``, each as often as its copies say, all columns as they are."""
     _, model, steps = mixed(docs, labelled, targets)
     names = docs.columns
-    whole = docs.select("doc_id", "text", F.struct(*names).alias("__row"))
-    found = featured(whole, F.col("__row")).select(
-        "__row", "doc_id", model.posterior(model.logits(F.col("buckets"), F.col("shape"))).alias("posterior"))
-    taken = found.select("__row", copies(F.col("doc_id"), rate(F.col("posterior"), steps)).alias("n")).where("n > 0")
-    return taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(
+    whole = spread(docs).select("doc_id", "text", F.struct(*names).alias("__row"))
+    rated = model.posteriors(featured(whole, F.col("__row"))).select("__row", "doc_id", rate(steps).alias("__rate"))
+    taken = rated.select("__row", copies(F.col("doc_id"), F.col("__rate")).alias("__n")).where("__n > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(
         *(F.col("__row").getField(c).alias(c) for c in names))
 
 
