@@ -181,7 +181,7 @@ def learn(texts: DataFrame) -> Model:
         if n > room:
             break
         least, room = s, room - n
-    rows = counts.where(size >= least).collect()
+    rows = counts.where((size >= least) | (F.col("word") == F.lit(bytearray(END)))).collect()
     common = dict(sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0])))
     top = [END, *[w for w in common if w != END][:TOP - 1]]
     common.setdefault(END, 0)

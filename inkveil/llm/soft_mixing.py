@@ -56,7 +56,7 @@ def shape(text: Column, tokens: Column) -> list[Column]:
 
 def _numbers(values: list[float]) -> Column:
     """A constant array; written as text, so that a long one is a single constant in the plan."""
-    return F.split(F.lit(",".join(f"{v:.5f}" for v in values)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
 
 
 def featured(docs: DataFrame, *more: Column) -> DataFrame:
@@ -189,11 +189,15 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 def rate(steps: list[list[float]]) -> Column:
     """A document's rate after these steps, from 1: each subtracts its part and is cut at 0."""
-    r = F.lit(1.0)
-    for mu in steps:
-        gain = sum((F.col(f"__p{k}") * F.lit(float(m)) for k, m in enumerate(mu)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r - gain)
-    return r
+    if not steps:
+        return F.lit(1.0)
+    parts = [_numbers([mu[k] for mu in steps]) for k in range(len(steps[0]))]
+
+    def after(r: Column, i: Column) -> Column:
+        gain = sum((F.col(f"__p{k}") * F.get(m, i) for k, m in enumerate(parts)), F.lit(0.0))
+        return F.greatest(F.lit(0.0), r - gain)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), after)
 
 
 def solve_rates(members: DataFrame, targets: list[float]) -> list[list[float]]:
