@@ -19,10 +19,10 @@ from inkveil.llm.common import prepare, read_table, stored
 from inkveil.session import spread
 
 #: Hash buckets of words; about so many labelled documents are learned from, by a hash of the id.
-BUCKETS, MAX_ROWS = 8_192, 20_000
+BUCKETS, MAX_ROWS = 1 << 16, 20_000
 #: Words of the average text that every domain is given beside its own, and how many standard
-#: deviations a bucket's count must differ to count as evidence.
-SHRINK, SURE = 2_000, 6.0
+#: deviations a bucket's count must differ to count as evidence, and the share of documents it is in.
+SHRINK, SURE, SUPPORT = 2_000, 6.0, 0.05
 #: Shape of a text, cut into so many bins each.
 BINS = 8
 #: Every fourth learned document fits the temperature instead.
@@ -137,7 +137,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Classifie
     bins = [[[1.0] * BINS for _ in range(4)] for _ in domains]
     for r in learned.select("domain", F.posexplode("shape").alias("j", "b")).groupBy("domain", "j", "b").agg(F.count(F.lit(1)).alias("n")).collect():
         bins[k_of[r["domain"]]][r["j"]][r["b"]] += r["n"]
-    ratios = [[0.0] * BUCKETS, *(_telling(w, word[0], word) for w in word[1:])]
+    ratios = [[0.0] * BUCKETS, *(_telling(w, word[0], word, docs_of[k], docs_of[0]) for k, w in enumerate(word[1:], 1))]
     log = lambda x: [math.log(v / sum(x)) for v in x]
     less = lambda x, y: [p - q for p, q in zip(log(x), log(y), strict=True)]
     prior = log(docs_of)
@@ -158,10 +158,11 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Classifie
     return model
 
 
-def _telling(own: list[float], first: list[float], every: list[list[float]]) -> list[float]:
+def _telling(own: list[float], first: list[float], every: list[list[float]], docs_own: float, docs_first: float) -> list[float]:
     """Log-ratios of the buckets whose count differs surely from what all domains together suggest; else 0.
 
-    Both sides are shrunk towards the average, so a rare domain does not learn noise.
+    A bucket must be in a good share of one side's documents, so a few groups of copies don't pass
+    as evidence.  Both sides are shrunk towards the average, so a rare domain does not learn noise.
     """
     total = [sum(c) for c in zip(*every, strict=True)]
     n_own, n_first, n = sum(own), sum(first), sum(total)
@@ -169,7 +170,7 @@ def _telling(own: list[float], first: list[float], every: list[list[float]]) ->
     for a, b, t in zip(own, first, total, strict=True):
         sure = max(abs(a - n_own * t / n) / math.sqrt(n_own * t / n), abs(b - n_first * t / n) / math.sqrt(n_first * t / n))
         p, q = (a + SHRINK * t / n) / (n_own + SHRINK), (b + SHRINK * t / n) / (n_first + SHRINK)
-        out.append(math.log(p / q) if sure > SURE else 0.0)
+        out.append(math.log(p / q) if sure > SURE and max(a / docs_own, b / docs_first) >= SUPPORT else 0.0)
     return out
 
 
