@@ -76,8 +76,8 @@ def drop_element(xml: Column, element: str | Iterable[str]) -> Column:
 
 
 def set_text(xml: Column, element: str | Iterable[str], value: str = "") -> Column:
-    """Overwrite the text of an element that has no child elements."""
-    pattern = rf"(<({_PREFIX}{_any(element)})(?:{_ATTR})*+\s*+>)[^<]++(</\2\s*+>)"
+    """Overwrite the content of an element, whatever it holds; an empty element stays empty."""
+    pattern = rf"(<({_PREFIX}{_any(element)})(?:{_ATTR})*+\s*+>)(?:[^<]++|<(?!/\2\s*+>))++(</\2\s*+>)"
     return F.regexp_replace(xml, pattern, f"$1{value}$3")
 
 

@@ -243,7 +243,7 @@ def inventory(
         pieces.append(rows.filter(F.col("surface").isin(plain)))
     sets = [s for s in surfaces if s in _SETS]
     if sets:
-        # one package's entries: bounded by the size caps of the unzip step
+        # one package's entries: its small extracted rows
         rank = Window.partitionBy("path", "surface", "key").orderBy("value")
         pieces.append(
             rows.filter(F.col("surface").isin(sets)).drop("ordinal").distinct()

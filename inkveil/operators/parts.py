@@ -38,7 +38,13 @@ def _chain(xml: Column, *edits) -> Column:
 
 
 def scrubbed(part: Column, kind: Column, xml: Column, categories: Iterable[str]) -> Column:
-    """Part text with the chosen categories cleared; all other bytes stay."""
+    """Part text with the chosen categories cleared; all other bytes stay.
+
+    Edits run on the text without marked sections and comments, so nothing hides from them in
+    one and no tag name in a comment is taken for an element.  A part that they leave alone
+    keeps its bytes.
+    """
+    plain = X.plain_runs(xml)
     on = set(categories)
     author, dates, software = ("author" in on, "dates" in on, "software" in on)
     any_core = author or dates or software
@@ -46,7 +52,8 @@ def scrubbed(part: Column, kind: Column, xml: Column, categories: Iterable[str])
 
     def rule(cond: Column, use: bool, *edits) -> None:
         if use:
-            out.append((cond, _chain(xml, *edits)))
+            new = _chain(plain, *edits)
+            out.append((cond, F.when(new == plain, xml).otherwise(new)))
 
     def people(x: Column) -> Column:
         x = X.set_attribute(x, ["person"], "name", "")
@@ -124,7 +131,8 @@ def scrub(parts: DataFrame, categories: Iterable[str] = C.CATEGORIES) -> DataFra
     )
     is_rels = F.col("part").eqNullSafe(F.lit("word/_rels/settings.xml.rels"))
     rels = parts.filter(is_rels).join(refs, "path", "left").withColumn(
-        "xml", F.when(ok, X.drop_relationship(F.col("xml"), F.col("_rid"))).otherwise(F.col("xml")))
+        "xml", F.when(ok & F.col("_rid").isNotNull(), X.drop_relationship(X.plain_runs(F.col("xml")), F.col("_rid")))
+        .otherwise(F.col("xml")))
     return parts.filter(~is_rels).withColumn("xml", new).unionByName(rels.select(*parts.columns))
 
 

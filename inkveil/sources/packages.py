@@ -1,22 +1,23 @@
 """Office packages: zip container <-> part rows.  The only Python worker code.
 
-Size caps bound what one package can put on a worker; whatever breaks them, or cannot
-be read, becomes a row with an error instead of an exception.
+Whatever cannot be read becomes a row with an error instead of an exception.  Caps against
+zip bombs are there to ask for; without them no entry or package is too large.
 """
 
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil import constants as C
-from inkveil.session import small_side
 from inkveil.sources.files import file_kind
 
 PART_SCHEMA = (
@@ -27,45 +28,95 @@ PACKAGE_SCHEMA = "path string, kind string, content binary, error string"
 
 @dataclass(frozen=True)
 class Caps:
-    entry_bytes: int = 256 << 20
-    package_bytes: int = 1 << 30
-    entries: int = 100_000
+    """Optional guards; None: no limit.  ``flush_bytes`` only sizes the batches of rows."""
+
+    entry_bytes: int | None = None
+    package_bytes: int | None = None
+    entries: int | None = None
     flush_bytes: int = 32 << 20
 
 
+_DECLARED = re.compile(r"""\A\s*<\?xml[^>]*?\sencoding\s*=\s*["']([A-Za-z0-9._-]+)["']""")
+
+
+class _DocumentType(Exception):
+    pass
+
+
+def _refuse(*_: object) -> None:
+    raise _DocumentType
+
+
+def _parse_error(data: bytes) -> str | None:
+    """Why a part is not one well-formed document, read to its last byte; nothing is expanded."""
+    parser = expat.ParserCreate()
+    parser.StartDoctypeDeclHandler = _refuse
+    try:
+        parser.Parse(data, True)
+    except _DocumentType:
+        return "document type declaration"
+    except (expat.ExpatError, ValueError, LookupError):
+        return "malformed XML"
+    return None
+
+
+def _decode(data: bytes) -> str:
+    """By byte-order mark, else by the declared encoding, else as UTF-8."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return data.decode("utf-16")
+    declared = _DECLARED.match(data[:200].decode("latin-1"))
+    if data[:3] == b"\xef\xbb\xbf" or not declared:
+        return data.decode("utf-8-sig")
+    return data.decode(declared[1])
+
+
 def _text(name: str, data: bytes) -> tuple[str | None, str | None]:
     """(text, error) of an XML part; other parts have neither."""
     if not name.lower().endswith((".xml", ".rels")):
         return None, None
-    wide = data[:2] in (b"\xff\xfe", b"\xfe\xff")
     try:
-        return data.decode("utf-16" if wide else "utf-8-sig"), None
-    except UnicodeDecodeError as err:
-        return None, f"undecodable XML: {err.reason}"
+        return _decode(data), _parse_error(data)
+    except (UnicodeDecodeError, LookupError) as err:
+        return None, f"undecodable XML: {getattr(err, 'reason', err)}"
+
+
+def _bytes(name: str, xml: str | None, content: bytes | None) -> bytes:
+    """An untouched part as it was; an edited one as UTF-8, which its declaration then says."""
+    if not isinstance(xml, str):
+        return content or b""
+    if content is not None and _text(name, content)[0] == xml:
+        return content
+    declared = _DECLARED.match(xml)
+    if declared and declared[1].lower() not in ("utf-8", "us-ascii", "ascii"):
+        xml = xml[:declared.start(1)] + "UTF-8" + xml[declared.end(1):]
+    return xml.encode("utf-8")
 
 
 def _entries(path: str, kind: str, content: bytes, caps: Caps) -> Iterator[tuple]:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             infos = archive.infolist()
-            if len(infos) > caps.entries:
+            if caps.entries is not None and len(infos) > caps.entries:
                 raise ValueError(f"more than {caps.entries} entries")
             room = caps.package_bytes
             for i, info in enumerate(infos):
                 if info.is_dir():
                     continue
-                limit = min(caps.entry_bytes, room)
+                limit = min((x for x in (caps.entry_bytes, room) if x is not None), default=None)
                 try:
                     with archive.open(info) as entry:
-                        data = entry.read(limit + 1)
-                    if len(data) > limit:
+                        data = entry.read(-1 if limit is None else limit + 1)
+                    if limit is not None and len(data) > limit:
                         raise ValueError(f"entry larger than {limit} bytes")
                 except Exception as err:
                     yield path, kind, info.filename, i, None, None, f"{type(err).__name__}: {err}"
                     continue
-                room -= len(data)
+                if room is not None:
+                    room -= len(data)
                 xml, error = _text(info.filename, data)
-                yield path, kind, info.filename, i, (None if xml is not None else data), xml, error
+                # the bytes stay beside a text that would not give them back
+                same = xml is not None and xml.encode("utf-8") == data
+                yield path, kind, info.filename, i, (None if same else data), xml, error
     except Exception as err:
         yield path, kind, None, None, None, None, f"{type(err).__name__}: {err}"
 
@@ -102,37 +153,40 @@ def _size(parts: DataFrame):
 def zip_parts(parts: DataFrame, caps: Caps = Caps()) -> DataFrame:
     """Part rows -> one package per path, entries in their original order.
 
-    One package is written by one task, so its size is checked first, on lengths alone:
-    a package beyond the cap becomes a row with an error and is never gathered.
+    One package is written by one task.  With caps, its size is checked first, on lengths
+    alone: a package beyond them becomes a row with an error and is never gathered.
     """
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
             for row in group.sort_values("ordinal").itertuples():
-                data = row.xml.encode("utf-8") if isinstance(row.xml, str) else row.content
                 stamp = zipfile.ZipInfo(row.part, (1980, 1, 1, 0, 0, 0))
                 stamp.compress_type = zipfile.ZIP_DEFLATED
-                archive.writestr(stamp, data or b"")
+                archive.writestr(stamp, _bytes(row.part, row.xml, row.content))
         first = group.iloc[0]
         return pd.DataFrame([(first["path"], first["kind"], out.getvalue(), None)],
                             columns=["path", "kind", "content", "error"])
 
     rows = parts.filter("part IS NOT NULL")
+    content = F.col("content") if "content" in parts.columns else F.lit(None).cast("binary")
+
+    def packed(fit: DataFrame) -> DataFrame:
+        return fit.select("path", "kind", "part", "ordinal", content.alias("content"), "xml").groupBy(
+            "path").applyInPandas(pack, PACKAGE_SCHEMA)
+
+    if caps.package_bytes is None and caps.entries is None:
+        return packed(rows)
+    most = lambda c: F.lit(float("inf") if c is None else float(c))
     over = (
         rows.groupBy("path").agg(F.sum(_size(rows)).alias("bytes"), F.count("*").alias("entries"))
-        .filter((F.col("bytes") > caps.package_bytes) | (F.col("entries") > caps.entries))
+        .filter((F.col("bytes") > most(caps.package_bytes)) | (F.col("entries") > most(caps.entries)))
     )
-    few = small_side(over.select("path"))
-    fit = rows.join(over.select("path") if few is None else few, "path", "left_anti")
-    content = F.col("content") if "content" in parts.columns else F.lit(None).cast("binary")
-    packed = fit.select("path", "kind", "part", "ordinal", content.alias("content"), "xml").groupBy(
-        "path").applyInPandas(pack, PACKAGE_SCHEMA)
     too_big = over.select(
         "path", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("binary").alias("content"),
         F.concat(F.lit("package larger than the cap: "), F.col("bytes").cast("string"),
                  F.lit(" bytes")).alias("error"))
-    return packed.unionByName(too_big)
+    return packed(rows.join(over.select("path"), "path", "left_anti")).unionByName(too_big)
 
 
 def part_errors(parts: DataFrame) -> DataFrame:

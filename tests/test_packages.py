@@ -334,3 +334,38 @@ def test_element_edits(spark):
     assert get(X.drop_element(F.col("xml"), "v")).endswith("<r a=\"1\"><vs>k</vs><t>old</t></r>")
     assert get(X.set_text(F.col("xml"), "t")).endswith("<t></t></r>")
     assert get(X.drop_children(F.col("xml"))).endswith("<!-- c --><r a=\"1\"></r>")
+
+
+HIDDEN = ('<cp:coreProperties xmlns:cp="c" xmlns:dc="d"><dc:creator><![CDATA[Jane Doe]]></dc:creator>'
+          "<cp:lastModifiedBy>Ja<!--x-->ne</cp:lastModifiedBy><dc:title></dc:title></cp:coreProperties>")
+SETTINGS = '<w:settings xmlns:w="w"><!-- old: <w:docVars> --><w:zoom/><w:docVars><w:docVar/></w:docVars></w:settings>'
+
+
+def test_strip_reaches_hidden_values_and_keeps_parts_whole(spark):
+    from xml.etree import ElementTree
+
+    rows = [("a.docx", "docx", "docProps/core.xml", 0, None, HIDDEN, None),
+            ("a.docx", "docx", "word/settings.xml", 1, None, SETTINGS, None)]
+    from inkveil.operators import parts as PT
+    got = {r["part"]: r["xml"] for r in PT.scrub(spark.createDataFrame(rows, packages.PART_SCHEMA)).collect()}
+    for xml in got.values():
+        ElementTree.fromstring(xml)
+    assert "Jane" not in got["docProps/core.xml"] and "ne</" not in got["docProps/core.xml"]
+    assert "zoom" in got["word/settings.xml"] and "docVar" not in got["word/settings.xml"]
+
+
+@pytest.mark.parametrize("tail", ["junk", "<b/>", "<!-- open", "<?open", "<"])
+def test_parts_are_read_to_their_end(tail):
+    assert packages._text("a.xml", b"<a/>" + tail.encode())[1] == "malformed XML"
+
+
+@pytest.mark.parametrize("encoding", ["utf-16", "iso-8859-1", "utf-8-sig"])
+def test_encodings_survive(encoding):
+    name = "utf-8" if encoding == "utf-8-sig" else encoding
+    text = f'<?xml version="1.0" encoding="{name}"?><a>é</a>'
+    data = text.encode(encoding)
+    xml, error = packages._text("a.xml", data)
+    assert (xml, error) == (text, None)
+    assert packages._bytes("a.xml", xml, data) == data  # untouched: byte for byte
+    edited = packages._bytes("a.xml", xml.replace("é", "ö"), data)
+    assert packages._text("a.xml", edited) == (packages._decode(edited), None) and "ö" in packages._decode(edited)
