@@ -258,9 +258,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TAR
     names = docs.columns
     whole = spread(docs).select("doc_id", "text", F.struct(*names).alias("__row"))
     rated = model.posteriors(featured(whole, F.col("__row"))).select("__row", "doc_id", rate(steps).alias("__rate"))
-    taken = rated.select("__row", copies(F.col("doc_id"), F.col("__rate")).alias("__n")).where("__n > 0")
-    return taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(
-        *(F.col("__row").getField(c).alias(c) for c in names))
+    taken = rated.select("__row", copies(F.col("doc_id"), F.col("__rate")).cast("int").alias("__n"))
+    # the outer form: a filter on the number of copies would carry the whole classifier down the plan
+    each = taken.select("__row", F.explode_outer(F.array_repeat(F.lit(1), F.col("__n"))).alias("__copy"))
+    return each.where(F.col("__copy").isNotNull()).select(*(F.col("__row").getField(c).alias(c) for c in names))
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
