@@ -21,8 +21,8 @@ from inkveil.llm.common import gapless, prepare, read_table, stored, text_bytes
 
 CAPACITY = 4096
 END = 1
-#: Words kept with their ids by a worker; beyond that the memory starts anew.
-REMEMBERED = 1_200_000
+#: Words, and pieces of words, that a worker remembers with their ids, in each of two generations.
+REMEMBERED = 200_000
 
 
 def vocabulary_path() -> str:
@@ -47,7 +47,7 @@ class WordIds:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Memory(self.piece)
         self.words = _Memory(self.word)
         # bytes as the letters that stand for them in the vocabulary
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -58,35 +58,36 @@ class WordIds:
         word = raw.decode(errors="replace")
         if not self._PLAIN.fullmatch(word) or "<|" in word:
             return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.piece, self._PIECES.findall(word.lower())))
+        return b"".join(map(self.pieces.__getitem__, self._PIECES.findall(word.lower())))
 
     def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(spelled)]
-            found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian 32-bit ids of a text (UTF-8), split at ASCII white space."""
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
 class _Memory(dict):
-    """Words with their ids; a new word is worked out once."""
+    """Keys with their ids.  A full generation becomes the old one, and the one before is forgotten.
+
+    What is still asked for moves on from the old generation, so frequent words are worked out once.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        self[key] = value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
         return value
 
 

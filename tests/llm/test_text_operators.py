@@ -257,3 +257,14 @@ def test_packing_rows(docs, tokenizer):
                       for p, s in enumerate(range(0, len(ids), 4096)) for _ in range(2))
         assert sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in of[i]) == want
     assert packing.pack(frame.limit(0)).count() == 0
+
+
+def test_word_memory_is_bounded_and_right(monkeypatch, tokenizer):
+    monkeypatch.setattr(packing, "REMEMBERED", 7)
+    ids = packing.WordIds(packing.vocabulary_path())
+    texts = ["the cat sat on the mat", " ".join(f"word{i} the" for i in range(50)), "", "Größe naïve 日本 the"]
+    for text in texts * 2:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids.ids(text.encode()), "<u4").tolist() == want
+        for memory in (ids.words, ids.pieces):
+            assert len(memory) <= 7 and len(memory.old) <= 7
