@@ -48,8 +48,10 @@ EDGE = rf"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
 # Detection patterns
 # --------------------------------------------------------------------------
 
+# A long run that no address follows is matched as a whole and dropped afterwards (no "@"):
+# its later positions would fail the same way, each after a scan to the run's end.
 EMAIL_PATTERN = (
-    rf"{EDGE}[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{STOP}"
+    rf"{EDGE}(?:[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{STOP}|[A-Za-z0-9._%+-]{{64,}}+)"
 )
 PHONE_PATTERN = (
     rf"(?=[+(\p{{Nd}}]){EDGE}(?:\+?{DIGIT}{{1,3}}[-.{SPACE_CHARS}]?)?"

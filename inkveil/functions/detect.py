@@ -57,12 +57,13 @@ def shannon_entropy(value: Column) -> Column:
     )
 
     def bits(t: Column) -> Column:
+        # equal characters side by side: one run each, whatever the length and the alphabet
+        runs = F.regexp_extract_all(
+            F.array_join(F.sort_array(F.split(t, "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))
         total = F.length(t).cast("double")
-        share = lambda ch: (F.length(t) - F.length(F.replace(t, ch, F.lit("")))) / total
         return F.aggregate(
-            F.sort_array(F.array_distinct(F.split(t, ""))),
-            F.lit(0.0),
-            lambda acc, ch: acc - let(share(ch), lambda p: p * F.log2(p)),
+            runs, F.lit(0.0),
+            lambda acc, run: acc - let(F.length(run) / total, lambda p: p * F.log2(p)),
         )
 
     return F.when(value.isNull(), F.lit(None).cast("double")).otherwise(
@@ -131,6 +132,7 @@ HINTS: dict[str, tuple[str, ...]] = {
 
 # Candidates of these rules must also pass a check.
 CHECKS: dict[str, Callable[[Column], Column]] = {
+    "email": lambda found: found.contains("@"),
     "credit_card": luhn_valid,
     "high_entropy": is_high_entropy,
 }

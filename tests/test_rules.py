@@ -1,5 +1,11 @@
 """Every rule on its own sentences: matched strings, texts and counts."""
 
+import math
+import random
+import re
+import time
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +182,32 @@ def test_column_functions_match_staged_form(texts):
                     S.rule_counts(F.col("text"), ALL_RULES).alias("counts"))
     two = with_redaction(df, "text", ALL_RULES).select("id", "redacted", "counts")
     assert sorted(one.collect()) == sorted(two.collect())
+
+
+def test_email_equals_a_plain_scan_on_random_runs(texts):
+    """The long-run form gives what a scan from every boundary gives."""
+    rng = random.Random(5)
+    plain = re.compile(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", re.ASCII)
+    rows = ["".join(rng.choice(["a", "B7", ".", "-", "+", "%", "_", "@", "@b.co", " ", "a.", "x" * 40, "-" * 40])
+                    for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    df = texts(rows)
+    got = {r["id"]: r for r in df.select(
+        "id", detect.matches(F.col("text"), "email").alias("m"), detect.has_rule(F.col("text"), "email").alias("has"),
+        F.transform(S.find_spans(F.col("text"), rule_set(["email"])), lambda s: F.struct(s["s"], s["e"])).alias("s")).collect()}
+    for i, row in enumerate(rows):
+        found = list(plain.finditer(row))
+        assert got[i]["m"] == [m[0] for m in found] and got[i]["has"] == bool(found)
+        assert [tuple(s) for s in got[i]["s"]] == [m.span() for m in found]
+
+
+def test_long_runs_and_unspaced_text_stay_linear(texts):
+    cjk = "".join(chr(0x4E00 + i * 7 % 5000) for i in range(80_000))
+    df = texts(["a." * 200_000 + " ann@mail.example.org", "%2B-" * 100_000 + "@", cjk])
+    df.select(detect.matches(F.col("text"), "email"), detect.shannon_entropy(F.lit("ab"))).collect()  # compile
+    start = time.perf_counter()
+    got = df.select(detect.matches(F.col("text"), "email").alias("m"),
+                    detect.shannon_entropy(F.when(F.col("id") == 2, F.col("text"))).alias("e")).collect()
+    assert time.perf_counter() - start < 10
+    assert [r["m"] for r in got] == [["ann@mail.example.org"], [], []]
+    want = -sum(n / len(cjk) * math.log2(n / len(cjk)) for n in Counter(cjk).values())
+    assert got[2]["e"] == pytest.approx(want)

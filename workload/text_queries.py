@@ -185,6 +185,11 @@ def _single(rule: str, *patterns: str) -> Query:
     return query
 
 
+def redact_email_only(spark, folder):
+    out = redaction.with_redaction(_documents(spark, folder), "text", rule_set(["email"]), counts=None)
+    return out.select("doc_id", "redacted")
+
+
 def redact_noop(spark, folder):
     out = redaction.with_redaction(_conversations(spark, folder), "text", rule_set([]))
     return out.select("conv_id", "turn", "redacted",
@@ -284,7 +289,7 @@ QUERIES: dict[str, Query] = {
     "redact_conversations": redact_conversations,
     "redact_pages": redact_pages,
     "redact_planted": redact_planted,
-    "redact_email_only": _single("email", C.EMAIL_PATTERN),
+    "redact_email_only": redact_email_only,
     "redact_ip_only": _single("ip", C.IPV4_PATTERN),
     "redact_noop": redact_noop,
     "changed_docs": changed_docs,
