@@ -155,6 +155,8 @@ EMPTY_DISPLAY = "—"
 
 BODY_PART_PATTERN = r"^word/(document|(header|footer)\d*)\.xml$"
 CHART_PART_PREFIX = "word/charts/"
+# shared strings, and sheets for their inline and formula strings
+CELL_PART_PATTERN = r"^xl/(sharedStrings|worksheets/[^/]+)\.xml$"
 CUSTOM_XML_PREFIX = "customxml/"
 
 # --------------------------------------------------------------------------

@@ -98,12 +98,11 @@ def drop_relationship(xml: Column, rel_id: Column) -> Column:
     return F.when(rel_id.isNull(), xml).otherwise(F.regexp_replace(xml, pattern, F.lit("")))
 
 
-def text_runs(xml: Column) -> Column:
-    """All run texts (local name ``t``) in document order; needs a well-formed part."""
-    return F.xpath(xml, F.lit("//*[local-name()='t']/text()"))
-
-
-_RUN = rf"(<{_PREFIX}t(?:{_ATTR})*+\s*+>)([^<]++)(</{_PREFIX}t\s*+>)"
+# Opens a run: a text element (also of inline cells), or the stored text of a formula cell.
+_FORMULA = rf"<{_PREFIX}f(?:{_ATTR})*+\s*+(?:/>|>[^<]*+</{_PREFIX}f\s*+>)\s*+"
+_TEXT_CELL = rf"<{_PREFIX}c{_attrs_before('t')}{_attr_named('t')}(?:\"str\"|'str')(?:{_ATTR})*+\s*+>\s*+"
+_OPEN = rf"<{_PREFIX}t(?:{_ATTR})*+\s*+>|{_TEXT_CELL}(?:{_FORMULA})?<{_PREFIX}v(?:{_ATTR})*+\s*+>"
+_RUN = rf"({_OPEN})([^<]++)(</{_PREFIX}[tv]\s*+>)"
 _CDATA = r"(?s)(<!\[CDATA\[)(.*?)(\]\]>)"
 
 
@@ -144,6 +143,11 @@ def run_texts(xml: Column) -> Column:
     return F.transform(_groups(xml, _RUN, 2), unescape)
 
 
+def text_runs(xml: Column) -> Column:
+    """All run texts of a part as it stands, document order; never fails on a part."""
+    return run_texts(plain_runs(xml))
+
+
 def replace_runs(xml: Column, old: Column, new: Column) -> Column:
     """Put the ``new`` texts in place; tags, unchanged texts and all between keep their bytes."""
     runs = F.arrays_zip(

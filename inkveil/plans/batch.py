@@ -199,7 +199,7 @@ class PackageRun:
 
 def _is_body() -> Column:
     """Body parts of text documents and the string cells of workbooks."""
-    return PT.is_body_part(F.col("part")) | (F.col("part") == "xl/sharedStrings.xml")
+    return PT.is_body_part(F.col("part")) | F.col("part").rlike(C.CELL_PART_PATTERN)
 
 
 def edit_body(

@@ -10,7 +10,7 @@ from inkveil.config import AnonymiseConfig, rule_set
 from inkveil.functions.crypto import key_frame
 from inkveil.functions import xmltext as X
 from inkveil.operators import metadata, parts as PT, policy as PO
-from inkveil.plans.batch import anonymise_packages, decrypt_body
+from inkveil.plans.batch import anonymise_packages, decrypt_body, edit_body
 from inkveil.plans.policies import legacy_gate
 from inkveil.sources import files, packages
 
@@ -369,3 +369,29 @@ def test_encodings_survive(encoding):
     assert packages._bytes("a.xml", xml, data) == data  # untouched: byte for byte
     edited = packages._bytes("a.xml", xml.replace("é", "ö"), data)
     assert packages._text("a.xml", edited) == (packages._decode(edited), None) and "ö" in packages._decode(edited)
+
+
+SHEET = (
+    '<worksheet xmlns="urn:m"><sheetData><row r="1">'
+    '<c r="A1" t="inlineStr"><is><t>mail jane@example.org</t></is></c>'
+    '<c r="B1" s="1" t="str"><f>CONCAT("a","b")</f><v>bob@example.org &amp; co</v></c>'
+    "<c r='C1' t='str'><v>kim@example.org</v></c>"
+    '<c r="D1"><f>1+1</f><v>2</v></c><c r="E1" t="s"><v>0</v></c><c r="F1" t="e"><v>#N/A</v></c>'
+    "</row></sheetData></worksheet>"
+)
+
+
+def test_all_text_cells_of_a_sheet(spark):
+    parts = spark.createDataFrame(
+        [("b.xlsx", "xlsx", "xl/worksheets/sheet1.xml", 0, SHEET, None)],
+        "path string, kind string, part string, ordinal int, xml string, error string")
+    config = AnonymiseConfig(rules=rule_set(["email"]))
+    red = SHEET.replace("jane@example.org", "[REDACTED]").replace("bob@example.org", "[REDACTED]").replace(
+        "kim@example.org", "[REDACTED]")
+    row = edit_body(parts, config).first()
+    assert row.xml == red and row.counts["email"] == 3
+    key, _ = key_frame(spark, "pw", b"0123456789abcdef")
+    locked = edit_body(parts, AnonymiseConfig(rules=rule_set([]), encrypt=True), key).drop("counts")
+    xml = locked.first().xml
+    assert xml.count("⧙ENC:") == 3 and "example.org" not in xml and "<v>2</v>" in xml and '<c r="E1" t="s"><v>0</v>' in xml
+    assert decrypt_body(locked, key).first().xml == SHEET
