@@ -56,18 +56,22 @@ def shannon_entropy(value: Column) -> Column:
         value, rf"^[{C.SPACE_CHARS}]+|[{C.SPACE_CHARS}]+$", ""
     )
 
-    def bits(t: Column) -> Column:
-        # equal characters side by side: one run each, whatever the length and the alphabet
-        runs = F.regexp_extract_all(
-            F.array_join(F.sort_array(F.split(t, "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))
-        total = F.length(t).cast("double")
-        return F.aggregate(
-            runs, F.lit(0.0),
-            lambda acc, run: acc - let(F.length(run) / total, lambda p: p * F.log2(p)),
-        )
+    def bits(chars: Column) -> Column:
+        # sorted, so equal characters lie side by side: one pass, whatever the alphabet
+        n = F.size(chars)
+        ends = F.filter(
+            F.sequence(F.lit(1), n), lambda i: ~F.get(chars, i).eqNullSafe(F.get(chars, i - 1)))
+
+        def add(acc: Column, end: Column) -> Column:
+            part = let((end - acc["at"]) / n, lambda p: p * F.log2(p))
+            return F.struct((acc["sum"] - part).alias("sum"), end.alias("at"))
+
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"))
+        return F.aggregate(ends, start, add, lambda acc: acc["sum"])
 
     return F.when(value.isNull(), F.lit(None).cast("double")).otherwise(
-        let(text, lambda t: F.when(F.length(t) == 0, F.lit(0.0)).otherwise(bits(t)))
+        let(text, lambda t: F.when(F.length(t) == 0, F.lit(0.0)).otherwise(
+            let(F.sort_array(F.split(t, "")), bits)))
     )
 
 
