@@ -1,4 +1,4 @@
-"""Near duplicates by SimHash: Golay keys propose pairs, differing bits or shared shingles verify them."""
+"""Near duplicates: by SimHash with Golay keys, and texts by their shared shingles with keys of least hashes."""
 
 from __future__ import annotations
 
@@ -90,25 +90,36 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
 # Near-duplicate texts: 5-word shingles, similarity 0.8.
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of 64 bits of the set of longer words; each gives keys of its own.
-WORDS = [f"f{i}" for i in range(6)]
-LONG_WORD = 5
-#: Differing bits, of all 384, beyond which a pair is not compared as text: twice what pairs at
-#: the least similarity show on average.
-FAR = 72
-
-
-def signature(text: bytes | None) -> tuple[bytes, bytes]:
-    """Hash of the lower-cased word sequence, and the fingerprints of its set of longer words.
-
-    Replacing one word of fifty changes five shingles in fifty but one word in fifty, so texts
-    that share most shingles have very close word sets.
-    """
+#: A text has so many least hashes of its shingles, which two texts share each with the chance of
+#: their similarity; ROWS of them make one of BANDS keys.  At similarity 0.8 a pair shares no key
+#: with a chance of (1 - 0.8 ** 5) ** 25 = 0.00005, however the edits are placed.
+HASHES, ROWS, BANDS = 128, 5, 25
+#: One bit of each least hash, as two fingerprints.
+BITS = ["f0", "f1"]
+#: Differing bits beyond which a pair is not compared as text.  A bit differs with a chance of
+#: (1 - similarity) / 2, so at 0.8 more than 34 of 128 do with a chance below 0.0000001.
+FAR = 34
+
+_FACTORS, _ADDED = np.random.default_rng(SEED).integers(0, 1 << 64, (2, HASHES, 1), dtype=np.uint64)
+_FACTORS |= np.uint64(1)
+
+
+def least_hashes(found: set[bytes]) -> np.ndarray:
+    """The least of each of HASHES hash functions over the shingles; none: the greatest number."""
+    least = np.full(HASHES, ~np.uint64(0))
+    digests = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    for i in range(0, len(digests), BLOCK >> 3):
+        np.minimum(least, (digests[i:i + (BLOCK >> 3)] * _FACTORS + _ADDED).min(axis=1), out=least)
+    return least
+
+
+def signature(text: bytes | None) -> tuple[bytes, bytes, list[int]]:
+    """Hash of the lower-cased word sequence, and the bits and keys of its least shingle hashes."""
     words = (text or b"").lower().split()
-    chosen = {w for w in words if len(w) >= LONG_WORD} or set(words)
-    width = 8 * len(WORDS)
-    digests = [b"".join(xxhash.xxh3_128_digest(w, seed) for seed in range(len(WORDS) // 2)) for w in chosen]
-    return xxhash.xxh3_128_digest(b" ".join(words), SEED), np.packbits(majority(digests, width)).tobytes()
+    least = least_hashes(set(shingles(words, SHINGLE)))
+    bits = np.packbits((least >> np.uint64(17) & np.uint64(1)).astype(np.uint8)).tobytes()
+    keys = np.array([xxhash.xxh64_intdigest(least[i * ROWS:(i + 1) * ROWS].tobytes(), i) for i in range(BANDS)], np.uint64)
+    return xxhash.xxh3_128_digest(b" ".join(words), SEED), bits, keys.view(np.int64).tolist()
 
 
 def similarity(x: bytes, y: bytes) -> float:
@@ -121,26 +132,25 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id): groups of texts linked by a shingle similarity of at least ``least``.
 
     Texts with equal lower-cased words (also: none, or null) are one node, named by its smallest
-    id.  Golay keys over six word-set fingerprints propose pairs; pairs with close fingerprints
-    are compared as texts.  Null ids are left out; rows with equal ids count as one text, the
+    id.  Keys of least shingle hashes propose pairs; pairs with close bits are compared as texts.  Null ids are left out; rows with equal ids count as one text, the
     one with the smallest hash.
     """
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         found = [signature(t) for t in batch.column("text").to_pylist()]
-        split = np.frombuffer(b"".join(f for _, f in found), ">i8").reshape(len(found), len(WORDS)).astype(np.int64)
-        return {"doc_id": batch.column("doc_id"), "same": [s for s, _ in found]} | {
-            w: split[:, i] for i, w in enumerate(WORDS)}
+        split = np.frombuffer(b"".join(f for _, f, _ in found), ">i8").reshape(len(found), len(BITS)).astype(np.int64)
+        return {"doc_id": batch.column("doc_id"), "same": [s for s, _, _ in found],
+                "keys": [k for _, _, k in found]} | {w: split[:, i] for i, w in enumerate(BITS)}
 
-    schema = "doc_id long, same binary, " + ", ".join(f"{w} long" for w in WORDS)
+    schema = "doc_id long, same binary, keys array<long>, " + ", ".join(f"{w} long" for w in BITS)
     signed = stored(arrow_map(text_bytes(docs.where(F.col("doc_id").isNotNull())), run, schema), "signatures")
-    one = signed.groupBy("doc_id").agg(F.min(F.struct("same", *WORDS)).alias("s")).select("doc_id", "s.*")
-    nodes = stored(one.groupBy("same").agg(F.min("doc_id").alias("node"), *(F.min(w).alias(w) for w in WORDS)), "nodes")
+    one = signed.groupBy("doc_id").agg(F.min(F.struct("same", "keys", *BITS)).alias("s")).select("doc_id", "s.*")
+    nodes = stored(one.groupBy("same").agg(F.min("doc_id").alias("node"), *(F.min(c).alias(c) for c in ("keys", *BITS))), "nodes")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        side = lambda name: nodes.select(F.col("node").alias(name), *(F.col(w).alias(name + w) for w in WORDS))
+        side = lambda name: nodes.select(F.col("node").alias(name), *(F.col(w).alias(name + w) for w in BITS))
         close = stored(
             pairs.join(side("a"), "a").join(side("b"), "b")
-            .where(differing([F.col("a" + w) for w in WORDS], [F.col("b" + w) for w in WORDS]) <= FAR)
+            .where(differing([F.col("a" + w) for w in BITS], [F.col("b" + w) for w in BITS]) <= FAR)
             .select("a", "b"), "close")
         needed = close.select("a").union(close.select("b")).distinct().withColumnRenamed("a", "doc_id")
         texts = stored(docs.select("doc_id", F.col("text").cast("binary").alias("text"))
@@ -156,7 +166,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         return (close.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
                 .mapInArrow(compare, "a long, b long"))
 
-    near = components_by_key(golay_keys(nodes, "node", WORDS), linked)
+    near = components_by_key(nodes.select(F.explode("keys").alias("key"), "node"), linked)
     named = (nodes.join(near, "node", "left")
              .select("same", F.coalesce("component", "node").alias("component_id")))
     return one.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")

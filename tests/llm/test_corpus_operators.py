@@ -130,6 +130,27 @@ def test_near_duplicates_of_edited_texts(docs):
     assert simhash.keep_one_of_each(frame.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_appended_cut_and_block_edited_texts(docs):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(4_000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts, pairs = [], {"appended": [], "cut off": [], "block": []}
+    for _ in range(100):
+        words = some(rng.randint(100, 400))
+        n = len(words)
+        start = rng.randrange(n - n // 12)
+        copies = {"appended": words + some(rng.randint(n // 7, n // 5)), "cut off": words[:-rng.randint(n // 7, n // 5)],
+                  "block": words[:start] + some(n // 12) + words[start + n // 12:]}
+        kind = rng.choice(list(pairs))
+        pairs[kind].append((len(texts), len(texts) + 1))
+        texts += [" ".join(words), " ".join(copies[kind])]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(texts)).collect()}
+    for kind, made in pairs.items():
+        near = [p for p in made if plain_similarity(texts[p[0]], texts[p[1]]) >= 0.8]
+        assert len(near) > 10 and all(got[b] == a for a, b in near), kind
+        assert all(got[b] == b for a, b in made if (a, b) not in near), kind
+
+
 # vectors
 
 def test_vectors_match_all_pairs(spark):
