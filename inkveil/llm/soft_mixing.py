@@ -1,14 +1,15 @@
 """Mixing to target weights by soft membership.
 
 A classifier learned from a labelled table gives every document a probability for each domain.
-Projected-gradient least squares then finds a nonnegative rate for each document such that the
-expected tokens of each domain meet their targets.  All work on documents is DataFrame
+Least squares by projected Newton steps then finds a nonnegative rate for each document such that
+the expected tokens of each domain meet their targets.  All work on documents is DataFrame
 expressions; only per-domain sums and the classifier's bounded counts come to the driver.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -27,7 +28,9 @@ SHRINK, SURE, SUPPORT = 2_000, 6.0, 0.05
 BINS = 8
 #: Every fourth learned document fits the temperature instead.
 TEMPERATURES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
-STEPS, PRECISION = 12, 1e-5
+#: The solver ends at a gradient of PRECISION, as a share of all tokens; EASE weighs the rates' distance
+#: from 1, a larger gap than MET is reported, and more than MOST trials (some 10 are usual) are an error.
+PRECISION, EASE, MET, MOST = 1e-9, 1e-7, 1e-5, 300
 #: Token shares wanted from the domains of the labelled table.
 TARGETS = {"good": 0.80, "poor": 0.08, "toxic": 0.12}
 
@@ -189,44 +192,68 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 
 def rate(steps: list[list[float]]) -> Column:
-    """A document's rate after these steps, from 1: each subtracts its part and is cut at 0."""
-    if not steps:
-        return F.lit(1.0)
-    parts = [_numbers([mu[k] for mu in steps]) for k in range(len(steps[0]))]
+    """A document's rate after these steps, from 1: each subtracts its part and is cut at 0.
 
-    def after(r: Column, i: Column) -> Column:
-        gain = sum((F.col(f"__p{k}") * F.get(m, i) for k, m in enumerate(parts)), F.lit(0.0))
-        return F.greatest(F.lit(0.0), r - gain)
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), after)
+    Texts without tokens are no part of the mix and stay at 1.
+    """
+    found = F.lit(1.0)
+    for step in steps:
+        found = F.greatest(F.lit(0.0), found - sum((F.col(f"__p{k}") * F.lit(float(m)) for k, m in enumerate(step)), F.lit(0.0)))
+    return F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(found)
 
 
 def solve_rates(members: DataFrame, targets: list[float]) -> list[list[float]]:
-    """Steps of projected gradient descent over ``members`` (n_tokens, __p0, __p1, …).
-
-    Minimises the whitened squared gap between the domains' expected tokens and the targets, from
-    rates of 1, in the metric that weighs a document by its tokens.  With G = sum of tokens x
-    posterior x posterior', the gradient step has length 1 and is G^-1 gap, dotted with a document's
-    posterior; the projection cuts its rate at 0.  A step is one aggregation of as many numbers as
-    there are domains.  A domain that no document belongs to is met as far as it can be.
+    """The step from rates of 1 over ``members`` (n_tokens, __p0, __p1, …): none or one.
+
+    Minimises the whitened squared gap between the domains' expected tokens and the targets plus
+    EASE times the squared distance of the rates from 1, both weighing a document by its tokens.
+    At the least, a rate is 1 - mu * posterior, cut at 0, with a mu of one number a domain that
+    solves gap = EASE * G mu, with G = sum of tokens x posterior x posterior'.  Newton steps on mu
+    take G over the documents with a rate above 0, and are shortened where they overshoot; the
+    problem is convex, so they end at the nearest reachable mix.  A trial is one aggregation of as
+    many numbers as there are pairs of domains.  A gap that remains is reported by a warning.
     """
     k = len(targets)
     tokens = F.col("n_tokens").cast("double")
     p = [F.col(f"__p{i}") for i in range(k)]
-    first = members.agg(F.coalesce(F.sum(tokens), F.lit(0.0)),
-                        *(F.coalesce(F.sum(tokens * x * y), F.lit(0.0)) for x in p for y in p)).first()
-    total, gram = first[0], [[first[1 + i * k + j] for j in range(k)] for i in range(k)]
-    if not total:
+
+    def look(mu: list[float] | None) -> tuple[list[float], list[list[float]], float]:
+        now = rate([mu] if mu else [])
+        active = F.when(now > 0, tokens).otherwise(0.0)
+        sums = [F.sum(tokens), *(F.sum(tokens * now * x) for x in p),
+                *(F.sum(active * p[i] * p[j]) for i in range(k) for j in range(i, k))]
+        found = [v or 0.0 for v in members.agg(*(x.alias(f"s{i}") for i, x in enumerate(sums))).first()]
+        upper = iter(found[1 + k:])
+        gram = [[0.0] * k for _ in range(k)]
+        for i in range(k):
+            for j in range(i, k):
+                gram[i][j] = gram[j][i] = next(upper)
+        return [n - t * found[0] for n, t in zip(found[1:1 + k], targets, strict=True)], gram, found[0]
+
+    gap, gram, total = look(None)
+    if not total or max(map(abs, gap)) <= PRECISION * total:
         return []
-    ridge = 1e-9 * total
-    gram = [[g + ridge * (i == j) for j, g in enumerate(row)] for i, row in enumerate(gram)]
-    steps: list[list[float]] = []
-    gap = [sum(row) - t * total for row, t in zip(gram, targets, strict=True)]  # at rate 1
-    while len(steps) < STEPS and max(map(abs, gap)) > PRECISION * total:
-        steps.append(_solve(gram, gap))
-        now = members.agg(*(F.sum(tokens * rate(steps) * x) for x in p)).first()
-        gap = [n - t * total for n, t in zip(now, targets, strict=True)]
-    return steps
+    ease = [[EASE * (g + 1e-9 * total * (i == j)) for j, g in enumerate(row)] for i, row in enumerate(gram)]
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True))
+    left = lambda gap, mu: [g - dot(row, mu) for g, row in zip(gap, ease, strict=True)]
+    mu, trials = [0.0] * k, 0
+    while max(map(abs, rest := left(gap, mu))) > PRECISION * total:
+        way = _solve([[a + b for a, b in zip(x, y, strict=True)] for x, y in zip(gram, ease, strict=True)], rest)
+        start, length = dot(rest, way), 1.0
+        while True:
+            if (trials := trials + 1) > MOST:
+                raise RuntimeError(f"rates not found in {MOST} trials; largest gap {max(map(abs, gap)) / total:.3g} of all tokens")
+            tried = [m + length * w for m, w in zip(mu, way, strict=True)]
+            gap, gram, _ = look(tried)
+            beyond = -dot(left(gap, tried), way)  # slope along the way: -start at its beginning, above 0 where it overshot
+            if beyond <= start / 2:
+                break
+            length *= max(0.1, min(0.5, start / (beyond + start)))
+        mu = tried
+    if max(map(abs, gap)) > MET * total:
+        warnings.warn("targets cannot be met; the nearest reachable shares are "
+                      + ", ".join(f"{t + g / total:.4f} for {t}" for g, t in zip(gap, targets, strict=True)), stacklevel=2)
+    return [mu]
 
 
 def copies(doc_id: Column, rate_: Column) -> Column:

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import warnings
 import zlib
 from collections import Counter
 
@@ -240,6 +241,32 @@ def test_rates_meet_targets_like_least_squares(spark):
     assert np.allclose(rates, want, atol=1e-6)
 
 
+def test_rates_are_solved_to_the_end(spark):
+    rng = np.random.default_rng(8)
+    tokens = rng.integers(1, 500, 3_000)
+
+    def solved(p, targets):
+        frame = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(tokens, p, strict=True)],
+                                      "n_tokens long, __p0 double, __p1 double, __p2 double").cache()
+        steps = soft_mixing.solve_rates(frame, targets)
+        return np.array([r[0] for r in frame.select(soft_mixing.rate(steps)).collect()])
+
+    for shape, targets in (([8, 1, 1], [0.92, 0.05, 0.03]), ([3, 1.8, 0.3], [0.8, 0.08, 0.12]), ([3, 1.8, 0.3], [0.4, 0.3, 0.3])):
+        p = rng.dirichlet(shape, len(tokens))
+        rates = solved(p, targets)
+        assert (rates >= 0).all()
+        assert np.abs((tokens * rates) @ p / tokens.sum() - targets).max() < 1e-5
+    targets = [0.05, 0.9, 0.05]  # beyond all documents: the nearest mix, so no document's rate could better it
+    p = rng.dirichlet([8, 1, 1], len(tokens))
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        rates = solved(p, targets)
+    assert any("cannot be met" in str(w.message) for w in said)
+    gap = (tokens * rates) @ p / tokens.sum() - targets
+    slope = p @ np.linalg.solve((p * tokens[:, None]).T @ p / tokens.sum(), gap)
+    assert np.abs(gap).max() > 0.05 and slope.min() > -1e-3 and np.abs(slope[rates > 0]).max() < 1e-3
+
+
 def test_mixing_rows(spark, docs):
     frame = docs([*ODD, *(f"good words here {i} and there" for i in range(40)), *(f"%%% ### $$$ {i}" for i in range(40))])
     labelled = spark.createDataFrame([(i, "good" if i < 50 else "poor") for i in range(10, 90)] + [(None, "good"), (1, "other")],
