@@ -283,6 +283,19 @@ def test_mixing_rows(spark, docs):
     assert soft_mixing.mixed(frame.limit(0), labelled.limit(0), targets)[0].count() == 0
 
 
+def test_mixing_moves_the_tables_to_the_targets(spark):
+    rows = E.queries()["op2_mixing"](spark, "/root/testdata/sf0.1").collect()
+    tokens = np.array([r["n_tokens"] for r in rows])
+    posterior = np.array([r["posterior"] for r in rows])
+    targets = np.array(list(soft_mixing.TARGETS.values()))
+    share = lambda rates: (tokens * rates) @ posterior / tokens.sum()
+    present = share(np.ones(len(rows)))
+    assert (np.abs(present - targets) > 0.2 * targets).sum() >= 2, "targets are not read off the tables"
+    assert np.abs(share(np.array([r["rate"] for r in rows])) - targets).max() < 1e-5
+    taken = share(np.array([r["copies"] for r in rows]))
+    assert np.abs(taken - targets).sum() < np.abs(present - targets).sum() / 2
+
+
 # language model
 
 def test_scores(spark):
