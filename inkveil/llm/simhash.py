@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkveil.llm import golay
@@ -128,23 +128,27 @@ def similarity(x: bytes, y: bytes) -> float:
     return len(p & q) / len(p | q) if p or q else 1.0
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id): groups of texts linked by a shingle similarity of at least ``least``.
+def _raw(text: str) -> Column:
+    """Names a text beside its id: rows with equal ids can hold different texts."""
+    return F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
+
 
-    Texts with equal lower-cased words (also: none, or null) are one node, named by its smallest
-    id.  Keys of least shingle hashes propose pairs; pairs with close bits are compared as texts.  Null ids are left out; rows with equal ids count as one text, the
-    one with the smallest hash.
+def _grouped(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, same) of each row, and (same, first) of each word sequence: the first row of its group.
+
+    ``first`` (without, doc_id, raw) orders rows by id, then by text; rows without an id come last.
     """
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         found = [signature(t) for t in batch.column("text").to_pylist()]
         split = np.frombuffer(b"".join(f for _, f, _ in found), ">i8").reshape(len(found), len(BITS)).astype(np.int64)
-        return {"doc_id": batch.column("doc_id"), "same": [s for s, _, _ in found],
+        return {"doc_id": batch.column("doc_id"), "raw": batch.column("raw"), "same": [s for s, _, _ in found],
                 "keys": [k for _, _, k in found]} | {w: split[:, i] for i, w in enumerate(BITS)}
 
-    schema = "doc_id long, same binary, keys array<long>, " + ", ".join(f"{w} long" for w in BITS)
-    signed = stored(arrow_map(text_bytes(docs.where(F.col("doc_id").isNotNull())), run, schema), "signatures")
-    one = signed.groupBy("doc_id").agg(F.min(F.struct("same", "keys", *BITS)).alias("s")).select("doc_id", "s.*")
-    nodes = stored(one.groupBy("same").agg(F.min("doc_id").alias("node"), *(F.min(c).alias(c) for c in ("keys", *BITS))), "nodes")
+    schema = "doc_id long, raw string, same binary, keys array<long>, " + ", ".join(f"{w} long" for w in BITS)
+    signed = stored(arrow_map(text_bytes(docs, _raw("text").alias("raw")), run, schema), "signatures")
+    first = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "raw")
+    nodes = stored(signed.groupBy("same").agg(F.min(first).alias("first"), *(F.min(c).alias(c) for c in ("keys", *BITS)))
+                   .withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def linked(pairs: DataFrame) -> DataFrame:
         side = lambda name: nodes.select(F.col("node").alias(name), *(F.col(w).alias(name + w) for w in BITS))
@@ -152,10 +156,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             pairs.join(side("a"), "a").join(side("b"), "b")
             .where(differing([F.col("a" + w) for w in BITS], [F.col("b" + w) for w in BITS]) <= FAR)
             .select("a", "b"), "close")
-        needed = close.select("a").union(close.select("b")).distinct().withColumnRenamed("a", "doc_id")
-        texts = stored(docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-                       .join(needed, "doc_id", "left_semi")
-                       .groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(b""))).alias("text")), "texts")
+        needed = (close.select("a").union(close.select("b")).distinct().withColumnRenamed("a", "node")
+                  .join(nodes, "node").select("node", F.col("first.doc_id").alias("id"), "first.raw"))
+        rows = docs.select("doc_id", _raw("text").alias("raw"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+        texts = stored(rows.join(needed, (rows["raw"] == needed["raw"]) & rows["doc_id"].eqNullSafe(needed["id"]))
+                       .groupBy("node").agg(F.min("text").alias("text")), "texts")
 
         def compare(batches):
             for batch in batches:
@@ -168,18 +173,33 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     near = components_by_key(nodes.select(F.explode("keys").alias("key"), "node"), linked)
     named = (nodes.join(near, "node", "left")
-             .select("same", F.coalesce("component", "node").alias("component_id")))
-    return one.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
+             .select("same", "first", F.coalesce("component", "node").alias("component")))
+    firsts = named.groupBy("component").agg(F.min("first").alias("first"))
+    return signed.select("doc_id", "same"), named.drop("first").join(firsts, "component").select("same", "first")
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): groups of texts linked by a shingle similarity of at least ``least``.
+
+    Texts with equal lower-cased words (also: none, or null) are one node.  Keys of least shingle
+    hashes propose pairs; pairs with close bits are compared as texts.  A group is named by its
+    smallest id, or null if it has none.  An id with several texts has a row for each; null ids
+    take part with the others.
+    """
+    rows, groups = _grouped(docs, least)
+    return rows.distinct().join(groups, "same").select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the near duplicates of a smaller id; rows with equal ids become one (the least).
+    """One row of each group of near duplicates: that of the smallest id, without an id only if none has one.
 
-    Rows without an id stay: nothing names them.
+    Rows with equal ids but different texts are different documents.  Of rows with the same id and
+    text the least is kept.
     """
-    groups = near_duplicates(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    among = Window.partitionBy("doc_id").orderBy(*docs.columns)
-    return (docs.join(kept, "doc_id", "left_semi").withColumn("__among_equal_ids", F.row_number().over(among))
-            .where("__among_equal_ids = 1").select(*docs.columns)
-            .union(docs.where(F.col("doc_id").isNull())))
+    kept = _grouped(docs, SIMILARITY)[1].select("first").distinct().select(
+        F.col("first.doc_id").alias("__id"), F.col("first.raw").alias("__kept"))
+    named = docs.withColumn("__raw", _raw("text"))
+    among = Window.partitionBy("doc_id", "__raw").orderBy(*docs.columns)
+    return (named.join(kept, (F.col("__raw") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+            .withColumn("__among_equals", F.row_number().over(among))
+            .where("__among_equals = 1").select(*docs.columns))

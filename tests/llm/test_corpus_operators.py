@@ -131,6 +131,14 @@ def test_near_duplicates_of_edited_texts(docs):
     assert simhash.keep_one_of_each(frame.limit(0)).count() == 0
 
 
+def test_texts_with_equal_ids_stay_and_copies_without_an_id_go(docs):
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    rows = [(1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, "c"), (None, "c"), (3, "d"), (3, "d"), (2, "b")]
+    frame = docs([]).sparkSession.createDataFrame([(i, texts[k]) for i, k in rows], "doc_id long, text string")
+    kept = {(r["doc_id"], r["text"][0]) for r in simhash.keep_one_of_each(frame).collect()}
+    assert kept == {(1, "a"), (1, "b"), (None, "c"), (3, "d")} and simhash.keep_one_of_each(frame).count() == 4
+
+
 def test_near_duplicates_of_appended_cut_and_block_edited_texts(docs):
     rng = random.Random(9)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(4_000)]
