@@ -180,15 +180,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return runs
 
 
-#: Most slots that one planned run hands to a single task.
+#: Most slots of one row of the plan; rows are dealt to all tasks.
 RUN = 1 << 17
 
 
 def slots(spark: SparkSession, runs: list[tuple]) -> DataFrame:
     """(length, rank, sequence_id, offset): the planned runs as rows, made where they are needed."""
-    cut = [(length, rank + i * each, min(RUN, n - i), each, first + i, offset)
-           for length, rank, n, each, first, offset in runs for i in range(0, n, RUN)]
-    frame = spark.createDataFrame(cut, "length long, rank long, n long, each long, first long, offset long")
+    cut = [(length, rank + i * each, min(step, n - i), each, first + i, offset)
+           for length, rank, n, each, first, offset in runs
+           for step in (max(1, RUN // each),) for i in range(0, n, step)]
+    frame = (spark.createDataFrame(cut, "length long, rank long, n long, each long, first long, offset long")
+             .repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     slots_of_run = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") * F.col("each") - 1))
     return (frame.select("*", slots_of_run.alias("i"))
             .select("length", (F.col("rank") + F.col("i")).alias("rank"),

@@ -237,6 +237,18 @@ def test_plan_is_best_fit_decreasing():
     assert packing.plan({}) == []
 
 
+def test_slots_of_one_length_are_many_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(packing, "RUN", 5_000)
+    found = packing.slots(spark, packing.plan({1: 400_000, 7: 3}))
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 400_003 and max(tasks) < 400_000 / 2
+    ranks = found.where("length = 1").select("rank").distinct()
+    assert ranks.count() == 400_000 and ranks.agg(F.max("rank")).first()[0] == 399_999
+    assert found.select("sequence_id", "offset").distinct().count() == 400_003
+
+
 def test_packing_rows(docs, tokenizer):
     texts = [*ODD, *("w " * n for n in range(1, 60))]
     frame = docs(texts)
