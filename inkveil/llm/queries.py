@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from inkveil.llm import decontamination
 from inkveil.llm.compression_rules import op10_compression_rules
+from inkveil.llm.decontamination import op11_decontamination
 from inkveil.llm.gam_quality import op8_quality
 from inkveil.llm.hash_tree import op6_sharding
 from inkveil.llm.lang_id import op4_language_id
@@ -16,8 +18,8 @@ from inkveil.llm.soft_mixing import op2_mixing
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_mixing, op3_lm_scoring, op4_language_id, op5_near_vectors,
-    op6_sharding, op7_simhash, op8_quality, op9_pii, op10_compression_rules)}
+    op6_sharding, op7_simhash, op8_quality, op9_pii, op10_compression_rules, op11_decontamination)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
-#: None of the operators is one SQL statement: tokens, models, checksums and iterations are tested by brute force.
-ORACLES: dict[str, str] = {}
+#: The others are not SQL statements: tokens, models, checksums and iterations are tested by brute force.
+ORACLES: dict[str, str] = {"op11_decontamination": decontamination.ORACLE}
