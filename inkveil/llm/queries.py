@@ -15,10 +15,12 @@ from inkveil.llm.packing import op1_packing
 from inkveil.llm.pii import op9_pii
 from inkveil.llm.simhash import op7_simhash
 from inkveil.llm.soft_mixing import op2_mixing
+from inkveil.llm.spelling import op12_spelling_variants
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_mixing, op3_lm_scoring, op4_language_id, op5_near_vectors,
-    op6_sharding, op7_simhash, op8_quality, op9_pii, op10_compression_rules, op11_decontamination)}
+    op6_sharding, op7_simhash, op8_quality, op9_pii, op10_compression_rules, op11_decontamination,
+    op12_spelling_variants)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 #: The others are not SQL statements: tokens, models, checksums and iterations are tested by brute force.
