@@ -1,4 +1,4 @@
-"""Near duplicates: by SimHash with Golay keys, and texts by their shared shingles with keys of least hashes."""
+"""Near duplicates by SimHash fingerprints, found by Golay keys."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from inkveil.llm.graph import components_by_key, differing
 
 SEED = 42
 BLOCK = 1 << 15
+#: Words of a shingle, and bits that linked fingerprints may differ in.
+SHINGLE, MOST_BITS = 3, 2
 
 
 def shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -38,17 +40,23 @@ def majority(digests: list[bytes], width: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None) -> int:
     """64 bits from the 3-word shingles, repeats included, of the lower-cased text; no words: 0."""
-    found = shingles((text or b"").lower().split(), 3)
+    found = shingles((text or b"").lower().split(), SHINGLE)
     bits = majority([xxhash.xxh64_digest(s, SEED) for s in found], 8)
     return int(np.packbits(bits).view(">i8")[0])
 
 
+def _raw(text: Column) -> Column:
+    """Names a text beside its id: rows with equal ids can hold different texts."""
+    return F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``; null and empty texts have fingerprint 0."""
+    """(doc_id, raw, fp): one row per row of ``docs``; null and empty texts have fingerprint 0."""
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        return {"doc_id": batch.column("doc_id"), "fp": [fingerprint(t) for t in batch.column("text").to_pylist()]}
+        return {"doc_id": batch.column("doc_id"), "raw": batch.column("raw"),
+                "fp": [fingerprint(t) for t in batch.column("text").to_pylist()]}
 
-    return arrow_map(text_bytes(docs), run, "doc_id long, fp long")
+    return arrow_map(text_bytes(docs, _raw("text").alias("raw")), run, "doc_id long, raw string, fp long")
 
 
 def golay_keys(fps: DataFrame, node: str, words: list[str]) -> DataFrame:
@@ -64,142 +72,51 @@ def golay_keys(fps: DataFrame, node: str, words: list[str]) -> DataFrame:
     return fps.select(*dict.fromkeys((node, *words))).mapInArrow(run, "key long, node long")
 
 
-def simhash_components(docs: DataFrame, most: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id): components of links at ``most`` (two or fewer) differing bits.
+def _groups(fps: DataFrame, most: int) -> DataFrame:
+    """(fp, group): fingerprints linked at ``most`` or fewer differing bits have one group.
 
-    Equal fingerprints are one node, so copies are never paired.  A null id takes part with the
-    others; a component of null ids only has a null id.  Repeated rows get equal results.
+    Equal fingerprints are one node, so copies are never paired.
     """
     assert most <= 2, "the keys find links of at most two differing bits"
-    fps = stored(fingerprints(docs), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    nodes = fps.select("fp").distinct()
     near = components_by_key(
         golay_keys(nodes, "fp", ["fp"]),
         lambda pairs: pairs.where(differing([F.col("a")], [F.col("b")]) <= most))
-    named = (nodes.join(near.withColumnRenamed("node", "fp"), "fp", "left")
-             .withColumn("component", F.coalesce("component", "fp")))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return fps.join(named.join(least, "component").select("fp", "component_id"), "fp")
-
-
-def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    return simhash_components(read_table(prepare(spark), folder, "documents")).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-# Near-duplicate texts: 5-word shingles, similarity 0.8.
-
-SHINGLE, SIMILARITY = 5, 0.8
-#: A text has so many least hashes of its shingles, which two texts share each with the chance of
-#: their similarity; ROWS of them make one of BANDS keys.  At similarity 0.8 a pair shares no key
-#: with a chance of (1 - 0.8 ** 5) ** 25 = 0.00005, however the edits are placed.
-HASHES, ROWS, BANDS = 128, 5, 25
-#: One bit of each least hash, as two fingerprints.
-BITS = ["f0", "f1"]
-#: Differing bits beyond which a pair is not compared as text.  A bit differs with a chance of
-#: (1 - similarity) / 2, so at 0.8 more than 34 of 128 do with a chance below 0.0000001.
-FAR = 34
-
-_FACTORS, _ADDED = np.random.default_rng(SEED).integers(0, 1 << 64, (2, HASHES, 1), dtype=np.uint64)
-_FACTORS |= np.uint64(1)
-
-
-def least_hashes(found: set[bytes]) -> np.ndarray:
-    """The least of each of HASHES hash functions over the shingles; none: the greatest number."""
-    least = np.full(HASHES, ~np.uint64(0))
-    digests = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
-    for i in range(0, len(digests), BLOCK >> 3):
-        np.minimum(least, (digests[i:i + (BLOCK >> 3)] * _FACTORS + _ADDED).min(axis=1), out=least)
-    return least
-
-
-def signature(text: bytes | None) -> tuple[bytes, bytes, list[int]]:
-    """Hash of the lower-cased word sequence, and the bits and keys of its least shingle hashes."""
-    words = (text or b"").lower().split()
-    least = least_hashes(set(shingles(words, SHINGLE)))
-    bits = np.packbits((least >> np.uint64(17) & np.uint64(1)).astype(np.uint8)).tobytes()
-    keys = np.array([xxhash.xxh64_intdigest(least[i * ROWS:(i + 1) * ROWS].tobytes(), i) for i in range(BANDS)], np.uint64)
-    return xxhash.xxh3_128_digest(b" ".join(words), SEED), bits, keys.view(np.int64).tolist()
+    return (nodes.join(near.withColumnRenamed("node", "fp"), "fp", "left")
+            .select("fp", F.coalesce("component", "fp").alias("group")))
 
 
-def similarity(x: bytes, y: bytes) -> float:
-    """Jaccard similarity of the sets of 5-word shingles; two texts without words: 1."""
-    p, q = (set(shingles(t.lower().split(), SHINGLE)) for t in (x, y))
-    return len(p & q) / len(p | q) if p or q else 1.0
-
-
-def _raw(text: str) -> Column:
-    """Names a text beside its id: rows with equal ids can hold different texts."""
-    return F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
-
-
-def _grouped(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, same) of each row, and (same, first) of each word sequence: the first row of its group.
-
-    ``first`` (without, doc_id, raw) orders rows by id, then by text; rows without an id come last.
-    """
-    def run(batch: pa.RecordBatch) -> dict[str, list]:
-        found = [signature(t) for t in batch.column("text").to_pylist()]
-        split = np.frombuffer(b"".join(f for _, f, _ in found), ">i8").reshape(len(found), len(BITS)).astype(np.int64)
-        return {"doc_id": batch.column("doc_id"), "raw": batch.column("raw"), "same": [s for s, _, _ in found],
-                "keys": [k for _, _, k in found]} | {w: split[:, i] for i, w in enumerate(BITS)}
+def simhash_components(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """(doc_id, fp, component_id): components of links at ``most`` (two or fewer) differing bits.
 
-    schema = "doc_id long, raw string, same binary, keys array<long>, " + ", ".join(f"{w} long" for w in BITS)
-    signed = stored(arrow_map(text_bytes(docs, _raw("text").alias("raw")), run, schema), "signatures")
-    first = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "raw")
-    nodes = stored(signed.groupBy("same").agg(F.min(first).alias("first"), *(F.min(c).alias(c) for c in ("keys", *BITS)))
-                   .withColumn("node", F.monotonically_increasing_id()), "nodes")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        side = lambda name: nodes.select(F.col("node").alias(name), *(F.col(w).alias(name + w) for w in BITS))
-        close = stored(
-            pairs.join(side("a"), "a").join(side("b"), "b")
-            .where(differing([F.col("a" + w) for w in BITS], [F.col("b" + w) for w in BITS]) <= FAR)
-            .select("a", "b"), "close")
-        needed = (close.select("a").union(close.select("b")).distinct().withColumnRenamed("a", "node")
-                  .join(nodes, "node").select("node", F.col("first.doc_id").alias("id"), "first.raw"))
-        rows = docs.select("doc_id", _raw("text").alias("raw"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-        texts = stored(rows.join(needed, (rows["raw"] == needed["raw"]) & rows["doc_id"].eqNullSafe(needed["id"]))
-                       .groupBy("node").agg(F.min("text").alias("text")), "texts")
-
-        def compare(batches):
-            for batch in batches:
-                x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-                yield batch.select(["a", "b"]).filter(
-                    pa.array([similarity(p, q) >= least for p, q in zip(x, y, strict=True)], pa.bool_()))
-
-        return (close.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-                .mapInArrow(compare, "a long, b long"))
-
-    near = components_by_key(nodes.select(F.explode("keys").alias("key"), "node"), linked)
-    named = (nodes.join(near, "node", "left")
-             .select("same", "first", F.coalesce("component", "node").alias("component")))
-    firsts = named.groupBy("component").agg(F.min("first").alias("first"))
-    return signed.select("doc_id", "same"), named.drop("first").join(firsts, "component").select("same", "first")
-
-
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id): groups of texts linked by a shingle similarity of at least ``least``.
-
-    Texts with equal lower-cased words (also: none, or null) are one node.  Keys of least shingle
-    hashes propose pairs; pairs with close bits are compared as texts.  A group is named by its
-    smallest id, or null if it has none.  An id with several texts has a row for each; null ids
-    take part with the others.
+    A null id takes part with the others; a component of null ids only has a null id.  Repeated rows
+    get equal results; an empty table gives none.
     """
-    rows, groups = _grouped(docs, least)
-    return rows.distinct().join(groups, "same").select("doc_id", F.col("first.doc_id").alias("component_id"))
+    fps = stored(fingerprints(docs).select("doc_id", "fp"), "fingerprints")
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(_groups(fps, most), "fp")
+    named = least.groupBy("group").agg(F.min("rep").alias("component_id"))
+    return fps.join(least.join(named, "group").select("fp", "component_id"), "fp")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """One row of each group of near duplicates: that of the smallest id, without an id only if none has one.
 
-    Rows with equal ids but different texts are different documents.  Of rows with the same id and
-    text the least is kept.
+    Groups are those of ``simhash_components``.  Of rows with that id the smallest digest of the text
+    decides, then the smallest of all columns as JSON, so a repeated row stays once.
     """
-    kept = _grouped(docs, SIMILARITY)[1].select("first").distinct().select(
-        F.col("first.doc_id").alias("__id"), F.col("first.raw").alias("__kept"))
+    fps = stored(fingerprints(docs), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "raw")
+    firsts = fps.groupBy("fp").agg(F.min(first).alias("first")).join(_groups(fps, most), "fp")
+    kept = (firsts.groupBy("group").agg(F.min("first").alias("first"))
+            .select(F.col("first.doc_id").alias("__id"), F.col("first.raw").alias("__kept")))
     named = docs.withColumn("__raw", _raw("text"))
-    among = Window.partitionBy("doc_id", "__raw").orderBy(*docs.columns)
+    among = Window.partitionBy("doc_id", "__raw").orderBy("__json")
     return (named.join(kept, (F.col("__raw") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+            .withColumn("__json", F.to_json(F.struct(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text")), F.lit(0))))
             .withColumn("__among_equals", F.row_number().over(among))
             .where("__among_equals = 1").select(*docs.columns))
+
+
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_components(read_table(prepare(spark), folder, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

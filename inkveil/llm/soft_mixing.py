@@ -1,9 +1,10 @@
 """Mixing to target weights by soft membership.
 
 A classifier learned from a labelled table gives every document a probability for each domain.
-Least squares by projected Newton steps then finds a nonnegative rate for each document such that
-the expected tokens of each domain meet their targets.  All work on documents is DataFrame
-expressions; only per-domain sums and the classifier's bounded counts come to the driver.
+Least squares by projected gradient then finds a nonnegative rate for each document such that the
+expected tokens of each domain meet their targets.  All work on documents is DataFrame expressions.
+A document's probabilities are those measured on labelled documents like it (its cell), so rates
+are one per cell: Spark sums the tokens of each cell, and the descent runs on these few sums.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import math
 import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,18 +21,21 @@ from pyspark.sql import functions as F
 from inkveil.llm.common import prepare, read_table, stored
 from inkveil.session import spread
 
-#: Hash buckets of words; about so many labelled documents are learned from, by a hash of the id.
-BUCKETS, MAX_ROWS = 1 << 16, 20_000
-#: Words of the average text that every domain is given beside its own, and how many standard
-#: deviations a bucket's count must differ to count as evidence, and the share of documents it is in.
-SHRINK, SURE, SUPPORT = 2_000, 6.0, 0.05
+#: About so many labelled documents are learned from, by a hash of the id; two fifths of them measure the cells.
+MAX_ROWS, HELD = 20_000, 2
+#: Code points of a stem.  A stem is evidence if one domain's documents hold it more often than chance
+#: allows by SURE standard deviations, in at least LEAST of them and a share of SUPPORT; the model has
+#: the STEMS surest.  Every domain is given AVERAGE documents of the average kind.
+STEM, SURE, LEAST, SUPPORT, STEMS, AVERAGE = 5, 5.0, 4, 0.02, 300, 2.0
 #: Shape of a text, cut into so many bins each.
 BINS = 8
-#: Every fourth learned document fits the temperature instead.
-TEMPERATURES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
-#: The solver ends at a gradient of PRECISION, as a share of all tokens; EASE weighs the rates' distance
-#: from 1, a larger gap than MET is reported, and more than MOST trials (some 10 are usual) are an error.
-PRECISION, EASE, MET, MOST = 1e-9, 1e-7, 1e-5, 300
+#: A cell: the likeliest domain, how far its evidence leads (log-ratio), and the number of tokens.
+LEADS, LENGTHS = (0.5, 1.0, 2.0, 4.0, 8.0), (16, 64, 256, 1024, 4096)
+#: Documents of the wider cell that each cell is given.
+SMOOTH = 4.0
+#: EASE weighs the squared distance of the rates from 1 against the squared gap in token shares: it limits
+#: how far a mix may go.  The descent ends at steps below PRECISION; a gap above MET is reported.
+EASE, PRECISION, MET = 1e-4, 1e-12, 5e-3
 #: Token shares wanted from the domains of the labelled table, whatever shares a table has: nearly all
 #: good, a little poor text for breadth, and only as much toxic text as it takes to recognise it.
 TARGETS = {"good": 0.92, "poor": 0.05, "toxic": 0.03}
@@ -44,79 +49,73 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(trimmed), "[ \\t-\\r]+"))
 
 
-def shape(text: Column, tokens: Column) -> list[Column]:
-    """Bins 0 to BINS - 1: symbols, capitals, distinct words and words to a line."""
+def shape(text: Column, tokens: Column, distinct: Column) -> list[Column]:
+    """Bins 0 to BINS - 1: symbols to a word, distinct words and words to a line."""
     raw = F.coalesce(text, F.lit(""))
     n = F.greatest(F.size(tokens), F.lit(1))
-    without = lambda chars: F.length(raw) - F.length(F.translate(raw, chars, ""))
-    logs = lambda share: F.least(F.lit(BINS - 1), F.floor(F.log2(share * 128 + 1))).cast("int")
-    capitals = without("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / F.greatest(F.length(raw), F.lit(1))
-    distinct = F.size(F.array_distinct(tokens)) / n
-    lines = F.log2(n / (without("\n") + 1) + 1)
-    return [logs(without("#*$%&|<>!") / n), logs(capitals),
-            F.least(F.lit(BINS - 1), F.floor(distinct * BINS)).cast("int"),
-            F.least(F.lit(BINS - 1), F.floor(lines)).cast("int")]
+    symbols = F.regexp_count(raw, F.lit("[#*$%&|<>!]")) / n
+    lines = F.octet_length(raw) - F.octet_length(F.replace(raw, F.lit("\n"), F.lit(""))) + 1
+    whole = lambda x: F.least(F.lit(BINS - 1), F.floor(x)).cast("int")
+    return [whole(F.log2(symbols * 128 + 1)), whole(F.size(distinct) / n * BINS), whole(F.log2(n / lines + 1))]
 
 
-def _numbers(values: list[float]) -> Column:
-    """A constant array; written as text, so that a long one is a single constant in the plan."""
-    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
+def featured(rows: DataFrame) -> DataFrame:
+    """``rows`` with __n_tokens, __stems (beginnings of the distinct words) and __shape of their ``__text``."""
+    split = rows.withColumn("__words", words(F.col("__text")))
+    known = split.withColumn("__distinct", F.array_distinct("__words"))
+    return known.select(
+        *rows.columns, F.size("__words").cast("long").alias("__n_tokens"),
+        F.transform("__distinct", lambda w: F.substring(w, 1, STEM)).alias("__stems"),
+        F.array(*shape(F.col("__text"), F.col("__words"), F.col("__distinct"))).alias("__shape"))
 
 
-def featured(docs: DataFrame, *more: Column) -> DataFrame:
-    """(doc_id, n_tokens, buckets, shape, …): tokens are words, buckets the distinct hashes of a text's words."""
-    tokens = F.col("__tokens")
-    base = docs.select("doc_id", "text", *more, words(F.col("text")).alias("__tokens"))
-    others = [c for c in base.columns if c not in ("doc_id", "text", "__tokens")]
-    return base.select("doc_id", F.size(tokens).cast("long").alias("n_tokens"),
-                       F.array_distinct(F.transform(tokens, lambda w: F.pmod(F.hash(w), F.lit(BUCKETS)))).alias("buckets"),
-                       F.array(*shape(F.col("text"), tokens)).alias("shape"), *others)
+def _table(values: list) -> Column:
+    """A constant array of numbers, or of arrays of numbers."""
+    return F.array(*(_table(v) if isinstance(v, list) else F.lit(float(v)) for v in values))
+
+
+def _bin(value: Column, edges: tuple) -> Column:
+    return reduce(lambda found, e: found + (value >= e).cast("int"), edges, F.lit(0))
 
 
 @dataclass
 class Classifier:
-    """Naive Bayes over hashed words and shape bins, as log-ratios to the first domain."""
+    """Evidence from stems and shape as log-ratios to the first domain, and the probabilities of each cell."""
 
     domains: list[str]
-    prior: list[float]
-    word: list[list[float]]
+    start: list[float]
+    stems: dict[str, list[float]]
     shape: list[list[list[float]]]
-    temperature: float = 1.0
-
-    def evidence(self, rows: DataFrame) -> DataFrame:
-        """Evidence __z0, __z1, … in place of buckets and shape; the first domain's is 0."""
-        buckets = F.col("buckets")
-
-        def one(k: int) -> Column:
-            if k == 0:
-                return F.lit(0.0)
-            table = _numbers(self.word[k])
-            found = F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.get(table, b))
+    cells: list[list[float]]
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """``featured`` rows with __cell in place of __stems and __shape."""
+        names = list(self.stems)
+        others = [c for c in rows.columns if c not in ("__stems", "__shape")]
+        if names:
+            met = F.array_intersect("__stems", F.array(*map(F.lit, names)))
+        else:
+            met = F.array().cast("array<string>")
+        ratios = F.map_from_arrays(F.array(*map(F.lit, names)), _table(list(self.stems.values()))) if names else None
+        found = rows.select(*others, "__shape", met.alias("__met"))
+        if names:
+            found = found.withColumn("__met", F.transform("__met", lambda s: F.element_at(ratios, s)))
+
+        def evidence(k: int) -> Column:
+            total = F.lit(self.start[k])
             for j, bins in enumerate(self.shape[k]):
-                found = found + F.get(_numbers(bins), F.get("shape", F.lit(j)))
-            return found
-
-        others = [c for c in rows.columns if c not in ("buckets", "shape")]
-        return rows.select(*others, *(one(k).alias(f"__z{k}") for k in range(len(self.domains))))
-
-    def chances(self, temperature: float | None = None) -> list[Column]:
-        """Probabilities from the columns of ``evidence``, not yet divided by their sum.
-
-        Words are not independent, so their evidence is divided by the temperature; the prior is not.
-        """
-        t = F.lit(float(temperature or self.temperature))
-        z = [F.lit(p) + F.col(f"__z{k}") / t for k, p in enumerate(self.prior)]
-        top = F.greatest(*z) if len(z) > 1 else z[0]
-        return [F.exp(x - top) for x in z]
-
-    def posteriors(self, rows: DataFrame) -> DataFrame:
-        """Columns __p0, __p1, …, which sum to 1, in place of buckets and shape."""
-        scored = self.evidence(rows)
-        others = [c for c in scored.columns if not c.startswith("__z")]
+                total = total + F.get(_table(bins), F.get("__shape", F.lit(j)))
+            if not names:
+                return total
+            return F.aggregate("__met", total, lambda a, ratio: a + F.get(ratio, F.lit(k)))
+
         k = len(self.domains)
-        raised = scored.select(*others, *(e.alias(f"__e{i}") for i, e in enumerate(self.chances())))
-        total = sum((F.col(f"__e{i}") for i in range(1, k)), F.col("__e0"))
-        return raised.select(*others, *((F.col(f"__e{i}") / total).alias(f"__p{i}") for i in range(k)))
+        scored = found.select(*others, F.array(F.lit(0.0), *(evidence(i) for i in range(1, k))).alias("__z"))
+        ranked = F.sort_array("__z", asc=False)
+        lead = F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1)) if k > 1 else F.lit(LEADS[-1])
+        best = (F.array_position("__z", F.array_max("__z")) - 1).cast("int")
+        cell = (best * (len(LEADS) + 1) + _bin(lead, LEADS)) * (len(LENGTHS) + 1) + _bin(F.col("__n_tokens"), LENGTHS)
+        return scored.select(*others, cell.alias("__cell"))
 
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Classifier:
@@ -127,169 +126,143 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Classifie
     known = labelled.select("doc_id", "domain").where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).distinct()
     place = lambda: F.pmod(F.xxhash64(F.lit("mixing"), F.col("doc_id")), F.lit(1_000_000)) / 1e6
     share = min(1.0, MAX_ROWS / max(1, known.count()))
-    rows = spread(docs.select("doc_id", "text").where(place() < share)).join(known.where(place() < share), "doc_id")
-    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(4))
-    sample = stored(featured(rows, F.col("domain")).withColumn("fold", fold), "labelled")
-    learned, held = sample.where("fold > 0"), sample.where("fold = 0")
+    rows = spread(docs.select("doc_id", F.col("text").alias("__text")).where(place() < share)).join(known.where(place() < share), "doc_id")
+    held = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(5)) < HELD
+    sample = stored(featured(rows).select("domain", "__n_tokens", "__stems", "__shape", held.alias("held")), "labelled")
+    learned = sample.where(~F.col("held"))
     k_of = {d: k for k, d in enumerate(domains)}
-    docs_of = [1.0] * len(domains)
-    for r in learned.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect():
-        docs_of[k_of[r["domain"]]] += r["n"]
-    word = [[1.0] * BUCKETS for _ in domains]
-    for r in learned.select("domain", F.explode("buckets").alias("b")).groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")).collect():
-        word[k_of[r["domain"]]][r["b"]] += r["n"]
-    bins = [[[1.0] * BINS for _ in range(4)] for _ in domains]
-    for r in learned.select("domain", F.posexplode("shape").alias("j", "b")).groupBy("domain", "j", "b").agg(F.count(F.lit(1)).alias("n")).collect():
-        bins[k_of[r["domain"]]][r["j"]][r["b"]] += r["n"]
-    ratios = [[0.0] * BUCKETS, *(_telling(w, word[0], word, docs_of[k], docs_of[0]) for k, w in enumerate(word[1:], 1))]
+    docs_of = [0] * len(domains)
+    for r in learned.groupBy("domain").count().collect():
+        docs_of[k_of[r["domain"]]] = r["count"]
+    n = max(1, sum(docs_of))
+    bins = [[[1.0] * BINS for _ in range(3)] for _ in domains]
+    for r in learned.select("domain", F.posexplode("__shape").alias("j", "b")).groupBy("domain", "j", "b").count().collect():
+        bins[k_of[r["domain"]]][r["j"]][r["b"]] += r["count"]
+    stems, absent = {}, [0.0] * len(domains)
+    for r in _telling(learned, domains, docs_of).collect():
+        average = (r["total"] + 1) / (n + 2)
+        chance = [(r[f"c{k}"] + AVERAGE * average) / (m + AVERAGE) for k, m in enumerate(docs_of)]
+        present = [math.log(p / chance[0]) for p in chance]
+        without = [math.log((1 - p) / (1 - chance[0])) for p in chance]
+        stems[r["stem"]] = [a - b for a, b in zip(present, without, strict=True)]
+        absent = [a + b for a, b in zip(absent, without, strict=True)]
     log = lambda x: [math.log(v / sum(x)) for v in x]
     less = lambda x, y: [p - q for p, q in zip(log(x), log(y), strict=True)]
-    prior = log(docs_of)
-    model = Classifier(domains, [p - prior[0] for p in prior], ratios,
-                       [[less(b, bins[0][j]) for j, b in enumerate(own)] for own in bins])
-    index = F.lit(0)
-    for d, k in k_of.items():
-        index = F.when(F.col("domain") == d, F.lit(k)).otherwise(index)
-    scored = model.evidence(held)
-
-    def loss(t: float) -> Column:
-        raised = model.chances(t)
-        return F.avg(F.log(sum(raised[1:], raised[0])) - F.log(F.get(F.array(*raised), index) + 1e-12))
-
-    losses = scored.agg(*(loss(t) for t in TEMPERATURES)).first()
-    fitted = [(found, t) for found, t in zip(losses, TEMPERATURES, strict=True) if found is not None]
-    model.temperature = min(fitted)[1] if fitted else 1.0
+    start = [math.log((m + 1) / (docs_of[0] + 1)) + a for m, a in zip(docs_of, absent, strict=True)]
+    model = Classifier(domains, start, stems, [[less(b, bins[0][j]) for j, b in enumerate(own)] for own in bins], [])
+    counts = model.placed(sample.where("held")).groupBy("__cell", "domain").count().collect()
+    model.cells = _measured([(r["__cell"], k_of[r["domain"]], r["count"]) for r in counts], len(domains))
     return model
 
 
-def _telling(own: list[float], first: list[float], every: list[list[float]], docs_own: float, docs_first: float) -> list[float]:
-    """Log-ratios of the buckets whose count differs surely from what all domains together suggest; else 0.
-
-    A bucket must be in a good share of one side's documents, so a few groups of copies don't pass
-    as evidence.  Both sides are shrunk towards the average, so a rare domain does not learn noise.
-    """
-    total = [sum(c) for c in zip(*every, strict=True)]
-    n_own, n_first, n = sum(own), sum(first), sum(total)
+def _telling(learned: DataFrame, domains: list[str], docs_of: list[int]) -> DataFrame:
+    """(stem, total, c0, c1, …) of the stems that one domain's documents hold surely more often than others."""
+    n = max(1, sum(docs_of))
+    counts = (learned.select("domain", F.explode(F.array_distinct("__stems")).alias("stem")).groupBy("stem")
+              .agg(F.count(F.lit(1)).alias("total"),
+                   *(F.count(F.when(F.col("domain") == d, 1)).alias(f"c{k}") for k, d in enumerate(domains))))
+    deviations = []
+    for k, m in enumerate(docs_of):
+        expected = F.col("total") * m / n
+        above = (F.col(f"c{k}") - expected) / F.sqrt(expected * (1 - m / n) + 1e-9)
+        deviations.append(F.when(F.col(f"c{k}") >= max(LEAST, SUPPORT * m), above).otherwise(0.0))
+    sure = counts.withColumn("sure", F.greatest(*deviations) if len(deviations) > 1 else deviations[0])
+    return sure.where(F.col("sure") > SURE).orderBy(F.desc("sure"), "stem").limit(STEMS)
+
+
+def _measured(counts: list[tuple[int, int, int]], k: int) -> list[list[float]]:
+    """Shares of the domains among the held-out documents of each cell, each smoothed towards the wider cell."""
+    leads, lengths = len(LEADS) + 1, len(LENGTHS) + 1
+    levels = [lambda c: 0, lambda c: c // lengths // leads, lambda c: c // lengths, lambda c: c]
+    sums = [{} for _ in levels]
+    for cell, domain, n in counts:
+        for level, found in zip(levels, sums, strict=True):
+            found.setdefault(level(cell), [0] * k)[domain] += n
     out = []
-    for a, b, t in zip(own, first, total, strict=True):
-        sure = max(abs(a - n_own * t / n) / math.sqrt(n_own * t / n), abs(b - n_first * t / n) / math.sqrt(n_first * t / n))
-        p, q = (a + SHRINK * t / n) / (n_own + SHRINK), (b + SHRINK * t / n) / (n_first + SHRINK)
-        out.append(math.log(p / q) if sure > SURE and max(a / docs_own, b / docs_first) >= SUPPORT else 0.0)
+    for cell in range(k * leads * lengths):
+        share = [1 / k] * k
+        for level, found in zip(levels, sums, strict=True):
+            own = found.get(level(cell), [0] * k)
+            share = [(a + SMOOTH * s) / (sum(own) + SMOOTH) for a, s in zip(own, share, strict=True)]
+        out.append(share)
     return out
 
 
-def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
-    """Gaussian elimination; the matrix has a row and a column for each domain."""
-    n = len(right)
-    rows = [[*matrix[i], right[i]] for i in range(n)]
-    for i in range(n):
-        pivot = max(range(i, n), key=lambda r: abs(rows[r][i]))
-        rows[i], rows[pivot] = rows[pivot], rows[i]
-        for r in range(n):
-            if r != i:
-                f = rows[r][i] / rows[i][i]
-                rows[r] = [a - f * b for a, b in zip(rows[r], rows[i], strict=True)]
-    return [rows[i][n] / rows[i][i] for i in range(n)]
-
-
-def rate(steps: list[list[float]]) -> Column:
-    """A document's rate after these steps, from 1: each subtracts its part and is cut at 0.
+def solve_rates(tokens: list[float], chances: list[list[float]], targets: list[float]) -> list[float]:
+    """A rate for each cell of ``tokens`` and ``chances``; 1 if there are no tokens.
 
-    Texts without tokens are no part of the mix and stay at 1.
+    Minimises half the squared gap between the domains' expected token shares and the targets plus
+    EASE / 2 times the mean squared distance of the rates from 1, by projected gradient steps with
+    momentum (a cell weighs as its tokens).  Rates are cut at 0.  The problem is strictly convex,
+    so the end is the one best mix; a gap that remains is reported by a warning.
     """
-    found = F.lit(1.0)
-    for step in steps:
-        found = F.greatest(F.lit(0.0), found - sum((F.col(f"__p{k}") * F.lit(float(m)) for k, m in enumerate(step)), F.lit(0.0)))
-    return F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(found)
-
-
-def solve_rates(members: DataFrame, targets: list[float]) -> list[list[float]]:
-    """The step from rates of 1 over ``members`` (n_tokens, __p0, __p1, …): none or one.
-
-    Minimises the whitened squared gap between the domains' expected tokens and the targets plus
-    EASE times the squared distance of the rates from 1, both weighing a document by its tokens.
-    At the least, a rate is 1 - mu * posterior, cut at 0, with a mu of one number a domain that
-    solves gap = EASE * G mu, with G = sum of tokens x posterior x posterior'.  Newton steps on mu
-    take G over the documents with a rate above 0, and are shortened where they overshoot; the
-    problem is convex, so they end at the nearest reachable mix.  A trial is one aggregation of as
-    many numbers as there are pairs of domains.  A gap that remains is reported by a warning.
-    """
-    k = len(targets)
-    tokens = F.col("n_tokens").cast("double")
-    p = [F.col(f"__p{i}") for i in range(k)]
-
-    def look(mu: list[float] | None) -> tuple[list[float], list[list[float]], float]:
-        now = rate([mu] if mu else [])
-        active = F.when(now > 0, tokens).otherwise(0.0)
-        sums = [F.sum(tokens), *(F.sum(tokens * now * x) for x in p),
-                *(F.sum(active * p[i] * p[j]) for i in range(k) for j in range(i, k))]
-        found = [v or 0.0 for v in members.agg(*(x.alias(f"s{i}") for i, x in enumerate(sums))).first()]
-        upper = iter(found[1 + k:])
-        gram = [[0.0] * k for _ in range(k)]
-        for i in range(k):
-            for j in range(i, k):
-                gram[i][j] = gram[j][i] = next(upper)
-        return [n - t * found[0] for n, t in zip(found[1:1 + k], targets, strict=True)], gram, found[0]
-
-    gap, gram, total = look(None)
-    if not total or max(map(abs, gap)) <= PRECISION * total:
-        return []
-    ease = [[EASE * (g + 1e-9 * total * (i == j)) for j, g in enumerate(row)] for i, row in enumerate(gram)]
-    dot = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True))
-    left = lambda gap, mu: [g - dot(row, mu) for g, row in zip(gap, ease, strict=True)]
-    mu, trials = [0.0] * k, 0
-    while max(map(abs, rest := left(gap, mu))) > PRECISION * total:
-        way = _solve([[a + b for a, b in zip(x, y, strict=True)] for x, y in zip(gram, ease, strict=True)], rest)
-        start, length = dot(rest, way), 1.0
-        while True:
-            if (trials := trials + 1) > MOST:
-                raise RuntimeError(f"rates not found in {MOST} trials; largest gap {max(map(abs, gap)) / total:.3g} of all tokens")
-            tried = [m + length * w for m, w in zip(mu, way, strict=True)]
-            gap, gram, _ = look(tried)
-            beyond = -dot(left(gap, tried), way)  # slope along the way: -start at its beginning, above 0 where it overshot
-            if beyond <= start / 2:
-                break
-            length *= max(0.1, min(0.5, start / (beyond + start)))
-        mu = tried
-    if max(map(abs, gap)) > MET * total:
-        warnings.warn("targets cannot be met; the nearest reachable shares are "
-                      + ", ".join(f"{t + g / total:.4f} for {t}" for g, t in zip(gap, targets, strict=True)), stacklevel=2)
-    return [mu]
-
-
-def copies(doc_id: Column, rate_: Column) -> Column:
-    """The rate rounded down, or up with the chance of its fraction, drawn from the id."""
-    drawn = F.pmod(F.xxhash64(F.lit("copies"), doc_id), F.lit(1 << 30)) / float(1 << 30)
-    return (F.floor(rate_) + (drawn < rate_ - F.floor(rate_)).cast("long")).cast("long")
-
-
-def mixed(docs: DataFrame, labelled: DataFrame,
-          targets: Mapping[str, float] = TARGETS) -> tuple[DataFrame, Classifier, list[list[float]]]:
-    """Members (doc_id, n_tokens, posterior, rate, copies), the classifier and the steps.
+    total = sum(tokens)
+    rates = ahead = [1.0] * len(tokens)
+    if not total:
+        return rates
+    weights = [t / total for t in tokens]
+
+    def gap(at: list[float]) -> list[float]:
+        taken = [w * r for w, r in zip(weights, at, strict=True)]
+        return [sum(t * p[k] for t, p in zip(taken, chances, strict=True)) - want for k, want in enumerate(targets)]
+
+    length, root = 1 / (1 + EASE), math.sqrt(EASE / (1 + EASE))
+    momentum = (1 - root) / (1 + root)
+    while True:
+        g = gap(ahead)
+        new = [max(0.0, r - length * (sum(a * b for a, b in zip(g, p, strict=True)) + EASE * (r - 1)))
+               for r, p in zip(ahead, chances, strict=True)]
+        moved = max(abs(a - b) for a, b in zip(new, ahead, strict=True))
+        ahead = [a + momentum * (a - b) for a, b in zip(new, rates, strict=True)]
+        rates = new
+        if moved < PRECISION:
+            break
+    g = gap(rates)
+    if max(map(abs, g)) > MET:
+        warnings.warn("targets cannot be met; the nearest shares within the limit are "
+                      + ", ".join(f"{t + d:.4f} for {t}" for d, t in zip(g, targets, strict=True)), stacklevel=2)
+    return rates
+
+
+def _rated(docs: DataFrame, kept: list[Column], labelled: DataFrame,
+           targets: Mapping[str, float]) -> tuple[DataFrame, Classifier, list[float]]:
+    """``kept`` columns with __n_tokens, __cell, __rate and __copies: every text is scored once."""
+    model = learn(docs, labelled, list(targets))
+    drawn = F.pmod(F.xxhash64(F.lit("copies"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
+    rows = spread(docs).select(*kept, drawn.alias("__drawn"), F.col("text").alias("__text"))
+    members = stored(model.placed(featured(rows)).drop("__text"), "members")
+    sums = {r["__cell"]: float(r["n"]) for r in members.groupBy("__cell").agg(F.sum("__n_tokens").alias("n")).collect()}
+    filled = sorted(c for c, n in sums.items() if n)
+    solved = solve_rates([sums[c] for c in filled], [model.cells[c] for c in filled], list(targets.values()))
+    rates = [1.0] * len(model.cells)
+    for c, r in zip(filled, solved, strict=True):
+        rates[c] = r
+    # texts without tokens are no part of the mix
+    rate = F.when(F.col("__n_tokens") == 0, 1.0).otherwise(F.get(_table(rates), F.col("__cell")))
+    floor = F.floor("__rate")
+    copies = (floor + (F.col("__drawn") < F.col("__rate") - floor).cast("long")).cast("long")
+    return members.withColumn("__rate", rate).withColumn("__copies", copies), model, rates
+
+
+def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
+    """(doc_id, n_tokens, posterior, rate, copies) of each row of ``docs``.
 
     ``targets`` are shares of the documents' tokens for each domain.  ``copies`` is how often a
-    document is taken: the rate, rounded by a hash of its id.  Null and blank texts have no tokens
-    and the posterior of their shape; repeated rows get equal rates; an empty table gives an
-    empty result.
+    document is taken: the rate, rounded by a hash of its id and text.  Null and blank texts have no
+    tokens, the posterior of their shape and a rate of 1; repeated rows get equal rates; an empty
+    table gives an empty result.
     """
-    model = learn(docs, labelled, list(targets))
-    members = stored(model.posteriors(featured(spread(docs.select("doc_id", "text")))), "members")
-    steps = solve_rates(members, list(targets.values()))
-    posterior = F.array(*(f"__p{k}" for k in range(len(targets))))
-    rated = members.select("doc_id", "n_tokens", posterior.alias("posterior"), rate(steps).alias("rate"))
-    return rated.withColumn("copies", copies(F.col("doc_id"), F.col("rate"))), model, steps
+    rated, model, _ = _rated(docs, [F.col("doc_id")], labelled, targets)
+    return rated.select("doc_id", F.col("__n_tokens").alias("n_tokens"),
+                        F.get(_table(model.cells), F.col("__cell")).alias("posterior"),
+                        F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """Rows of ``docs``, each as often as its copies say, all columns as they are."""
-    _, model, steps = mixed(docs, labelled, targets)
-    names = docs.columns
-    whole = spread(docs).select("doc_id", "text", F.struct(*names).alias("__row"))
-    rated = model.posteriors(featured(whole, F.col("__row"))).select("__row", "doc_id", rate(steps).alias("__rate"))
-    taken = rated.select("__row", copies(F.col("doc_id"), F.col("__rate")).cast("int").alias("__n"))
-    # the outer form: a filter on the number of copies would carry the whole classifier down the plan
-    each = taken.select("__row", F.explode_outer(F.array_repeat(F.lit(1), F.col("__n"))).alias("__copy"))
-    return each.where(F.col("__copy").isNotNull()).select(*(F.col("__row").getField(c).alias(c) for c in names))
+    rated = _rated(docs, [F.struct(*docs.columns).alias("__row")], labelled, targets)[0]
+    each = rated.select("__row", F.explode_outer(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))).alias("__copy"))
+    return each.where(F.col("__copy").isNotNull()).select(*(F.col("__row").getField(c).alias(c) for c in docs.columns))
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
@@ -300,4 +273,4 @@ def domains_of(labels: DataFrame) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(prepare(spark), folder, "documents")
-    return mixed(docs, domains_of(read_table(spark, folder, "labels")))[0]
+    return mixed(docs, domains_of(read_table(spark, folder, "labels")))
