@@ -83,11 +83,15 @@ IPV6_PATTERN = (
     rf"){STOP}"
 )
 
+# A long run without the other two segments is matched as a whole and dropped afterwards (no "."):
+# its later starts would fail the same way, each after a scan to the run's end.
 JWT_PATTERN = (
-    rf"(?=eyJ){START}eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+{EDGE}"
+    rf"(?=eyJ){START}eyJ(?:[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+{EDGE}|[A-Za-z0-9_-]{{61,}}+)"
 )
+# longer ones first where one begins another
+API_KEY_PREFIXES = ("sk-", "pk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "AKIA", "AKI")
 API_KEY_PATTERN = (
-    rf"(?=[spgA]){START}(?:sk-|pk-|ghp_|gho_|ghu_|ghs_|ghr_|AKIA|AKI)"
+    rf"(?=[spgA]){START}(?:{'|'.join(API_KEY_PREFIXES)})"
     rf"[A-Za-z0-9_-]{{8,}}{EDGE}"
 )
 REF_CODE_PATTERN = (

@@ -137,6 +137,7 @@ HINTS: dict[str, tuple[str, ...]] = {
 # Candidates of these rules must also pass a check.
 CHECKS: dict[str, Callable[[Column], Column]] = {
     "email": lambda found: found.contains("@"),
+    "jwt": lambda found: found.contains("."),
     "credit_card": luhn_valid,
     "high_entropy": is_high_entropy,
 }

@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkveil.functions import xmltokens as T
+
 _PREFIX = r"(?:[\w.-]++:)?"
 _QUOTED = r"(?:\"[^\"]*+\"|'[^']*+')"
 _ATTR = rf"\s++[^\s=>/\"']++\s*+=\s*+{_QUOTED}"
@@ -103,17 +105,6 @@ _FORMULA = rf"<{_PREFIX}f(?:{_ATTR})*+\s*+(?:/>|>[^<]*+</{_PREFIX}f\s*+>)\s*+"
 _TEXT_CELL = rf"<{_PREFIX}c{_attrs_before('t')}{_attr_named('t')}(?:\"str\"|'str')(?:{_ATTR})*+\s*+>\s*+"
 _OPEN = rf"<{_PREFIX}t(?:{_ATTR})*+\s*+>|{_TEXT_CELL}(?:{_FORMULA})?<{_PREFIX}v(?:{_ATTR})*+\s*+>"
 _RUN = rf"({_OPEN})([^<]++)(</{_PREFIX}[tv]\s*+>)"
-_CDATA = r"(?s)(<!\[CDATA\[)(.*?)(\]\]>)"
-
-
-def unescape(text: Column) -> Column:
-    """Character data -> text.  Numeric references are left to the XML parser."""
-    plain = text
-    for safe, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(safe), F.lit(raw))
-    return F.when(
-        text.contains("&#"), F.xpath_string(F.concat(F.lit("<t>"), text, F.lit("</t>")), F.lit("/t"))
-    ).otherwise(plain)
 
 
 def _groups(xml: Column, pattern: str, group: int) -> Column:
@@ -129,18 +120,12 @@ def _interleave(xml: Column, pattern: str, pieces: Column) -> Column:
 
 def plain_runs(xml: Column) -> Column:
     """Marked sections become ordinary text and comments go, so that runs hold text only."""
-    text = F.when(
-        xml.contains("<![CDATA["),
-        _interleave(xml, _CDATA, F.transform(_groups(xml, _CDATA, 2), lambda t: escape(t))),
-    ).otherwise(xml)
-    return F.when(
-        text.contains("<!--"), F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    ).otherwise(text)
+    return T.plain(xml)
 
 
 def run_texts(xml: Column) -> Column:
     """Texts of all runs, document order; ``xml`` comes from ``plain_runs``."""
-    return F.transform(_groups(xml, _RUN, 2), unescape)
+    return F.transform(_groups(xml, _RUN, 2), T.unescape)
 
 
 def text_runs(xml: Column) -> Column:

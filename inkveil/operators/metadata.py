@@ -18,6 +18,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkveil import constants as C
+from inkveil.functions import xmltokens as T
 from inkveil.functions.xmltext import xml_error
 
 META_COLUMNS = ("path", "kind", "surface", "key", "ordinal", "value", "value_type")
@@ -59,6 +60,8 @@ _TEMPLATE_REF, _REL, _LINK_PART, _LINK_REL = "_template_ref", "_rel", "_link_par
 _HELPERS = (_TEMPLATE_REF, _REL, _LINK_PART, _LINK_REL)
 # Surfaces whose values form a sorted set per package.
 _SETS = ("threaded_comments", "custom_xml")
+# a custom item that a strip has emptied is no metadata any more
+_CUSTOM_ITEM = f"lower(part) LIKE '{C.CUSTOM_XML_PREFIX}%.xml'"
 
 
 def _row(surface: str, key: str, ordinal: str, value: str, value_type: str = "string") -> str:
@@ -87,15 +90,37 @@ def _core(names: dict[str, str], dates: dict[str, str], missing_integer: str) ->
     return f"array({', '.join(rows)})"
 
 
-def _xpath(path: str) -> str:
-    return f"xpath(xml, '{path}')"
+# columns of attribute values, read from the tags of a part without its comments and sections
+_TRACKED_PART, _CHILD_PARTS = "part = 'word/document.xml'", (
+    "part LIKE '%/threadedComments/%' OR part IN ('word/people.xml', 'xl/people.xml')")
+_CHILD_ATTRIBUTES = ("author", "provisionId", "name", "id")
 
 
-def _attr(name: str, of: str = "/*/*") -> str:
-    return _xpath(f'{of}/@*[local-name()="{name}"]')
+def _attribute_columns(xml: Column) -> list[Column]:
+    def values(tags: Column, name: str) -> Column:
+        return F.filter(F.transform(tags, lambda t: T.attribute(t, name)), lambda v: v != "")
+
+    plain = T.plain(xml)
+    tracked, children = T.tags_named(plain, C.TRACKED_CHANGE_TAGS), T.child_tags(plain)
+    held = F.size(children) > 0
+    return [
+        *(F.when(F.expr(_TRACKED_PART), values(tracked, a)).alias(f"tracked_{a}") for a in ("author", "date")),
+        *(F.when(F.expr(_CHILD_PARTS), values(children, a)).alias(f"child_{a}") for a in _CHILD_ATTRIBUTES),
+        F.when(F.expr(_CUSTOM_ITEM), held | (F.trim(F.regexp_replace(plain, "(?s)<[^>]*+>", "")) != "")).alias("custom_held"),
+    ]
+
+
+def author_list(parts: DataFrame) -> DataFrame:
+    """(path, part, authors) of comment parts: with duplicates, document order, as one display line.
+
+    A part without authors, or one that must not be read, has an empty line.
+    """
+    xml = T.plain(F.when(F.col("error").isNull(), F.col("xml")))
+    authors = F.filter(F.transform(T.tags_named(xml, ["comment"]), lambda t: T.attribute(t, "author")), lambda a: a != "")
+    return parts.filter("part = 'word/comments.xml'").select(
+        "path", "part", F.coalesce(F.array_join(authors, ", "), F.lit("")).alias("authors"))
 
 
-_TRACKED = " or ".join(f'local-name()="{t}"' for t in C.TRACKED_CHANGE_TAGS)
 _MM = "settings.mailMerge"
 _LAST = "try_element_at(filter(transform({0}.dataSource, x -> x.{1}), v -> v <> ''), -1)"
 _BASE = r"regexp_extract(part, '([^/]+?)(\\.rels)?$', 1)"
@@ -104,7 +129,9 @@ _BASE = r"regexp_extract(part, '([^/]+?)(\\.rels)?$', 1)"
 _ROWS: list[tuple[str, str]] = [
     ("part = 'docProps/core.xml' AND kind = 'xlsx'", _core(
         {f: f for f in C.XLSX_CORE_STRINGS}, {f: f for f in C.XLSX_CORE_DATES}, "NULL")),
-    ("part = 'docProps/core.xml'", _core(C.DOCX_CORE_STRINGS, C.DOCX_CORE_DATES, "'0'")),
+    ("part = 'docProps/core.xml'", "filter("
+     + _core(C.DOCX_CORE_STRINGS, C.DOCX_CORE_DATES, "NULL")
+     + ", r -> r.value_type <> 'int' OR r.value IS NOT NULL)"),  # no revision is no row
     ("part = 'docProps/app.xml'", "array(" + ", ".join(
         _row("app", f"'{key}'", "0", f"nullif(app.{el}, '')") for el, key in C.APP_FIELDS.items()
     ) + ")"),
@@ -115,7 +142,7 @@ _ROWS: list[tuple[str, str]] = [
         _each("comments.comment", _row("comments", f"'{a}'", "i", f"x._{a}", t))
         for a, t in (("author", "string"), ("initials", "string"), ("date", "timestamp"))) + ")"),
     ("part = 'word/document.xml'", "concat(" + ", ".join(
-        _each(f"array_sort(array_distinct({_attr(a, f'//*[{_TRACKED}]')}))",
+        _each(f"array_sort(array_distinct(tracked_{a}))",
               _row("tracked_changes", f"'{a}'", "i", "x", t))
         for a, t in (("author", "string"), ("date", "timestamp"))) + ")"),
     ("part = 'word/settings.xml'", "concat("
@@ -134,15 +161,15 @@ _ROWS: list[tuple[str, str]] = [
     ("part = 'word/_rels/settings.xml.rels'",
      _each("rels.Relationship", _row(_REL, "x._Id", "i", "x._Target"), "r.key <> ''")),
     ("part LIKE 'word/threadedComments/%'", "concat("
-     + _each(_attr("author"), _row("threaded_comments", "'author'", "i", "x")) + ", "
-     + _each(_xpath("/*/*/@provisionId"), _row("threaded_comments", "'provision_id'", "i", "x"))
+     + _each("child_author", _row("threaded_comments", "'author'", "i", "x")) + ", "
+     + _each("child_provisionId", _row("threaded_comments", "'provision_id'", "i", "x"))
      + ")"),
     ("part LIKE 'xl/threadedComments/%.xml'",
-     _each(_attr("author"), _row("threaded_comments", "'author'", "i", "x"))),
+     _each("child_author", _row("threaded_comments", "'author'", "i", "x"))),
     ("part = 'word/people.xml'", "concat("
-     + _each(_attr("name"), _row("people", "'name'", "i", "x")) + ", "
-     + _each(_attr("id"), _row("people", "'id'", "i", "x")) + ")"),
-    ("part = 'xl/people.xml'", _each(_attr("name"), _row("people", "'name'", "i", "x"))),
+     + _each("child_name", _row("people", "'name'", "i", "x")) + ", "
+     + _each("child_id", _row("people", "'id'", "i", "x")) + ")"),
+    ("part = 'xl/people.xml'", _each("child_name", _row("people", "'name'", "i", "x"))),
     ("part = 'xl/workbook.xml'", "concat("
      + _each("filter(workbook.sheets.sheet, x -> x._state <> 'visible')",
              _row("hidden_sheets", "'sheet'", "i", "x._name")) + ", "
@@ -160,7 +187,7 @@ _ROWS: list[tuple[str, str]] = [
         "rels.Relationship", _row(_LINK_REL, _BASE, "i", "x._Target"))),
     ("part LIKE 'xl/externalLinks/%.xml'", f"array({_row(_LINK_PART, _BASE, '0', 'NULL')})"),
     (f"lower(part) LIKE '{C.CUSTOM_XML_PREFIX}%'",
-     f"array({_row('custom_xml', chr(39) + 'part' + chr(39), '0', 'part')})"),
+     f"CASE WHEN coalesce(custom_held, true) THEN array({_row('custom_xml', chr(39) + 'part' + chr(39), '0', 'part')}) END"),
 ]
 
 # surface -> parts that feed it, so that one surface reads only its own parts
@@ -208,7 +235,7 @@ def part_rows(parts: DataFrame) -> DataFrame:
     ]
     arms = " ".join(f"WHEN {cond} THEN {rows}" for cond, rows in _ROWS)
     return (
-        parts.select("path", "kind", "part", "ordinal", xml.alias("xml"), "error", *parsed)
+        parts.select("path", "kind", "part", "ordinal", xml.alias("xml"), "error", *parsed, *_attribute_columns(xml))
         .select("path", "kind", F.inline_outer(F.expr(
             f"CASE WHEN error IS NOT NULL THEN NULL {arms} END")))
         .filter("surface IS NOT NULL")

@@ -89,6 +89,18 @@ def removed_report(planned: DataFrame) -> DataFrame:
     ).select(*META_KEY, "old_value", "action")
 
 
+def bag_difference(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, kind, surface, key, old_value, times): values that ``before`` holds more often than ``after``.
+
+    One aggregation over both, without a join; the place of a value in its package does not matter.
+    Empty and null values are no values.
+    """
+    keys = ["path", "kind", "surface", "key", "value"]
+    both = before.select(*keys, F.lit(1).alias("n")).unionByName(after.select(*keys, F.lit(-1).alias("n")))
+    return (both.filter(F.col("value") != "").groupBy(*keys).agg(F.sum("n").alias("times"))
+            .filter("times > 0").withColumnRenamed("value", "old_value"))
+
+
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Per key: kept, changed, cleared or added.  The key is unique per row."""
     keys = list(META_KEY)

@@ -153,13 +153,20 @@ class PackageRun:
 
     @cached_property
     def removed(self) -> DataFrame:
-        """Values that the policy clears."""
+        """Values that are in ``before`` and no longer in ``after``, with the action that covers them."""
         rows = PO.policy_frame(self._parts.sparkSession, self._policy, self._config.categories)
-        return PO.removed_report(PO.plan_strip(self.before, rows))
+        return PO.with_action(PO.bag_difference(self.before, self.after), rows).drop("category")
+
+    @cached_property
+    def residual(self) -> DataFrame:
+        """What the cleaned parts still hold of the keys that the policy covers."""
+        rows = PO.policy_frame(self._parts.sparkSession, self._policy, self._config.categories)
+        return PO.residual_metadata(self.after, rows)
 
     @cached_property
     def _edited(self) -> DataFrame:
-        return edit_body(PT.scrub(self._good, self._config.categories), self._config, self._key)
+        return edit_body(
+            PT.scrub(self._good, self._config.categories, self._policy), self._config, self._key)
 
     @cached_property
     def parts(self) -> DataFrame:

@@ -33,7 +33,7 @@ CORE = rows(
         "category", "identifier", "keywords", "language", "subject", "version")),
     *((f"'{k}'", "0", "''", EVEN) for k in ("comments", "content_status")),
     *((f"'{k}'", "0", "''", ODD) for k in ("contentStatus", "description")),
-    ("'revision'", "0", f"coalesce({REVISION}, '0')", EVEN), ("'revision'", "0", REVISION, ODD),
+    ("'revision'", "0", REVISION, f"({EVEN}) AND ({REVISION}) IS NOT NULL"), ("'revision'", "0", REVISION, ODD),
     ("'created'", "0", CREATED, "true"), ("'modified'", "0", "NULL", "true"),
     ("'last_printed'", "0", "NULL", EVEN), ("'lastPrinted'", "0", "NULL", ODD),
 )
@@ -263,7 +263,7 @@ ORACLES: dict[str, str] = {
         f"CASE s_suppkey % 3 WHEN 0 THEN 'rId1,rId2,rId3' WHEN 1 THEN 'rId1,rId3' ELSE 'rId1,rId2' END FROM supplier"),
     "scrub_core_part": (
         f"SELECT path, key, CASE WHEN key = 'created' THEN NULL WHEN key <> 'revision' THEN '' "
-        f"WHEN value IS NULL OR value = '0' THEN value ELSE '1' END AS value FROM ({CORE}) "
+        f"WHEN value IS NULL THEN value ELSE '1' END AS value FROM ({CORE}) "
         f"WHERE key IN ('title', 'creator', 'author', 'revision', 'created')"),
     "scrub_workbook_part": (
         f"SELECT {BOOK_PATH} AS path, 'Data:-,' || p_brand || ':visible' AS sheets, "

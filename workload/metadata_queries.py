@@ -35,10 +35,7 @@ def meta_comment_authors(spark, folder):
 
 def comment_author_list(spark, folder):
     """Authors of a part with duplicates, document order, as one display line."""
-    parts = metadata.check_parts(PP.comments(spark, folder))
-    xml = F.when(F.col("error").isNull(), F.col("xml"))
-    authors = F.xpath(xml, F.lit("//*[local-name()='comment']/@*[local-name()='author']"))
-    return parts.select("path", F.array_join(F.filter(authors, lambda a: a != ""), ", ").alias("authors"))
+    return metadata.author_list(metadata.check_parts(PP.comments(spark, folder))).select("path", "authors")
 
 
 def meta_tracked_changes(spark, folder):

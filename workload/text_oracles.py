@@ -6,7 +6,7 @@ RE2 has no look-around and its word boundary is ASCII; the patterns here use ``\
 
 from __future__ import annotations
 
-from inkveil.constants import CONFIDENTIAL_KEYWORDS, CURRENCY_CODES, RULE_ORDER
+from inkveil.constants import API_KEY_PREFIXES, CONFIDENTIAL_KEYWORDS, CURRENCY_CODES, RULE_ORDER
 from workload import planted as P
 from workload import text_queries as Q
 
@@ -26,7 +26,7 @@ RE = {
     "ip": rf"\b(?:{OCTET}\.){{3}}{OCTET}\b",
     "ip6": rf"\b(?:{H}:){{7}}{H}\b",
     "jwt": r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b",
-    "api_key": r"\b(?:sk-|pk-|gh[pousr]_|AKIA?)[A-Za-z0-9_-]{8,}\b",
+    "api_key": rf"\b(?:{'|'.join(API_KEY_PREFIXES)})[A-Za-z0-9_-]{{8,}}\b",
     "ref_code": rf"\b[A-Z]{{2,}}[-/][A-Za-z0-9]{{2,}}[-/]{D}{{4}}[-/]{D}{{2,}}\b",
     "currency": rf"\b(?:{'|'.join(CURRENCY_CODES)})[{SP}]*[{D},]+(?:\.{D}{{1,2}})?\b",
     "high_entropy": rf"[^{SP}]{{12,}}",
@@ -34,6 +34,13 @@ RE = {
 }
 
 
+#: Documents with an address of eight groups, made of the id, behind every third text.
+IP_TEXTS = (
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' at fe10:0:0:a' || doc_id % 10 || ':' || doc_id % 999 "
+    "|| ':1:22:beef end' ELSE text END AS text FROM documents"
+)
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -234,8 +241,8 @@ ORACLES: dict[str, str] = {
         f"SELECT doc_id, regexp_replace(text, {q(RE['email'])}, '[REDACTED]', 'g') AS redacted "
         f"FROM documents"),
     "redact_ip_only": (
-        f"SELECT doc_id, regexp_replace(text, {q(RE['ip'])}, '[REDACTED]', 'g') AS redacted "
-        f"FROM documents"),
+        f"SELECT doc_id, regexp_replace(regexp_replace(text, {q(RE['ip6'])}, '[REDACTED]', 'g'), "
+        f"{q(RE['ip'])}, '[REDACTED]', 'g') AS redacted FROM ({IP_TEXTS})"),
     "redact_noop": "SELECT conv_id, turn, text AS redacted, CAST(0 AS BIGINT) AS n FROM conversations",
     "changed_docs": (
         f"SELECT doc_id, doc_id IN (SELECT doc_id FROM ({KEPT_DEFAULT})) AS changed FROM documents"),

@@ -175,14 +175,14 @@ def redact_planted(spark, folder):
     return out.select("recipe", "id", "redacted")
 
 
-def _single(rule: str, *patterns: str) -> Query:
-    """One pure pattern rule: a plain replace gives the same text."""
-    def query(spark, folder):
-        text = F.col("text")
-        for p in patterns:
-            text = F.regexp_replace(text, p, C.REDACTED_LABEL)
-        return _documents(spark, folder).select("doc_id", text.alias("redacted"))
-    return query
+def redact_ip_only(spark, folder):
+    """Both written forms; every third document has an address of eight groups behind its text."""
+    doc = F.col("doc_id")
+    tail = F.concat(F.lit(" at fe10:0:0:a"), doc % 10, F.lit(":"), doc % 999, F.lit(":1:22:beef end"))
+    docs = _documents(spark, folder).withColumn(
+        "text", F.when(doc % 3 == 0, F.concat("text", tail)).otherwise(F.col("text")))
+    out = redaction.with_redaction(docs, "text", rule_set(["ip"]), counts=None)
+    return out.select("doc_id", "redacted")
 
 
 def redact_email_only(spark, folder):
@@ -290,7 +290,7 @@ QUERIES: dict[str, Query] = {
     "redact_pages": redact_pages,
     "redact_planted": redact_planted,
     "redact_email_only": redact_email_only,
-    "redact_ip_only": _single("ip", C.IPV4_PATTERN),
+    "redact_ip_only": redact_ip_only,
     "redact_noop": redact_noop,
     "changed_docs": changed_docs,
     "display_values": display_values,
