@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from inkveil import constants as C
 from inkveil.functions import xmltokens as T
 from inkveil.functions.xmltext import xml_error
+from inkveil.session import settled
 
 META_COLUMNS = ("path", "kind", "surface", "key", "ordinal", "value", "value_type")
 
@@ -253,17 +254,17 @@ def _look_up(rows: DataFrame, left: str, right: str, surface: str, key: Column)
 
 
 def inventory(
-    parts: DataFrame, surfaces: Iterable[str] = SURFACES, materialise: bool = False,
+    parts: DataFrame, surfaces: Iterable[str] = SURFACES, settle: bool = False,
 ) -> DataFrame:
     """Metadata of all packages as key/value rows; ``parts`` went through ``check_parts``.
 
-    ``materialise`` checkpoints the extracted rows before the look-ups read them again,
-    so a large corpus is parsed once (see ``session.ensure_checkpoint_dir``).
+    ``settle`` works the extracted rows out before the look-ups read them again, so a large corpus
+    is parsed once (see ``session.settled``).
     """
     surfaces = tuple(surfaces)
     rows = part_rows(_only(parts, surfaces))
-    if materialise:
-        rows = rows.checkpoint()
+    if settle:
+        rows = settled(rows)
     pieces = []
     plain = [s for s in surfaces if s not in (*_SETS, "template", "external_links")]
     if plain:

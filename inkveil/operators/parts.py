@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkveil import constants as C
 from inkveil.functions import xmltext as X, xmltokens as T
+from inkveil.functions.detect import let
 from inkveil.plans.policies import ANY, DEFAULT_POLICY, PolicyRow, active
 
 
@@ -40,6 +41,26 @@ def part_tokens(parts: DataFrame) -> DataFrame:
         "path", "part", "token_no", T.kind(F.col("token")).alias("kind"), T.local_name(F.col("token")).alias("name"), "token")
 
 
+def content_digests(parts: DataFrame) -> DataFrame:
+    """(path, part, digest) of the run texts of each body part; unreadable parts have none."""
+    xml = F.when(F.col("error").isNull(), F.col("xml"))
+    return body_parts(parts).select(
+        "path", "part", F.sha2(F.array_join(X.text_runs(xml), "\n"), 256).alias("digest"))
+
+
+def content_preserved(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, part, digest, preserved) of each body part of ``before``, by one aggregation over both.
+
+    ``preserved`` is false for a part that is missing or cannot be read after; (path, part) is unique.
+    """
+    sides = content_digests(before).withColumn("side", F.lit(0)).unionByName(
+        content_digests(after).withColumn("side", F.lit(1)))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("digest")))
+    return (sides.groupBy("path", "part").agg(F.min("side").alias("first"), of(0).alias("digest"), of(1).alias("after"))
+            .filter("first = 0")
+            .select("path", "part", "digest", F.col("digest").eqNullSafe(F.col("after")).alias("preserved")))
+
+
 Edit = Callable[[Column], Column]
 _ANY_TAG = r"[\w.-]+"
 
@@ -141,13 +162,17 @@ def scrubbed(plan: _Programme, xml: Column) -> Column:
     one and no tag name in a comment is taken for an element.  A part that they leave alone
     keeps its bytes.
     """
-    plain = X.plain_runs(xml)
-    case = None
-    for condition, edits in plan.rules:
-        new = reduce(lambda x, edit: edit(x), edits, plain)
-        kept = F.when(new == plain, xml).otherwise(new)
-        case = F.when(condition, kept) if case is None else case.when(condition, kept)
-    return xml if case is None else case.otherwise(xml)
+    if not plan.rules:
+        return xml
+
+    def edited(plain: Column) -> Column:
+        case = F
+        for condition, edits in plan.rules:
+            case = case.when(condition, reduce(lambda x, edit: edit(x), edits, plain))
+        return let(case.otherwise(plain), lambda new: F.when(new == plain, xml).otherwise(new))
+
+    touched = reduce(lambda some, rule: some | rule[0], plan.rules, F.lit(False))
+    return F.when(touched, let(X.plain_runs(xml), edited)).otherwise(xml)
 
 
 def scrub(
@@ -164,11 +189,14 @@ def scrub(
     ok = F.col("error").isNull()
 
     def edited(df: DataFrame, when: Column, new: Column) -> DataFrame:
-        df = df.withColumn("_edit", F.when(when, new).otherwise(F.col("xml")))
-        broken = (F.col("_edit") != F.col("xml")) & X.xml_error(F.when(F.col("_edit") != F.col("xml"), F.col("_edit"))).isNotNull()
-        return (df.withColumn("error", F.when(broken, F.lit("edited part is malformed")).otherwise(F.col("error")))
-                .withColumn("xml", F.when(F.col("error").isNull(), F.col("_edit")).otherwise(F.col("xml")))
-                .select(*parts.columns))
+        read = F.when(when, let(new, lambda text: F.struct(
+            text.alias("xml"), F.when(text != F.col("xml"), X.xml_error(text)).alias("bad"))))
+        df = df.withColumn("_edit", read)
+        good = F.col("_edit").isNotNull() & F.col("_edit.bad").isNull()
+        return df.select(*(
+            F.when(good, F.col("_edit.xml")).otherwise(F.col("xml")).alias("xml") if c == "xml"
+            else F.when(F.col("_edit.bad").isNotNull(), F.lit("edited part is malformed")).otherwise(F.col("error")).alias("error")
+            if c == "error" else F.col(c) for c in parts.columns))
 
     new = scrubbed(plan, F.col("xml"))
     if not plan.template_kinds:

@@ -19,7 +19,7 @@ from inkveil.functions import crypto, display, spans as S, xmltext as X
 from inkveil.operators import metadata, parts as PT, policy as PO, redaction, reports
 from inkveil.operators.encryption import encrypt_status
 from inkveil.plans.policies import DEFAULT_POLICY, PolicyRow, legacy_gate
-from inkveil.session import small_side
+from inkveil.session import settled, small_side
 from inkveil.sources.files import file_kind
 from inkveil.sources.packages import part_errors
 
@@ -149,7 +149,7 @@ class PackageRun:
     @cached_property
     def before(self) -> DataFrame:
         """Metadata rows as found."""
-        return metadata.inventory(self._good)
+        return metadata.inventory(self._good, settle=True)
 
     @cached_property
     def removed(self) -> DataFrame:
@@ -165,8 +165,8 @@ class PackageRun:
 
     @cached_property
     def _edited(self) -> DataFrame:
-        return edit_body(
-            PT.scrub(self._good, self._config.categories, self._policy), self._config, self._key)
+        return settled(edit_body(
+            PT.scrub(self._good, self._config.categories, self._policy), self._config, self._key))
 
     @cached_property
     def parts(self) -> DataFrame:
@@ -176,7 +176,7 @@ class PackageRun:
     @cached_property
     def after(self) -> DataFrame:
         """Metadata rows read back from the cleaned parts."""
-        return metadata.inventory(self.parts)
+        return metadata.inventory(self.parts, settle=True)
 
     @cached_property
     def counts(self) -> DataFrame:

@@ -6,6 +6,7 @@ import pathlib
 import tempfile
 import zipfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,17 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return folder
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` worked out once for several readers, its plan cut off.
+
+    A checkpoint in the shared folder that the session names; where none is named (tests), blocks
+    on the executors' disks, which Spark works out again if one is lost.
+    """
+    if ensure_checkpoint_dir(df.sparkSession):
+        return df.checkpoint()
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a CPU-heavy projection enough tasks.
 

@@ -173,7 +173,7 @@ def test_docx_inventory(parts):
 
 
 def test_checkpointed_inventory_is_the_same(parts):
-    a = metadata.inventory(parts, materialise=True)
+    a = metadata.inventory(parts, settle=True)
     b = metadata.inventory(parts)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from inkveil import constants as C
 from inkveil.config import ALL_RULES, AnonymiseConfig, RuleSet, rule_set
 from inkveil.functions import crypto, display
-from inkveil.operators import encryption, metadata, reports
+from inkveil.operators import encryption, metadata, policy, reports
 from inkveil.plans import batch
 from inkveil.session import spread
 from inkveil.sources import files, packages
@@ -123,6 +123,30 @@ def anonymise_packages_after(spark, folder):
     return after.groupBy("surface", "key", "value").agg(F.count_distinct("path").alias("packages"))
 
 
+def _strip_run(spark, folder, *categories: str, legacy: bool = False) -> batch.PackageRun:
+    """All packages that hold metadata, stripped by the parts."""
+    parts = None
+    for build in (PP.core, PP.app, PP.settings, PP.people, PP.workbook, PP.book_parts):
+        p = build(spark, folder)
+        parts = p if parts is None else parts.unionByName(p)
+    config = AnonymiseConfig(rules=rule_set([]), categories=categories or C.CATEGORIES, legacy_gate=legacy)
+    return batch.anonymise_packages(metadata.check_parts(parts), config)
+
+
+def _package_removed(*categories: str, legacy: bool = False):
+    """Values of the packages that are gone from the cleaned parts."""
+    def query(spark, folder):
+        return _strip_run(spark, folder, *categories, legacy=legacy).removed.select(
+            "path", "surface", "key", "old_value", "times")
+    return query
+
+
+def package_residual(spark, folder):
+    """Cleaned by author only, audited by the whole policy."""
+    after = _strip_run(spark, folder, "author").after
+    return policy.residual_metadata(after, policy.policy_frame(spark)).select("path", "surface", "key", "value")
+
+
 # -------------------------------------------------------------- encryption
 
 PASSWORD, SALT = "correct horse battery staple", bytes(range(C.SALT_BYTES))
@@ -238,6 +262,10 @@ QUERIES = {
     "anonymise_packages_text": anonymise_packages_text,
     "anonymise_packages_results": anonymise_packages_results,
     "anonymise_packages_after": anonymise_packages_after,
+    "package_removed": _package_removed(),
+    "package_removed_dates": _package_removed("dates"),
+    "package_removed_legacy": _package_removed("author", legacy=True),
+    "package_residual": package_residual,
     "encrypt_flags": encrypt_flags,
     "encrypt_roundtrip": encrypt_roundtrip,
     "decrypt_wrong_key": decrypt_wrong_key,

@@ -271,4 +271,51 @@ ORACLES: dict[str, str] = {
     "content_preserved": (
         f"SELECT {TURN_PATH} AS path, sha256(coalesce(string_agg(line, chr(10) ORDER BY i0) "
         f"FILTER (WHERE line <> ''), '')) AS digest, true AS preserved FROM {LINES} GROUP BY conv_id, turn"),
+    "content_preserved_hidden": (
+        f"SELECT {TURN_PATH} AS path, 'word/document.xml' AS part, sha256(coalesce(string_agg(line, chr(10) ORDER BY i0) "
+        f"FILTER (WHERE line <> ''), '')) AS digest, true AS preserved FROM {LINES} GROUP BY conv_id, turn"),
+    "part_tokens": (
+        f"SELECT {TURN_PATH} AS path, 2 * count(*) FILTER (i0 % 3 = 1) AS n_comment, count(*) FILTER (i0 % 3 = 2) AS n_cdata, "
+        f"CAST(2 AS BIGINT) AS n_instruction, count(*) AS n_runs, true AS round_trip FROM {LINES} GROUP BY conv_id, turn"),
+    "hidden_text_runs": (
+        f"SELECT {TURN_PATH} AS path, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i0) - 1 AS run_no, "
+        f"line AS text FROM {LINES} WHERE line <> ''"),
+    "scrub_hidden_body": (
+        f"SELECT {TURN_PATH} AS path, 'tracked_changes' AS surface, 'date' AS key, CAST(0 AS BIGINT) AS ordinal, "
+        f"'1970-01-01T00:00:00Z' AS value FROM conversations"),
+}
+
+# ------------------------------------------------- strips of whole packages
+
+PACKAGE_META = " UNION ALL ".join((
+    CORE, APP, DOC_VARS, MAIL_MERGE, TEMPLATE, THREADED, PEOPLE, HIDDEN, NAMES, CONNECTIONS, PIVOT, LINKS, CUSTOM, CUSTOM_XML))
+
+
+def covered(*categories: str, legacy: bool = False) -> str:
+    """Condition on the rows of PACKAGE_META that these categories change."""
+    of = {
+        "author": (f"(surface = 'core' AND key IN {PEOPLE_KEYS}) OR surface IN ('app', 'document_variables', 'mail_merge', "
+                   "'template', 'threaded_comments', 'people', 'custom_xml')"),
+        "software": (f"(surface = 'core' AND key NOT IN {PEOPLE_KEYS} AND key NOT IN {DATE_KEYS}) OR surface IN "
+                     "('document_variables', 'mail_merge', 'template', 'defined_names', 'connections', 'external_links')"),
+        "dates": f"(surface = 'core' AND key IN {DATE_KEYS})",
+    }
+    some = [of[c] for c in categories] + ["surface IN ('custom_properties', 'hidden_sheets')"]
+    if legacy:
+        some.append(f"(surface = 'core' AND (path LIKE '%.docx' OR key NOT IN {DATE_KEYS}))")
+    return "(" + " OR ".join(some) + ") AND NOT (key = 'revision' AND value = '1')"
+
+
+def removed(condition: str) -> str:
+    return (f"SELECT path, surface, key, value AS old_value, count(*) AS times FROM ({PACKAGE_META}) "
+            f"WHERE value <> '' AND {condition} GROUP BY ALL")
+
+
+ORACLES |= {
+    "package_removed": removed(covered("author", "dates", "software")),
+    "package_removed_dates": removed(covered("dates")),
+    "package_removed_legacy": removed(covered("author", legacy=True)),
+    "package_residual": (
+        f"SELECT path, surface, key, value FROM ({PACKAGE_META}) WHERE value <> '' "
+        f"AND {covered('author', 'dates', 'software')} AND NOT ({covered('author')})"),
 }

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil import constants as C
-from inkveil.functions import xmltext as X
+from inkveil.functions import xmltokens as T
 from inkveil.operators import metadata, parts as PT, policy as PO, records
 from inkveil.plans.policies import DEFAULT_POLICY, PolicyRow, legacy_gate
-from inkveil.session import ensure_checkpoint_dir, spread
+from inkveil.session import spread
 from inkveil.sources.tables import read_table
 from workload import planted_parts as PP
 
@@ -107,8 +107,7 @@ def _all_parts(spark, folder) -> DataFrame:
 
 def meta_inventory(spark, folder):
     """All surfaces of all packages: rows and distinct values per surface and key."""
-    stored = ensure_checkpoint_dir(spark) is not None
-    meta = metadata.inventory(metadata.check_parts(_all_parts(spark, folder)), materialise=stored)
+    meta = metadata.inventory(metadata.check_parts(_all_parts(spark, folder)), settle=True)
     return meta.groupBy("kind", "surface").agg(
         F.count("*").alias("n"), F.count_distinct("path").alias("packages"),
         F.count("value").alias("with_value"))
@@ -308,12 +307,34 @@ def scrub_workbook_part(spark, folder):
 def content_preserved(spark, folder):
     """Body text hashed before and after the strip of the same part."""
     parts = metadata.check_parts(PP.body(spark, folder))
-    def digest(df):
-        return df.select("path", F.sha2(F.array_join(X.text_runs(
-            F.when(F.col("error").isNull(), F.col("xml"))), "\n"), 256).alias("digest"))
-    before, after = digest(parts), digest(PT.scrub(parts))
-    return before.join(after.withColumnRenamed("digest", "after"), "path").select(
-        "path", "digest", (F.col("digest") == F.col("after")).alias("preserved"))
+    return PT.content_preserved(parts, PT.scrub(parts)).select("path", "digest", "preserved")
+
+
+def content_preserved_hidden(spark, folder):
+    """The same for parts whose comments, sections and instructions hold markup."""
+    parts = metadata.check_parts(PP.hiding_body(spark, folder))
+    return PT.content_preserved(parts, PT.scrub(parts))
+
+
+def part_tokens(spark, folder):
+    """Tokens of these parts by kind, and whether they join to the part again."""
+    parts = metadata.check_parts(PP.hiding_body(spark, folder))
+    kinds = ("comment", "cdata", "instruction")
+    counts = PT.part_tokens(parts).groupBy("path").agg(
+        *(F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in kinds),
+        F.count(F.when((F.col("kind") == "open") & (F.col("name") == "t"), 1)).alias("n_runs"))
+    again = parts.select("path", (F.array_join(T.tokens(F.col("xml")), "") == F.col("xml")).alias("round_trip"))
+    return counts.join(again, "path")
+
+
+def hidden_text_runs(spark, folder):
+    parts = metadata.check_parts(PP.hiding_body(spark, folder))
+    return PT.text_runs(parts).select("path", F.col("run_no").cast("bigint").alias("run_no"), "text")
+
+
+def scrub_hidden_body(spark, folder):
+    """Tracked changes read back after a strip by author."""
+    return _meta(PT.scrub(metadata.check_parts(PP.hiding_body(spark, folder)), ["author"]), "tracked_changes")
 
 
 QUERIES = {
@@ -358,4 +379,8 @@ QUERIES = {
     "scrub_core_part": scrub_core_part,
     "scrub_workbook_part": scrub_workbook_part,
     "content_preserved": content_preserved,
+    "content_preserved_hidden": content_preserved_hidden,
+    "part_tokens": part_tokens,
+    "hidden_text_runs": hidden_text_runs,
+    "scrub_hidden_body": scrub_hidden_body,
 }

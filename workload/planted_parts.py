@@ -100,6 +100,23 @@ def body(spark: SparkSession, folder: str) -> DataFrame:
     return _part(_turns(spark, folder), TURN_PATH, "word/document.xml", xml)
 
 
+def hiding_body(spark: SparkSession, folder: str) -> DataFrame:
+    """The turn as body again, with comments, a section and an instruction that hold markup.
+
+    A line is a plain run in a tracked change, a run between two comments that hold the marks of a
+    section, or a section of its own; an instruction and a comment hold a text element each.
+    """
+    df = _turns(spark, folder).withColumn("raw", F.split("text", "\n", -1))
+    xml = (
+        f"concat('{HEAD}<w:document {W}><w:body><?mark <w:t>no</w:t> ?>', array_join(transform(lines, (l, i) -> CASE i % 3 "
+        "WHEN 0 THEN concat('<w:p><w:ins w:id=\"', i, '\" w:author=\"', role, '\" w:date=\"2024-02-01T08:00:00Z\">"
+        "<w:r><w:t xml:space=\"preserve\">', l, '</w:t></w:r></w:ins></w:p>') "
+        "WHEN 1 THEN concat('<w:p><!-- <![CDATA[ --><w:r><w:t>', l, '</w:t></w:r><!-- ]]> <w:t>no</w:t> --></w:p>') "
+        "ELSE concat('<w:p><w:r><w:t><![CDATA[', raw[i], ']]></w:t></w:r></w:p>') END), ''), '</w:body></w:document>')"
+    )
+    return _part(df, TURN_PATH, "word/document.xml", xml)
+
+
 def other_parts(spark: SparkSession, folder: str) -> DataFrame:
     """Parts of other names next to the body: header, footer, chart, style, media list."""
     df = _turns(spark, folder)
