@@ -24,9 +24,24 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+")
+#: Least and greatest number of characters of an account number.
+IBAN_CHARS = range(15, 35)
+_ALNUM = re.compile(r"[A-Za-z0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
+# Characters of an account number by the country it begins with.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29,
+    "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19,
+    "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
 #: Words that make a kind likelier (lower case), and how far from a span they are looked for.
 CONTEXT = {
     "email": ("mail", "email", "e-mail", "contact", "write"),
@@ -96,8 +111,34 @@ def phones(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _PHONE.finditer(text) if 10 <= len(_NOT_DIGIT.sub("", m[0])) <= 15]
 
 
+def _iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the account number that begins at ``start`` ends, at most at ``end``; null if none passes mod-97.
+
+    It ends where no letter or digit follows.  The length of its country is tried first, then
+    the others from the longest down, so a word or amount behind it is not taken in.
+    """
+    head = int("".join(str(int(c, 36)) for c in text[start:start + 4]))  # six digits, which go last
+    passing, n, rest = {}, 4, 0
+    for i in range(start + 4, end):
+        if text[i] != " ":
+            value = int(text[i], 36)
+            n, rest = n + 1, (rest * (10 if value < 10 else 100) + value) % 97
+            if n in IBAN_CHARS and (rest * 1_000_000 + head) % 97 == 1 and not _ALNUM.match(text, i + 1):
+                passing[n] = i + 1
+    own = IBAN_LENGTH.get(text[start:start + 2])
+    return passing.get(own, passing[max(passing)]) if passing else None
+
+
 def ibans(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    """Account numbers, leftmost first and without overlap; a start that fails is not looked into again
+    before its next word."""
+    found, m = [], _IBAN.search(text)
+    while m:
+        end = _iban_end(text, m.start(), m.end())
+        if end is not None:
+            found.append((m.start(), end))
+        m = _IBAN.search(text, m.start() + 4 if end is None else end)
+    return found
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
