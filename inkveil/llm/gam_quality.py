@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import arrow_map, prepare, read_table, remainder, text_bytes
+from inkveil.llm.common import arrow_map, prepare, read_table, remainder, stored, text_bytes
 
 FEATURES = ("log_words", "word_bytes", "symbols", "marks", "capitals", "digits", "dup_lines", "distinct_words",
             "top_word", "line_words", "same_next", "beyond_ascii", "stops", "pipes", "distinct_pairs", "short_words")
@@ -175,7 +175,8 @@ def _matrix(texts: list[bytes | None]) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on at most about MAX_ROWS of the documents that ``labels`` (doc_id, quality 0/1) names.
 
-    Null labels are left out; of several labels of one id, the majority counts, a tie as 1.
+    Null labels are left out; of several labels of one id, the majority counts, a tie as 1.  Ids are
+    drawn first; were their different rows still more, as with one id on very many rows, these are drawn too.
     """
     known = (labels.select("doc_id", "quality").where("doc_id is not null and quality is not null")
              .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y")))
@@ -188,7 +189,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         return {"doc_id": batch.column("doc_id"), "y": batch.column("y"),
                 "x": [features(t) for t in batch.column("text").to_pylist()]}
 
-    rows = sorted(arrow_map(rows_of, run, "doc_id long, y double, x array<double>").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    found = stored(arrow_map(rows_of, run, "doc_id long, y double, x array<double>").distinct(), "quality-rows")
+    row = F.pmod(F.xxhash64("doc_id", "x"), F.lit(1_000_000)) / 1e6
+    rows = sorted(found.where(row < min(1.0, MAX_ROWS / max(1, found.count()))).collect(), key=lambda r: (r["doc_id"], r["x"]))
     return fit(np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r["y"] for r in rows], float))
 
 
