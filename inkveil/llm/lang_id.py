@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from inkveil.llm.common import arrow_map, prepare, read_table, remainder, text_bytes
 
 UNKNOWN = "und"
-#: Hash buckets of the byte 2-, 3- and 4-grams, size of their vectors.
+#: Hash buckets of the byte 2-, 3- and 4-grams; size of their vectors, which is a quarter of the
+#: number of languages where that is more.
 BUCKETS, WIDTH = 1 << 12, 16
-#: At most about so many texts are learned from, shared evenly by the languages, of which the
-#: LANGUAGES most frequent are learned.
-MAX_TEXTS, LANGUAGES = 2_000, 200
+#: About so many texts are learned from, shared evenly by all languages, but at least LEAST_EACH of each.
+MAX_TEXTS, LEAST_EACH = 2_000, 8
 #: Words in the short pieces of a text that are learned beside the whole, so that short texts do well too.
 PIECES = (2, 6, 25)
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.5, 1e-5
@@ -92,8 +92,9 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], calibrates: np.ndarr
     chosen[train] = 1 / len(train)
     mean = chosen @ x  # without copies of the matrix
     scale = 1 / max(1e-9, float(np.sqrt(max(0.0, chosen @ np.einsum("ij,ij->i", x, x) - mean @ mean))))
-    embed = rng.normal(0, 0.3, (BUCKETS, WIDTH)).astype(np.float32)
-    out = np.zeros((WIDTH, n_lang), np.float32)
+    width = max(WIDTH, n_lang // 4)
+    embed = rng.normal(0, 0.3, (BUCKETS, width)).astype(np.float32)
+    out = np.zeros((width, n_lang), np.float32)
     bias = np.zeros(n_lang, np.float32)
     target = np.eye(n_lang, dtype=np.float32)[y]
     for epoch in range(EPOCHS):
@@ -124,41 +125,57 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], calibrates: np.ndarr
     return model
 
 
-def learn(labelled: DataFrame) -> Model:
-    """Fits on a bounded sample of ``labelled`` (doc_id, text, lang); null texts and languages are left out."""
+def sample(labelled: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows (draw, lang, text as bytes) to learn from, and all languages.
+
+    The sample is drawn by a hash of id and text from the different rows of each language, so
+    neither one id on very many rows nor repeated rows make it larger; null texts and languages
+    are left out.  Every language that has a text is in it with at least one.
+    """
     usable = labelled.select("doc_id", F.col("text").cast("binary").alias("text"), "lang").where(
-        F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = (usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
-    languages = sorted(r["lang"] for r in counts)
+        F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn(
+            "draw", F.xxhash64(F.lit("lang"), "doc_id", "text"))
+    place = F.pmod("draw", F.lit(1_000_000))
+    counts = (usable.select("lang", "draw").distinct().groupBy("lang")
+              .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).orderBy("lang").collect())
+    if not counts:
+        return usable.drop("doc_id").limit(0), []
+    each = max(LEAST_EACH, MAX_TEXTS / len(counts))
+    # the first row of a language is always below its limit
+    limits = [x for r in counts for x in (F.lit(r["lang"]), F.lit(max(int(1e6 * min(1.0, each / r["n"])), r["first"] + 1)))]
+    chosen = usable.where(place < F.create_map(*limits)[F.col("lang")]).dropDuplicates(["lang", "draw"])
+    return chosen.drop("doc_id"), [r["lang"] for r in counts]
+
+
+def learn(labelled: DataFrame) -> Model:
+    """Fits on ``sample`` of ``labelled`` (doc_id, text, lang): all its languages are learned."""
+    chosen, languages = sample(labelled)
     if not languages:
         return fit(np.zeros((0, BUCKETS)), np.zeros(0, int), [], np.zeros(0, bool))
-    each = MAX_TEXTS / len(languages)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, each / r["n"]))).otherwise(share)
-    place = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1_000_000)) / 1e6
-    chosen = text_bytes(usable.where(place < share), "lang")
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        rows: dict[str, list] = {"doc_id": [], "lang": [], "x": []}
-        for doc, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True):
+        rows: dict[str, list] = {"draw": [], "lang": [], "x": []}
+        for draw, lang, text in zip(*(batch.column(c).to_pylist() for c in ("draw", "lang", "text")), strict=True):
             words = clean(text).split()
-            at = doc or 0
-            cut = [words[at % max(1, len(words) - n + 1):][:n] for n in PIECES if len(words) > n]
+            cut = [words[draw % max(1, len(words) - n + 1):][:n] for n in PIECES if len(words) > n]
             for part in ([words] if words else []) + cut:
-                rows["doc_id"].append(doc)
+                rows["draw"].append(draw)
                 rows["lang"].append(lang)
                 rows["x"].append(average(b" " + b" ".join(part) + b" ").astype(np.float16).tobytes())
         return rows
 
-    rows = sorted(arrow_map(chosen, run, "doc_id long, lang string, x binary").collect(),
-                  key=lambda r: (r["doc_id"] or 0, r["lang"], r["x"]))
+    slots = labelled.sparkSession.sparkContext.defaultParallelism
+    rows = sorted(arrow_map(chosen.repartition(slots), run, "draw long, lang string, x binary").collect(),
+                  key=lambda r: (r["lang"], r["draw"], r["x"]))
     x = np.empty((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
         x[i] = np.frombuffer(r["x"], np.float16)
-    y = np.array([languages.index(r["lang"]) for r in rows], int)
-    return fit(x, y, languages, np.array([(r["doc_id"] or 0) % 5 == 0 for r in rows], bool))
+    number = {lang: i for i, lang in enumerate(languages)}
+    y = np.array([number[r["lang"]] for r in rows], int)
+    # every fifth text of each language, never its first, so that none is left without one to learn from
+    texts = {lang: {} for lang in languages}
+    place = [texts[r["lang"]].setdefault(r["draw"], len(texts[r["lang"]])) for r in rows]
+    return fit(x, y, languages, np.array([p % 5 == 4 for p in place], bool))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -93,6 +93,31 @@ def test_checksums_and_context():
     assert pii.redact("me a@b.cd, you", pii.spans("me a@b.cd, you")) == "me [EMAIL], you"
 
 
+@pytest.mark.parametrize("text, number", [
+    ("IBAN GB82 WEST 1234 5698 7654 32 BIC", "GB82 WEST 1234 5698 7654 32"),
+    ("DE89 3704 0044 0532 0130 00 Please pay", "DE89 3704 0044 0532 0130 00"),
+    ("DE89 3704 0044 0532 0130 00 USD 500", "DE89 3704 0044 0532 0130 00"),
+    ("DE89370400440532013000 A B", "DE89370400440532013000"),
+    ("XY12 DE89370400440532013000", "DE89370400440532013000"),  # a start that fails hides none behind it
+    ("DE89370400440532013000x", None), ("DE88370400440532013000", None), ("DE89 3704 0044", None),
+])
+def test_account_numbers_end_where_they_should(text, number):
+    found = [text[s:e] for s, e, k, _ in pii.spans(text) if pii.KINDS[k] == "iban"]
+    assert found == ([number] if number else [])
+
+
+def test_account_numbers_of_every_country():
+    rng = random.Random(5)
+    for country, n in pii.IBAN_LENGTH.items():
+        body = "".join(rng.choice("0123456789ABCXYZ") for _ in range(n - 4))
+        check = next(f"{c:02}" for c in range(2, 99) if pii.mod97(f"{country}{c:02}{body}"))
+        whole = f"{country}{check}{body}"
+        grouped = " ".join(whole[i:i + 4] for i in range(0, n, 4))
+        for written in (whole, grouped):
+            text = f"to {written} EUR 12, or"
+            assert [text[s:e] for s, e in pii.ibans(text)] == [written]
+
+
 @pytest.mark.parametrize("unit", ["a", "a.", "1", "1.", "1 ", "+1", "+1(", "@", "a@", "a@b.", "AB12 "])
 def test_patterns_are_linear(unit):
     start = time.perf_counter()
@@ -143,6 +168,30 @@ def test_language_of_odd_rows(spark, docs):
     assert [r["lang_pred"] for r in lang_id.identify(docs(["a"]), nothing).collect()] == ["und"]
 
 
+def test_every_language_is_learned(spark):
+    """Three hundred languages, each with words of its own and ids of one remainder; one has a single text."""
+    rng = random.Random(3)
+    words = {f"l{i:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for i in range(300)}
+    rows = [(j * 300 + i, " ".join(rng.choices(w, k=30)), lang)
+            for i, (lang, w) in enumerate(words.items()) for j in range(1 if i == 0 else 12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.learn(frame)
+    assert model.languages == sorted(words)
+    found = lang_id.identify(frame, model).join(frame, "doc_id").where("lang_pred = lang").count()
+    assert found > 0.97 * len(rows)
+
+
+def test_language_sample_is_bounded(spark):
+    """Very many rows of one id, and repeated rows, do not make the sample larger."""
+    one_id = spark.range(100_000).selectExpr(
+        "CAST(NULL AS BIGINT) AS doc_id", "concat('text number ', id) AS text", "'en' AS lang")
+    repeated = spark.range(20_000).selectExpr("1L AS doc_id", "'der text' AS text", "'de' AS lang")
+    chosen, languages = lang_id.sample(one_id.unionByName(repeated))
+    n = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
+    assert languages == ["de", "en"] and n["de"] == 1
+    assert 0.7 * lang_id.MAX_TEXTS / 2 < n["en"] < 1.3 * lang_id.MAX_TEXTS / 2
+
+
 def test_uncertain_languages_are_rejected():
     rng = np.random.default_rng(0)
     text = lambda letters, n: bytes(rng.choice(list(letters), n))
@@ -166,6 +215,18 @@ def test_quality_held_out(spark):
     assert all(r["predicted"] == (r["score"] >= 0.3) for r in rows.values())
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    """One labelled id on many rows: no more rows reach the driver than the bound allows."""
+    monkeypatch.setattr(gam_quality, "MAX_ROWS", 200)
+    seen = []
+    monkeypatch.setattr(gam_quality, "fit", lambda x, y: seen.append(len(x)))
+    docs = spark.range(4_000).selectExpr("1L AS doc_id", "concat(repeat('word ', CAST(id % 1000 AS INT)), id) AS text")
+    gam_quality.learn(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert 0 < seen[0] < 300
+    gam_quality.learn(docs.selectExpr("doc_id", "'the same' AS text"), spark.createDataFrame([(1, 0)], "doc_id long, quality int"))
+    assert seen[1] == 1
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((4_000, 3))
