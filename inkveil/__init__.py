@@ -14,4 +14,4 @@ from inkveil.functions.spans import find_spans, redact, rule_counts  # noqa: F40
 from inkveil.operators.encryption import decrypt_columns, encrypt_columns  # noqa: F401
 from inkveil.operators.policy import diff, strip  # noqa: F401
 from inkveil.operators.redaction import redact_columns, with_redaction  # noqa: F401
-from inkveil.plans.batch import anonymise, anonymise_packages, preview  # noqa: F401
+from inkveil.plans.batch import anonymise, anonymise_files, anonymise_packages, preview  # noqa: F401

@@ -148,6 +148,7 @@ KIND_BY_EXTENSION = {
     "jpg": "image", "jpeg": "image", "png": "image",
     "tiff": "image", "tif": "image", "bmp": "image",
 }
+PACKAGE_KINDS = ("docx", "xlsx")
 PDF_MAGIC = b"%PDF"
 ZIP_MAGIC = b"PK\x03\x04"
 

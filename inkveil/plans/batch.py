@@ -21,7 +21,7 @@ from inkveil.operators.encryption import encrypt_status
 from inkveil.plans.policies import DEFAULT_POLICY, PolicyRow, legacy_gate
 from inkveil.session import settled, small_side
 from inkveil.sources.files import file_kind
-from inkveil.sources.packages import part_errors
+from inkveil.sources.packages import Caps, part_errors, unzip_parts
 
 
 # ------------------------------------------------------------ plain tables
@@ -121,47 +121,74 @@ def decrypt_body(parts: DataFrame, key: DataFrame) -> DataFrame:
 
 
 class PackageRun:
-    """Results of a run over packages; each one is a lazy DataFrame, planned on demand.
-
-    ``parts`` is a stored table that went through ``metadata.check_parts``: several
-    results are read from it, and its error column alone tells the failed packages.  A
-    package with an unreadable part is reported and left out of the cleaned parts.
+    """Results of a run over files of any mix; each one is a lazy DataFrame, planned on demand.
+
+    ``parts`` is a stored table of ``sources.packages.unzip_parts`` that went through
+    ``metadata.check_parts``: several results are read from it, and its error column alone tells
+    the failed files.  A package with an unreadable part is reported and left out of the cleaned
+    parts.  PDF files and images have one row without a part; what an extractor read from them
+    comes as ``records`` (rows of ``operators.records``) and ``texts`` (path, text; any number of
+    rows per PDF file).  Without ``records`` they are reported as failed, never as cleaned.
     """
 
     def __init__(
         self, parts: DataFrame, config: AnonymiseConfig, key: DataFrame | None = None,
         policy: tuple[PolicyRow, ...] | None = None,
+        records: DataFrame | None = None, texts: DataFrame | None = None,
     ):
         self._parts, self._config, self._key = parts, config, key
         self._policy = policy or (legacy_gate() if config.legacy_gate else DEFAULT_POLICY)
+        self._records, self._given_texts = records, texts
+
+    @cached_property
+    def _others(self) -> DataFrame:
+        """(path, kind) of the readable files that are no packages."""
+        return self._parts.filter(
+            F.col("error").isNull() & ~F.col("kind").isin(*C.PACKAGE_KINDS)).select("path", "kind").distinct()
 
     @cached_property
     def errors(self) -> DataFrame:
         """``(path, part, error)``"""
-        return part_errors(self._parts)
+        found = part_errors(self._parts)
+        if self._records is not None:
+            return found
+        return found.unionByName(self._others.select(
+            "path", F.lit(None).cast("string").alias("part"), F.lit("no metadata records given").alias("error")))
 
     @cached_property
     def _good(self) -> DataFrame:
         bad = self.errors.select("path").distinct()
         few = small_side(bad)
-        return self._parts.join(bad if few is None else few, "path", "left_anti")
+        return self._parts.filter("part IS NOT NULL").join(bad if few is None else few, "path", "left_anti")
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        """The policy as a table."""
+        return PO.policy_frame(self._parts.sparkSession, self._policy, self._config.categories)
+
+    @cached_property
+    def _read(self) -> DataFrame | None:
+        """Records of files that are in the run; their kind is the file's own."""
+        if self._records is None:
+            return None
+        columns = metadata.META_COLUMNS
+        return self._records.drop("kind").join(self._others, "path").select(*columns)
 
     @cached_property
     def before(self) -> DataFrame:
         """Metadata rows as found."""
-        return metadata.inventory(self._good, settle=True)
+        found = metadata.inventory(self._good, settle=True)
+        return found if self._read is None else found.unionByName(self._read)
 
     @cached_property
     def removed(self) -> DataFrame:
         """Values that are in ``before`` and no longer in ``after``, with the action that covers them."""
-        rows = PO.policy_frame(self._parts.sparkSession, self._policy, self._config.categories)
-        return PO.with_action(PO.bag_difference(self.before, self.after), rows).drop("category")
+        return PO.with_action(PO.bag_difference(self.before, self.after), self._rows).drop("category")
 
     @cached_property
     def residual(self) -> DataFrame:
         """What the cleaned parts still hold of the keys that the policy covers."""
-        rows = PO.policy_frame(self._parts.sparkSession, self._policy, self._config.categories)
-        return PO.residual_metadata(self.after, rows)
+        return PO.residual_metadata(self.after, self._rows)
 
     @cached_property
     def _edited(self) -> DataFrame:
@@ -173,36 +200,111 @@ class PackageRun:
         """Cleaned parts; ``sources.packages.zip_parts`` makes packages of them."""
         return self._edited.drop("counts")
 
+    @cached_property
+    def _texts(self) -> DataFrame | None:
+        """(path, text, counts) of the PDF files in the run, redacted."""
+        if self._given_texts is None:
+            return None
+        mine = self._others.filter("kind = 'pdf'").select("path")
+        return redaction.with_redaction(
+            self._given_texts.select("path", "text").join(mine, "path", "left_semi"),
+            "text", self._config.rules, into="text")
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """(path, text): the given texts of PDF files, redacted."""
+        if self._texts is None:
+            return self._others.limit(0).select("path", F.lit(None).cast("string").alias("text"))
+        return self._texts.select("path", "text")
+
     @cached_property
     def after(self) -> DataFrame:
-        """Metadata rows read back from the cleaned parts."""
-        return metadata.inventory(self.parts, settle=True)
+        """Metadata rows read back from the cleaned parts, and records as the policy leaves them."""
+        found = metadata.inventory(self.parts, settle=True)
+        return found if self._read is None else found.unionByName(PO.strip(self._read, self._rows))
 
     @cached_property
     def counts(self) -> DataFrame:
         """``(path, rule, n)``"""
-        return reports.merge_counts(
-            self._edited.select("path", F.explode_outer("counts").alias("rule", "n"))
-            .filter("rule IS NOT NULL"), ["path"])
+        found = self._edited.select("path", F.explode_outer("counts").alias("rule", "n"))
+        if self._texts is not None:
+            found = found.unionByName(self._texts.select("path", F.explode_outer("counts").alias("rule", "n")))
+        return reports.merge_counts(found.filter("rule IS NOT NULL"), ["path"])
+
+    def _output_name(self, name: Column, kind: Column) -> Column:
+        if self._config.encrypt and self._key is not None:
+            return F.when(kind.isin(*C.ENCRYPTABLE_KINDS), display.encrypted_name(name)).otherwise(
+                display.cleaned_name(name))
+        return display.cleaned_name(name)
 
     @cached_property
     def results(self) -> DataFrame:
-        """One row per package."""
+        """One row per file, with its number of redactions."""
         failed = self.errors.groupBy("path").agg(F.min("error").alias("error"))
         totals = self.counts.groupBy("path").agg(F.sum("n").alias("redactions"))
         name, ok = display.base_name(F.col("path")), F.col("error").isNull()
-        encrypting = self._config.encrypt and self._key is not None
-        output = display.encrypted_name(name) if encrypting else display.cleaned_name(name)
         return (
-            self._parts.select("path").distinct()
+            self._parts.groupBy("path").agg(F.max("kind").alias("kind"))
             .join(failed, "path", "left").join(totals, "path", "left")
             .select(
                 "path", name.alias("file"), ok.alias("success"),
-                F.when(ok, output).alias("output_path"),
+                F.when(ok, self._output_name(name, F.col("kind"))).alias("output_path"),
                 F.when(ok, F.coalesce("redactions", F.lit(0).cast("bigint"))).alias("redactions"),
                 "error")
         )
 
+    @cached_property
+    def report(self) -> DataFrame:
+        """The full record of every file, whatever its kind, in one schema.
+
+        ``before``, ``removed`` and ``after`` map a surface to its number of values, ``redaction``
+        a rule to its number of spans: both sets of names are fixed, so a map stays small however
+        much a file holds.  One aggregation over all facts, no join.
+        """
+        def facts(df: DataFrame, what: str, name: Column, n: Column) -> DataFrame:
+            return df.select("path", F.lit(what).alias("what"), name.alias("name"), n.alias("n"))
+
+        none, one = F.lit(None).cast("bigint"), F.lit(1).cast("bigint")
+        valued = "value <> ''"
+        rows = [
+            facts(self._parts, "kind", F.col("kind"), none),
+            facts(self.errors, "error", F.col("error"), none),
+            facts(self.before.filter(valued), "before", F.col("surface"), one),
+            facts(self.removed, "removed", F.col("surface"), F.col("times")),
+            facts(self.after.filter(valued), "after", F.col("surface"), one),
+            facts(self.counts, "redaction", F.col("rule"), F.col("n")),
+        ]
+        if self._texts is not None:
+            rows.append(facts(self._texts, "text", F.lit(None).cast("string"), none))
+        every = rows[0]
+        for more in rows[1:]:
+            every = every.unionByName(more)
+        summed = every.groupBy("path", "what", "name").agg(F.sum("n").alias("n"))
+
+        def held(what: str) -> Column:
+            pairs = F.collect_list(F.when(F.col("what") == what, F.struct("name", "n")))
+            return F.map_from_entries(F.array_sort(pairs))
+
+        def named(what: str) -> Column:
+            return F.min(F.when(F.col("what") == what, F.col("name")))
+
+        maps = ("before", "removed", "after", "redaction")
+        found = summed.groupBy("path").agg(
+            named("kind").alias("kind"), named("error").alias("error"),
+            F.bool_or(F.col("what") == "text").alias("has_text"), *(held(m).alias(m) for m in maps))
+        ok, name = F.col("error").isNull(), display.base_name(F.col("path"))
+        status = (
+            F.when(F.lit(not self._config.rules) | (F.col("kind") == "image"), "no_text_rules")
+            .when(F.col("kind").isin(*C.PACKAGE_KINDS) | F.col("has_text"), "redacted").otherwise("no_text"))
+        encrypting = self._config.encrypt and self._key is not None
+        return found.select(
+            "path", name.alias("file"), "kind", ok.alias("success"),
+            F.when(ok, self._output_name(name, F.col("kind"))).alias("output_path"),
+            *(F.when(ok, F.col(m)).alias(m) for m in maps),
+            F.when(ok, status).alias("text_status"),
+            F.when(ok, encrypt_status(F.col("kind")) if encrypting else F.lit("off")).alias("encryption"),
+            "error")
+
 
 def _is_body() -> Column:
     """Body parts of text documents and the string cells of workbooks."""
@@ -245,6 +347,17 @@ def edit_body(
 def anonymise_packages(
     parts: DataFrame, config: AnonymiseConfig, key: DataFrame | None = None,
     policy: tuple[PolicyRow, ...] | None = None,
+    records: DataFrame | None = None, texts: DataFrame | None = None,
+) -> PackageRun:
+    """All steps over the parts of many packages, and over what was read from files of other kinds."""
+    return PackageRun(parts, config, key, policy, records, texts)
+
+
+def anonymise_files(
+    files: DataFrame, config: AnonymiseConfig, key: DataFrame | None = None,
+    policy: tuple[PolicyRow, ...] | None = None,
+    records: DataFrame | None = None, texts: DataFrame | None = None, caps: Caps = Caps(),
 ) -> PackageRun:
-    """All steps over the parts of many packages."""
-    return PackageRun(parts, config, key, policy)
+    """The same from ``(path, content)`` of any mix of kinds: one scan opens the packages and routes the rest."""
+    parts = settled(metadata.check_parts(unzip_parts(files, caps)))
+    return PackageRun(parts, config, key, policy, records, texts)

@@ -93,11 +93,16 @@ def _bytes(name: str, xml: str | None, content: bytes | None) -> bytes:
 
 
 def _entries(path: str, kind: str, content: bytes, caps: Caps) -> Iterator[tuple]:
+    if kind not in C.PACKAGE_KINDS:
+        yield path, kind, None, None, None, None, (None if kind else f"Unsupported file: {path}")
+        return
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             infos = archive.infolist()
             if caps.entries is not None and len(infos) > caps.entries:
                 raise ValueError(f"more than {caps.entries} entries")
+            if not infos:
+                raise ValueError("no entries")
             room = caps.package_bytes
             for i, info in enumerate(infos):
                 if info.is_dir():
@@ -122,7 +127,11 @@ def _entries(path: str, kind: str, content: bytes, caps: Caps) -> Iterator[tuple
 
 
 def unzip_parts(files: DataFrame, caps: Caps = Caps()) -> DataFrame:
-    """``(path, content)`` -> part rows; XML parts as text, others as bytes."""
+    """``(path, content)`` -> part rows; XML parts as text, others as bytes.
+
+    One scan for a mix of kinds: a file that is no package is one row without a part, and with an
+    error if its kind is unknown.  Its bytes do not go to a worker.
+    """
     names = [c.split()[0] for c in PART_SCHEMA.split(", ")]
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +148,8 @@ def unzip_parts(files: DataFrame, caps: Caps = Caps()) -> DataFrame:
             yield pd.DataFrame(rows, columns=names)
 
     kind = F.col("kind") if "kind" in files.columns else file_kind(F.col("path"), F.col("content"))
-    return files.select("path", kind.alias("kind"), "content").mapInPandas(unpack, PART_SCHEMA)
+    return files.select("path", kind.alias("kind"), "content").withColumn(
+        "content", F.when(F.col("kind").isin(*C.PACKAGE_KINDS), F.col("content"))).mapInPandas(unpack, PART_SCHEMA)
 
 
 def _size(parts: DataFrame):

@@ -10,7 +10,7 @@ from inkveil.config import AnonymiseConfig, rule_set
 from inkveil.functions.crypto import key_frame
 from inkveil.functions import xmltext as X
 from inkveil.operators import metadata, parts as PT, policy as PO
-from inkveil.plans.batch import anonymise_packages, decrypt_body, edit_body
+from inkveil.plans.batch import anonymise_files, anonymise_packages, decrypt_body, edit_body
 from inkveil.plans.policies import legacy_gate
 from inkveil.sources import files, packages
 
@@ -125,6 +125,49 @@ def test_inventory_of_files(spark, folder):
     assert files.binary_files(spark, folder).count() == 8
 
 
+def test_any_mix_of_kinds(spark, folder):
+    """One run over packages, PDF files, images, unknown and broken files: every file has its own record."""
+    found = files.binary_files(spark, folder, supported_only=False).withColumn(
+        "path", F.regexp_extract("path", "([^/]+)$", 1)).select("path", "content")
+    more = spark.createDataFrame(
+        [("a.png", b"\x89PNG"), ("empty.docx", b"PK\x05\x06" + bytes(18)), ("none.docx", None), ("b.pdf", b"%PDF-1.4")],
+        "path string, content binary")
+    columns = "path string, kind string, surface string, key string, ordinal int, value string, value_type string"
+    read = spark.createDataFrame([
+        ("noext", "pdf", "info", "Author", 0, "Ann", "string"), ("noext", "pdf", "info", "Title", 0, "", "string"),
+        ("noext", "pdf", "form", "acroform", 0, "true", "boolean"), ("a.png", "image", "exif", "Artist", 0, "Bo", "string"),
+        ("elsewhere.pdf", "pdf", "info", "Author", 0, "Cy", "string"),
+    ], columns)
+    texts = spark.createDataFrame(
+        [("noext", "mail a@b.co"), ("noext", None), ("a.png", "mail a@b.co"), ("elsewhere.pdf", "x@y.zz")],
+        "path string, text string")
+    config = AnonymiseConfig(rules=rule_set())
+    run = anonymise_files(found.unionByName(more), config, records=read, texts=texts, caps=CAPS)
+    got = {r.path: r for r in run.report.collect()}
+    assert len(got) == 15 and "elsewhere.pdf" not in got
+    pdf, png = got["noext"], got["a.png"]
+    assert pdf.success and pdf.kind == "pdf" and pdf.output_path == "noext_cleaned" and pdf.text_status == "redacted"
+    assert (pdf.before, pdf.removed, pdf.after) == ({"info": 1, "form": 1}, {"info": 1}, {"form": 1})
+    assert pdf.redaction == {"email": 1} and got["b.pdf"].text_status == "no_text" and got["b.pdf"].before == {}
+    assert png.success and png.removed == {"exif": 1} and png.after == {} and png.redaction == {}
+    assert png.text_status == "no_text_rules"
+    assert got["note.txt"].error == "Unsupported file: note.txt" and got["note.txt"].kind is None
+    assert "no entries" in got["empty.docx"].error and not got["none.docx"].success
+    good = got["good.docx"]
+    assert good.success and good.kind == "docx" and good.redaction["email"] >= 1 and good.text_status == "redacted"
+    assert good.removed["comments"] == good.before["comments"] == 3 and good.after["comments"] == 1
+    assert got["pack"].before == good.before and got["book.XLSX"].before["hidden_sheets"] == 1
+    assert [r.before for r in got.values() if not r.success] == [None] * 8
+    assert {r.text for r in run.texts.collect()} == {"mail [REDACTED]", None}
+    same = {r.path: r for r in run.results.collect()}
+    assert {p: r.success for p, r in same.items()} == {p: r.success for p, r in got.items()}
+    # without records nothing is claimed of PDF files and images
+    bare = {r.path: r for r in anonymise_files(more, config).report.collect()}
+    assert bare["a.png"].error == bare["b.pdf"].error == "no metadata records given"
+    empty = anonymise_files(more.limit(0), config, records=read.limit(0))
+    assert empty.report.collect() == [] and empty.results.collect() == []
+
+
 def test_errors_are_rows(parts):
     errors = {(r.path, r.part): r.error for r in packages.part_errors(parts).collect()}
     assert ("notzip.docx", None) in errors and ("cut.docx", None) in errors

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkveil.constants import RULE_ORDER
+from inkveil.constants import DEFAULT_RULES, RULE_ORDER
 from workload.metadata_oracles import LINES, TURN_PATH
 from workload.text_oracles import kept_sql, redacted_sql
 
@@ -52,7 +52,60 @@ COMMENTS_LENGTH = (
 HDR = len('<w:hdr') + _W + len('><w:t></w:t></w:hdr>')
 CUT = "conv_id % 10 = 0"
 
+# A mixed batch: one row per file with its maps as text, names in order.
+CUT_TURN = "CAST(conv_id AS VARCHAR) LIKE '%0'"
+TURN_COUNTS = (
+    f"(SELECT conv_id, turn, {TURN_PATH} AS file, {CUT_TURN} AS cut, count(*) AS n, "
+    f"count(*) FILTER (WHERE i0 % 3 <> 2) AS named, count(DISTINCT i0 % 5) FILTER (WHERE i0 % 3 <> 2) "
+    f"+ count(DISTINCT i0 % 3) FILTER (WHERE i0 % 3 <> 2) AS tracked FROM {LINES} GROUP BY conv_id, turn)"
+)
+TURN_RULES = (
+    f"(SELECT file, string_agg(rule || '=' || n, ';' ORDER BY rule) AS redaction FROM ("
+    f"SELECT pr.p AS file, u.rule AS rule, count(*) AS n FROM (SELECT pr, unnest(k) AS u FROM ("
+    f"{kept_sql(RUNS, 'pr', 'text', DEFAULT_RULES)})) GROUP BY ALL) GROUP BY file)"
+)
+
+
+def mixed(file: str, kind: str, maps: tuple[str, str, str, str], status: str, source: str, error: str = "NULL") -> str:
+    """One row per file of a kind; a failed one has nothing but its error."""
+    ok = f"({error}) IS NULL"
+    stem = f"regexp_replace({file}, '[.][a-z]+$', '')"
+    ext = f"regexp_extract({file}, '[.][a-z]+$')"
+    cells = ", ".join(f"CASE WHEN {ok} THEN {m} END AS {name}" for name, m in zip(
+        ("before", "removed", "after", "redaction"), maps))
+    return (
+        f"SELECT {file} AS file, CAST({kind} AS VARCHAR) AS kind, {ok} AS success, "
+        f"CASE WHEN {ok} THEN {stem} || '_cleaned' || {ext} END AS output_path, {cells}, "
+        f"CASE WHEN {ok} THEN {status} END AS text_status, CASE WHEN {ok} THEN 'off' END AS encryption, "
+        f"CAST({error} AS VARCHAR) AS error FROM {source}"
+    )
+
+
+_TURN_BEFORE = "'comments=' || (2 * n + named) || ';tracked_changes=' || tracked"
+_BOOK = "'defined_names=1' || CASE WHEN p_partkey % 3 <> 1 THEN ';hidden_sheets=1' ELSE '' END"
+_FORM = "CASE WHEN o_orderkey % 3 = 0 THEN 'form=1' ELSE '' END"
+_XMP = "CASE WHEN o_orderkey % 2 = 0 THEN ';xmp=1' ELSE '' END"
+_IMAGE = (
+    "CASE WHEN c_custkey % 3 = 0 THEN 'comment=1;' ELSE '' END || 'exif=2;' "
+    "|| CASE WHEN c_custkey % 2 = 0 THEN 'icc_profile=1;' ELSE '' END || 'iptc=2;png_text=1'"
+)
+MIXED = " UNION ALL ".join((
+    mixed("file", "'docx'", (_TURN_BEFORE, _TURN_BEFORE, "'comments=' || n || ';tracked_changes=1'",
+                             "coalesce(redaction, '')"), "'redacted'",
+          f"{TURN_COUNTS} LEFT JOIN {TURN_RULES} USING (file)",
+          "CASE WHEN cut THEN 'BadZipFile: File is not a zip file' END"),
+    mixed("'book-' || p_partkey || '.xlsx'", "'xlsx'", (_BOOK, _BOOK, "''", "''"), "'redacted'", "part"),
+    mixed("'order-' || o_orderkey || '.pdf'", "'pdf'", (
+        f"'annotation=3;' || CASE WHEN {_FORM} <> '' THEN {_FORM} || ';' ELSE '' END || 'info=5' || {_XMP}",
+        f"'annotation=3;info=5' || {_XMP}", _FORM, "CASE WHEN o_orderkey % 2 = 0 THEN 'email=1' ELSE '' END"),
+        "CASE WHEN o_orderkey % 2 = 0 THEN 'redacted' ELSE 'no_text' END", "orders"),
+    mixed("'image-' || c_custkey || '.jpg'", "'image'", (_IMAGE, _IMAGE, "''", "''"), "'no_text_rules'", "customer"),
+    mixed("'note-' || p_partkey || '.txt'", "NULL", ("''", "''", "''", "''"), "''", "part",
+          "'Unsupported file: note-' || p_partkey || '.txt'"),
+))
+
 ORACLES: dict[str, str] = {
+    "mixed_batch_results": MIXED,
     "detect_type": f"SELECT p_partkey, {KIND.format(other=HEAD_KIND)} AS kind FROM part",
     "output_names": (
         f"SELECT p_partkey, {STEM} || '_cleaned' || {EXT} AS cleaned, "

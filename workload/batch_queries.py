@@ -147,6 +147,41 @@ def package_residual(spark, folder):
     return policy.residual_metadata(after, policy.policy_frame(spark)).select("path", "surface", "key", "value")
 
 
+def _mixed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Text documents (every tenth cut short), workbooks, PDF files, images and notes, as bytes."""
+    packed = packages.zip_parts(_with_bytes(
+        PP.body(spark, folder).unionByName(PP.comments(spark, folder).withColumn("ordinal", F.lit(1)))
+        .unionByName(PP.workbook(spark, folder))))
+    cut = F.regexp_extract("path", r"^turn-(\d+)-", 1)
+    packed = packed.select("path", F.when(cut.endswith("0"), F.expr("substring(content, 1, 40)")).otherwise(
+        F.col("content")).alias("content"))
+    for table, key, path, head in (
+        ("orders", "o_orderkey", "concat('order-', o_orderkey, '.pdf')", "X'255044462d312e37'"),
+        ("customer", "c_custkey", "concat('image-', c_custkey, '.jpg')", "X'ffd8ffe0'"),
+        ("part", "p_partkey", "concat('note-', p_partkey, '.txt')", "X'00'"),
+    ):
+        packed = packed.unionByName(PP.read_table(spark, folder, table, key).selectExpr(
+            f"{path} AS path", f"{head} AS content"))
+    return packed
+
+
+def _mixed_run(spark, folder) -> batch.PackageRun:
+    from workload.metadata_queries import _image_rows, _pdf_rows
+    texts = PP.read_table(spark, folder, "orders", "o_orderkey", "o_custkey").filter("o_orderkey % 2 = 0").selectExpr(
+        "concat('order-', o_orderkey, '.pdf') AS path",
+        "explode(array(concat('mail user', o_custkey, '@example.org'), 'nobody at all', '')) AS text")
+    return batch.anonymise_files(
+        _mixed_files(spark, folder), AnonymiseConfig(rules=rule_set()),
+        records=_pdf_rows(spark, folder).unionByName(_image_rows(spark, folder)), texts=texts)
+
+
+def mixed_batch_results(spark, folder):
+    """The full record of every file of a mixed batch, maps as text."""
+    return _mixed_run(spark, folder).report.select(
+        "file", "kind", "success", "output_path", _flat("before").alias("before"), _flat("removed").alias("removed"),
+        _flat("after").alias("after"), _flat("redaction").alias("redaction"), "text_status", "encryption", "error")
+
+
 # -------------------------------------------------------------- encryption
 
 PASSWORD, SALT = "correct horse battery staple", bytes(range(C.SALT_BYTES))
@@ -266,6 +301,7 @@ QUERIES = {
     "package_removed_dates": _package_removed("dates"),
     "package_removed_legacy": _package_removed("author", legacy=True),
     "package_residual": package_residual,
+    "mixed_batch_results": mixed_batch_results,
     "encrypt_flags": encrypt_flags,
     "encrypt_roundtrip": encrypt_roundtrip,
     "decrypt_wrong_key": decrypt_wrong_key,
