@@ -1,16 +1,21 @@
-"""Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
+"""Language-model scoring with log-bilinear models trained by noise-contrastive estimation.
 
-The model predicts the class of the next token from the classes of the two before it.  The most
-frequent tokens are classes of their own; every other word belongs to a class named by its last
-two bytes and is drawn within it by its smoothed training count.  Counts of all words and of all
-class triples come from all training texts.  There are CLASSES ** 2 contexts, so one batched
-matrix product gives the normalised log-probabilities of all of them.
+A token's probability has two factors.  The first gives its class from the class of the token
+before last and the word before: the most frequent tokens are classes of their own, all others
+belong to a class named by their last two bytes.  Every word above a count has a context vector of
+its own, a rarer one that of its ending.  The second gives the word within its class from the group of
+the word before; groups are the k-means cells of the context vectors.  Words below the count
+share one slot of their class and are drawn within it by their smoothed training count.
+
+All counts come from all training texts.  Scoring takes one matrix product for a batch of contexts
+and normalises it, so scores are log-probabilities over all words and one unseen word per class.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import arrow_map, prepare, read_table, remainder, stored, text_bytes
+from inkveil.llm.common import prepare, read_table, remainder, stored, text_bytes
 
 #: The end token: no word holds a blank.
 END = b" "
@@ -26,6 +31,15 @@ SMOOTH = 0.1
 TOP, SUFFIXES = 48, 48
 CLASSES = TOP + SUFFIXES
 WIDTH, NOISE, STEPS, RATE = 24, 10, 250, 0.03
+#: Words with vectors of their own: at least this often, and the most frequent where more are.
+OWN_COUNT, OWN = 10, 20_000
+#: Endings (by the last three bytes) of a class; words without a vector share that of their ending.
+ENDINGS = 32
+#: Groups of context words that the choice within a class depends on.
+GROUPS, GROUP_ROUNDS = 64, 12
+WORD_STEPS, PRIOR = 120, 4.0
+#: Contexts that are normalised at once.
+CHUNK = 8_192
 #: Most words whose counts are sent to every task; all other words meet their counts in a join.
 COMMON = 100_000
 #: Words that a task keeps in memory before it hands on or forgets them.
@@ -61,23 +75,73 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Coder(dict):
-    """Word -> code: common words have codes of their own, others that of their suffix class.
+@dataclass
+class Words:
+    """Codes of words, and what the models need of a code; other words' codes name class and ending.
 
-    ``klass`` gives the class of a code.  Words that are not common are forgotten when there are too many.
+    ``common`` holds the words with codes of their own, ``top`` those that are a class each.
     """
 
-    def __init__(self, common: list[bytes], top: list[bytes]):
+    common: list[bytes]
+    top: list[bytes]
+    klass: np.ndarray
+    context: np.ndarray  # row of the context vectors
+    slot: np.ndarray  # slot within the class: a word's own, or that of the class's other words
+    n_own: int
+
+    @classmethod
+    def of(cls, counts: dict[bytes, int], top: list[bytes]) -> Words:
+        """``counts`` of the common words, the most frequent first."""
+        at = {w: i for i, w in enumerate(top)}
+        endings = [ending(w) for w in counts]
+        klass = [at.get(w, TOP + e // ENDINGS) for w, e in zip(counts, endings, strict=True)]
+        own, context = 0, []
+        for (w, n), e in zip(counts.items(), endings, strict=True):
+            has = w in at or (n >= OWN_COUNT and own < OWN)
+            context.append(own if has else -1 - e)
+            own += has
+        others = np.arange(SUFFIXES * ENDINGS)
+        context = np.concatenate((np.array(context, np.int64), -1 - others))
+        klass = np.concatenate((np.array(klass, np.int64), TOP + others // ENDINGS))
+        slot = np.where(context >= 0, context, own + klass - TOP)
+        return cls(list(counts), top, klass, np.where(context >= 0, context, own - 1 - context), slot, own)
+
+    @property
+    def n_contexts(self) -> int:
+        return self.n_own + SUFFIXES * ENDINGS
+
+    @property
+    def n_slots(self) -> int:
+        return self.n_own + SUFFIXES
+
+    @property
+    def is_own(self) -> np.ndarray:
+        return self.slot < self.n_own
+
+    def of_rows(self, rows: np.ndarray, n: int) -> np.ndarray:
+        """The class of each context row or slot (``rows`` are those of the codes)."""
+        out = np.empty(n, np.int64)
+        out[self.n_own:] = TOP + np.arange(n - self.n_own) * SUFFIXES // max(1, n - self.n_own)
+        out[rows[self.is_own]] = self.klass[self.is_own]
+        return out
+
+
+def ending(word: bytes) -> int:
+    """Number of a word's ending, by class: ENDINGS of each."""
+    return (suffix_class(word) - TOP) * ENDINGS + zlib.crc32(word[-3:]) % ENDINGS
+
+
+class Coder(dict):
+    """Word -> code.  Words that are not common are forgotten when there are too many."""
+
+    def __init__(self, common: list[bytes]):
         super().__init__()
         self.codes = {w: i for i, w in enumerate(common)}
-        own = {w: i for i, w in enumerate(top)}
-        self.klass = np.array([own[w] if w in own else suffix_class(w) for w in common]
-                              + list(range(TOP, CLASSES)), np.int64)
 
     def __missing__(self, word: bytes) -> int:
         code = self.codes.get(word)
         if code is None:
-            code = len(self.codes) + suffix_class(word) - TOP
+            code = len(self.codes) + ending(word)
         self[word] = code
         return code
 
@@ -87,42 +151,84 @@ class Coder(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+def before(values: np.ndarray, first: int) -> np.ndarray:
+    """The value before each one; ``first`` stands before the text."""
+    return np.concatenate(([first], values[:-1]))
+
+
 def triples(classes: np.ndarray) -> np.ndarray:
     """Index of (second last, last, this) for each token; before a text stand two ends (class 0)."""
-    last = np.concatenate(([0], classes[:-1]))
-    second = np.concatenate(([0], last[:-1]))
-    return (second * CLASSES + last) * CLASSES + classes
+    last = before(classes, 0)
+    return (before(last, 0) * CLASSES + last) * CLASSES + classes
 
 
-def class_triples(texts: DataFrame, coder: Coder) -> DataFrame:
-    """(i, n): how often each class triple occurs; at most CLASSES ** 3 rows from a task."""
-    common, top = list(coder.codes), _top_of(coder)
+def cell_counts(texts: DataFrame, words: Words, size: int, cells) -> np.ndarray:
+    """How often each of ``size`` cells occurs; ``cells(codes)`` names those of a text's tokens.
+
+    A task adds up all its texts, so it hands on ``size`` rows at most.
+    """
+    common = words.common
 
     def run(batches):
-        own = Coder(common, top)
-        total = np.zeros(CLASSES ** 3, np.int64)
+        coder = Coder(common)
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            found = [triples(own.klass[own.encode(tokens(t))]) for t in batch.column("text").to_pylist()]
+            found = [cells(coder.encode(tokens(t))) for t in batch.column("text").to_pylist()]
             if found:
                 at, n = np.unique(np.concatenate(found), return_counts=True)
                 total[at] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["i", "n"])
 
-    return texts.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
+    summed = texts.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.float32)
+    out[summed.column("i").to_numpy()] = summed.column("n").to_numpy()
+    return out
+
+
+class Adam:
+    """Gradient steps on arrays in place."""
+
+    def __init__(self, params: list[np.ndarray], rate: float, steps: int):
+        self.params, self.rate, self.steps, self.step = params, rate, steps, 0
+        self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+
+    def climb(self, grads: list[np.ndarray]) -> None:
+        self.step += 1
+        rate = self.rate * min(1.0, 2 * (1 - self.step / (self.steps + 1)))
+        for p, g, (m, v) in zip(self.params, grads, self.moments, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p += rate * (m / (1 - 0.9 ** self.step)) / (np.sqrt(v / (1 - 0.999 ** self.step)) + 1e-12)
+
+
+@dataclass
+class ClassModel:
+    """Scores of a class: (embed[last] @ near + embed[second last] @ far) @ out.T + bias."""
+
+    embed: np.ndarray
+    out: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+    bias: np.ndarray
+
+    def table(self) -> np.ndarray:
+        """Class log10-probabilities (contexts, classes)."""
+        both = np.arange(CLASSES ** 2)
+        return normalised((self.embed[both % CLASSES] @ self.near + self.embed[both // CLASSES] @ self.far) @ self.out.T + self.bias)
 
 
-def _top_of(coder: Coder) -> list[bytes]:
-    found = sorted((k, w) for w, k in zip(coder.codes, coder.klass.tolist(), strict=False) if k < TOP)
-    return [w for _, w in found]
+def normalised(scores: np.ndarray) -> np.ndarray:
+    """log10 of the softmax of each row."""
+    scores = scores - scores.max(axis=1, keepdims=True)
+    return (scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))) / np.log(10)
 
 
-def train(counts: np.ndarray, seed: int = 11) -> np.ndarray:
-    """Class log10-probabilities (contexts, classes) of a log-bilinear model.
+def train(counts: np.ndarray, seed: int = 11) -> ClassModel:
+    """A log-bilinear model of ``counts`` (contexts, classes): how often a class follows two classes.
 
-    ``counts`` (contexts, classes) are how often a class follows a context.  Noise-contrastive
-    estimation tells them from NOISE draws of the class frequencies; both expectations are taken
-    over all counts in each step, and Adam follows their gradient.
+    Noise-contrastive estimation tells the counts from NOISE draws of the class frequencies; both
+    expectations are taken over all counts in each step, and Adam follows their gradient.
     """
     rng = np.random.default_rng(seed)
     k = CLASSES
@@ -136,42 +242,145 @@ def train(counts: np.ndarray, seed: int = 11) -> np.ndarray:
     data = counts[seen] / max(1, counts.sum())
     drawn = NOISE * data.sum(axis=1, keepdims=True) * noise
     offset = np.log(NOISE * noise)
-    params = [embed, out, near, far, bias]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    for step in range(1, STEPS + 1 if len(seen) else 1):
-        before, before2 = embed[last], embed[second]
-        context = before @ near + before2 @ far
-        sure = 1 / (1 + np.exp(-(context @ out.T + bias - offset)))
-        slope = data * (1 - sure) - drawn * sure
+    adam = Adam([embed, out, near, far, bias], RATE, STEPS)
+    for _ in range(STEPS if len(seen) else 0):
+        one, two = embed[last], embed[second]
+        context = one @ near + two @ far
+        slope = contrast(context @ out.T + bias - offset, data, drawn)
         back = slope @ out
         grad_embed = np.zeros_like(embed)
         np.add.at(grad_embed, last, back @ near.T)
         np.add.at(grad_embed, second, back @ far.T)
-        grads = [grad_embed, slope.T @ context, before.T @ back, before2.T @ back, slope.sum(axis=0)]
-        rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
-        for p, g, (m, v) in zip(params, grads, moments, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p += rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-12)
-    both = np.arange(k * k)
-    scores = (embed[both % k] @ near + embed[both // k] @ far) @ out.T + bias
-    top = scores.max(axis=1, keepdims=True)
-    return (scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))) / np.log(10)
+        adam.climb([grad_embed, slope.T @ context, one.T @ back, two.T @ back, slope.sum(axis=0)])
+    return ClassModel(embed, out, near, far, bias)
+
+
+def contrast(odds: np.ndarray, data: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """Gradient of the noise-contrastive objective by the scores."""
+    sure = 1 / (1 + np.exp(-odds))
+    return data * (1 - sure) - drawn * sure
+
+
+def train_contexts(model: ClassModel, counts: np.ndarray, follows: np.ndarray, klass: np.ndarray) -> np.ndarray:
+    """Context vectors (rows, width) of words and endings, trained like ``train`` on ``counts`` (rows, classes).
+
+    A row begins at its class's vector and leaves it as far as its counts outweigh the prior.  The
+    token before last enters as its mean after the row's class; ``follows`` are the class pairs.
+    """
+    far = (follows / np.maximum(1, follows.sum(axis=0))).T @ (model.embed @ model.far)
+    start = (model.embed @ model.near)[klass]
+    out, fixed = model.out.astype(np.float32), (far[klass] @ model.out.T + model.bias).astype(np.float32)
+    noise = counts.sum(axis=0) + 0.5
+    noise = noise / noise.sum()
+    total = max(1.0, float(counts.sum()))
+    data = counts / np.float32(total)
+    drawn = NOISE * data.sum(axis=1, keepdims=True) * noise
+    fixed -= np.log(NOISE * noise).astype(np.float32)
+    start = start.astype(np.float32)
+    rows = start.copy()
+    adam = Adam([rows], RATE, WORD_STEPS)
+    for _ in range(WORD_STEPS):
+        slope = contrast(rows @ out.T + fixed, data, drawn)
+        adam.climb([slope @ out - (PRIOR / total) * (rows - start)])
+    return rows
+
+
+def groups_of(rows: np.ndarray, weight: np.ndarray, seed: int = 12) -> np.ndarray:
+    """Number of each row's k-means cell; rows count as often as they occur, but by the root."""
+    rng, weight = np.random.default_rng(seed), np.sqrt(weight) + 1e-3
+    centers = rows[rng.choice(len(rows), min(GROUPS, len(rows)), replace=False, p=weight / weight.sum())].astype(np.float64)
+    near = np.zeros(len(rows), np.int64)
+    for _ in range(GROUP_ROUNDS):
+        near = ((centers ** 2).sum(axis=1) - 2 * rows @ centers.T).argmin(axis=1)
+        n = np.bincount(near, weight, len(centers))
+        for d in range(rows.shape[1]):
+            centers[:, d] = np.where(n > 0, np.bincount(near, weight * rows[:, d], len(centers)) / np.maximum(n, 1e-9), centers[:, d])
+    return near
+
+
+def train_members(counts: np.ndarray, klass: np.ndarray, seed: int = 13) -> np.ndarray:
+    """log10-probabilities (slots, groups) of a slot within its class after a word of a group.
+
+    A log-bilinear model per class with common group vectors, trained on ``counts`` (slots, groups)
+    against draws of the class's slots by frequency.  Classes of one token have no choice: 0.
+    """
+    rng = np.random.default_rng(seed)
+    member = klass >= TOP
+    at = np.flatnonzero(member)
+    k, counts = klass[at] - TOP, counts[at]
+    freq = counts.sum(axis=1) + 0.5
+    noise = (freq / np.bincount(k, freq, SUFFIXES)[k]).astype(np.float32)[:, None]
+    total = max(1.0, float(counts.sum()))
+    data = counts / np.float32(total)
+    by_class = np.zeros((SUFFIXES, counts.shape[1]), np.float32)
+    np.add.at(by_class, k, data)
+    drawn = NOISE * by_class[k] * noise
+    vectors = np.zeros((len(at), WIDTH), np.float32)
+    groups = rng.normal(0, 0.5, (counts.shape[1], WIDTH)).astype(np.float32)
+    bias = np.log(noise)
+    offset = np.log(NOISE * noise)
+    adam = Adam([vectors, groups, bias], RATE, WORD_STEPS)
+    for _ in range(WORD_STEPS):
+        slope = contrast(vectors @ groups.T + bias - offset, data, drawn)
+        adam.climb([slope @ groups - (PRIOR / total) * vectors, slope.T @ vectors, slope.sum(axis=1, keepdims=True)])
+    scores = vectors @ groups.T + bias
+    most = np.full((SUFFIXES, scores.shape[1]), -np.inf, np.float32)
+    np.maximum.at(most, k, scores)
+    scores -= most[k]
+    mass = np.zeros(most.shape)
+    np.add.at(mass, k, np.exp(scores, dtype=np.float64))
+    table = np.zeros((len(klass), scores.shape[1]), np.float32)
+    table[at] = (scores - np.log(mass)[k]) / np.log(10)
+    return table
 
 
 @dataclass
 class Model:
     counts: DataFrame  # (word, n) of the training tokens, a stored table
-    common: dict[bytes, int]
-    top: list[bytes]
     train_tokens: int
     distinct: int
-    class_norm: np.ndarray  # log10 of a class's smoothed count; 0 where a class is one token
-    table: np.ndarray  # (contexts, classes) log10-probabilities
+    scorer: Scorer
+
+
+@dataclass
+class Scorer:
+    """What a task needs to score tokens; its size does not grow with the corpus."""
+
+    words: Words
+    n: np.ndarray  # training count of the common words
+    others: np.ndarray  # log10 of the smoothed count of a class's words without a slot
+    near: np.ndarray  # (contexts, width)
+    far: np.ndarray  # (classes, width)
+    out: np.ndarray
+    bias: np.ndarray
+    group: np.ndarray  # of each context
+    member: np.ndarray  # (slots, groups)
+
+    def logs(self, codes: np.ndarray) -> Iterator[np.ndarray]:
+        """log10-probabilities of a text's tokens, in chunks.
+
+        For words that are not common the log of their smoothed count is still to be added.
+        """
+        w, n_common = self.words, len(self.words.common)
+        klass = w.klass[codes]
+        last, second = before(codes, 0), before(before(klass, 0), 0)
+        for i in range(0, len(codes), CHUNK):
+            cut = slice(i, i + CHUNK)
+            code, context = codes[cut], w.context[last[cut]]
+            scores = (self.near[context] + self.far[second[cut]]) @ self.out.T
+            scores += self.bias
+            scores -= scores.max(axis=1, keepdims=True)
+            own = scores[np.arange(len(code)), klass[cut]]
+            by_class = (own - np.log(np.exp(scores, out=scores).sum(axis=1))) / np.log(10)
+            slot = w.slot[code]
+            rare = slot >= w.n_own
+            counted = np.where(code < n_common, np.log10(self.n[np.minimum(code, n_common - 1)] + SMOOTH), 0.0)
+            yield (by_class + self.member[slot, self.group[context]]
+                   + np.where(rare, counted - self.others[np.maximum(klass[cut] - TOP, 0)], 0.0))
 
 
 def learn(texts: DataFrame) -> Model:
-    """Counts over all of ``texts`` (text as bytes), then the class model."""
+    """Counts over all of ``texts`` (text as bytes), then the models on them."""
     counts = stored(word_counts(texts), "word-counts")
     size = F.floor(F.log2("n") * 8).cast("int")
     n_tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -182,45 +391,70 @@ def learn(texts: DataFrame) -> Model:
             break
         least, room = s, room - n
     rows = counts.where((size >= least) | (F.col("word") == F.lit(bytearray(END)))).collect()
-    common = dict(sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0])))
-    top = [END, *[w for w in common if w != END][:TOP - 1]]
-    common.setdefault(END, 0)
-    coder = Coder(list(common), top)
-    single = F.col("word").isin([bytearray(w) for w in top])
+    common = {bytes(r["word"]): r["n"] for r in rows} | {END: max((r["n"] for r in rows if bytes(r["word"]) == END), default=0)}
+    common = dict(sorted(common.items(), key=lambda x: (x[0] != END, -x[1], x[0])))  # the end has code 0
+    top = list(common)[:TOP]
+    words = Words.of(common, top)
+    others = np.full(SUFFIXES, np.log10(SMOOTH))
+    for k, n, v in _other_words(counts, words, common):
+        others[k] = np.log10(n + SMOOTH * (v + 1))
+    klass, context, slot = words.klass, words.context, words.slot
+    n_triples = CLASSES ** 3
+
+    def after_words(codes: np.ndarray) -> np.ndarray:
+        k = klass[codes]
+        return np.concatenate((triples(k), n_triples + context[before(codes, 0)] * CLASSES + k))
+
+    found = cell_counts(texts, words, n_triples + words.n_contexts * CLASSES, after_words)
+    by_class = found[:n_triples].reshape(-1, CLASSES)
+    pairs = found[n_triples:].reshape(-1, CLASSES)
+    model = train(by_class.astype(np.float64))
+    follows = by_class.reshape(CLASSES, CLASSES, CLASSES).sum(axis=2)
+    near = train_contexts(model, pairs, follows, words.of_rows(context, words.n_contexts))
+    group = groups_of(near, pairs.sum(axis=1))
+    of_code = group[context]
+    within = cell_counts(texts, words, words.n_slots * GROUPS, lambda codes: slot[codes] * GROUPS + of_code[before(codes, 0)])
+    member = train_members(within.reshape(-1, GROUPS), words.of_rows(slot, words.n_slots))
+    f32 = np.float32
+    scorer = Scorer(words, np.fromiter(common.values(), float), others, near, (model.embed @ model.far).astype(f32),
+                    model.out.astype(f32), model.bias.astype(f32), group, member)
+    return Model(counts, int(n_tokens), int(distinct), scorer)
+
+
+def _other_words(counts: DataFrame, words: Words, common: dict[bytes, int]) -> list[tuple[int, int, int]]:
+    """(class, tokens, words) of the words without a slot of their own: all words less those with one."""
     klass = F.crc32(F.expr("substring(word, -2, 2)")) % SUFFIXES
-    norm = np.zeros(CLASSES)
-    norm[TOP:] = np.log10(SMOOTH)
-    for r in counts.where(~single).groupBy(klass.alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        norm[TOP + r["k"]] = np.log10(r["n"] + SMOOTH * (r["v"] + 1))
-    found = class_triples(texts, coder).toArrow()
-    dense = np.zeros(CLASSES ** 3)
-    dense[found.column("i").to_numpy()] = found.column("n").to_numpy()
-    return Model(counts, common, top, int(n_tokens), int(distinct), norm, train(dense.reshape(CLASSES ** 2, CLASSES)))
+    found = {r["k"]: [r["n"], r["v"]] for r in
+             counts.groupBy(klass.alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    for (word, n), own in zip(common.items(), words.is_own.tolist(), strict=False):
+        if own and n:
+            group = found[suffix_class(word) - TOP]
+            group[0] -= n
+            group[1] -= 1
+    return [(k, n, v) for k, (n, v) in found.items()]
 
 
 def log_scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
 
-    One pass sums what the classes and the common words give; the other words of a text, once
+    One pass sums what the models and the common words give; the other words of a text, once
     each with their number, meet their counts in a join on the word and return as sums by row.
     Null and empty texts are one end token; repeated rows are scored each on its own.
     """
-    common, top, norm, table = model.common, model.top, model.class_norm, model.table.astype(np.float32)
-    n_common = len(common)
+    scorer = model.scorer
+    n_common = len(scorer.words.common)
 
     def run(batches):
-        coder = Coder(list(common), top)
-        log_count = np.concatenate((np.log10(np.fromiter(common.values(), float) + SMOOTH), np.zeros(SUFFIXES)))
-        rest = np.where(coder.klass >= TOP, log_count, 0.0)
-        known = np.concatenate((np.fromiter((n > 0 for n in common.values()), float), np.zeros(SUFFIXES)))
-        flat = table.ravel()
+        coder = Coder(scorer.words.common)
+        blank = np.zeros(SUFFIXES * ENDINGS)
+        log_count = np.concatenate((np.log10(scorer.n + SMOOTH), blank))
+        known = np.concatenate((scorer.n > 0, blank))
         for batch in batches:
             rows, ids, words, kinds, values = [], [], [], [], []
             for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
                 ws = tokens(text)
                 codes = coder.encode(ws)
-                klass = coder.klass[codes]
-                lm = float(flat[triples(klass)].sum(dtype=np.float64) - norm[klass].sum() + rest[codes].sum())
+                lm = sum(float(part.sum(dtype=np.float64)) for part in scorer.logs(codes))
                 rare = Counter([ws[i] for i in np.flatnonzero(codes >= n_common).tolist()])
                 own = (float(len(ws)), float(known[codes].sum()), float(log_count[codes].sum()), lm)
                 n = len(rare) + len(own)

@@ -287,11 +287,62 @@ def test_class_model_is_normalised_and_learns_contexts():
     counts = np.ones((lbl_lm.CLASSES ** 2, lbl_lm.CLASSES)) * 0.01
     after = np.arange(lbl_lm.CLASSES ** 2) % lbl_lm.CLASSES
     counts[np.arange(len(after)), (after + 1) % lbl_lm.CLASSES] += 5
-    table_ = lbl_lm.train(counts)
+    table_ = lbl_lm.train(counts).table()
     assert np.allclose((10 ** table_).sum(axis=1), 1)
     assert (table_.argmax(axis=1) == (after + 1) % lbl_lm.CLASSES).mean() > 0.9
 
 
+def training_texts(spark, folder=FOLDER):
+    from pyspark.sql import functions as F
+
+    docs_ = read_table(spark, folder, "documents")
+    return docs_, lbl_lm.text_bytes(docs_.where(lbl_lm.remainder(F.col("doc_id"), 10) != 0))
+
+
+def test_scores_are_probabilities_over_all_words(spark, monkeypatch):
+    """After any two words the probabilities of all words and the unseen word of each class add up to 1."""
+    monkeypatch.setattr(lbl_lm, "OWN", 300)
+    model = lbl_lm.learn(training_texts(spark)[1])
+    counts = {bytes(r["word"]): r["n"] for r in model.counts.collect()}
+    scorer, coder = model.scorer, lbl_lm.Coder(model.scorer.words.common)
+    for first in (b"the", min(counts), b"neverseen"):
+        total, unseen = 0.0, np.zeros(lbl_lm.SUFFIXES)
+        for word, n in counts.items():
+            codes = coder.encode([first, word])
+            log = np.concatenate(list(scorer.logs(codes)))[1]
+            common = codes[1] < len(scorer.words.common)
+            total += 10 ** (log + (0 if common else np.log10(n + lbl_lm.SMOOTH)))
+        for k in range(lbl_lm.SUFFIXES):  # any code of a word that is not common, of each class
+            codes = np.array([coder.encode([first])[0], len(scorer.words.common) + k * lbl_lm.ENDINGS])
+            unseen[k] = 10 ** (np.concatenate(list(scorer.logs(codes)))[1] + np.log10(lbl_lm.SMOOTH))
+        assert math.isclose(total + unseen.sum(), 1, rel_tol=1e-3), first
+
+
+def test_vectors_of_words_beat_classes_alone(spark, monkeypatch):
+    """Held-out gain over the counts alone, per token, with and without vectors beyond the frequent words."""
+    from pyspark.sql import functions as F
+
+    docs_, texts = training_texts(spark, "/root/testdata/sf0.1")
+    held = docs_.where(lbl_lm.remainder(F.col("doc_id"), 10) == 0)
+
+    def gain():
+        r = lbl_lm.log_scores(held, lbl_lm.learn(texts)).agg(
+            (F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).alias("gain")).first()
+        return r["gain"]
+
+    assert gain() > 0.42
+    monkeypatch.setattr(lbl_lm, "OWN", 0)
+    assert gain() < 0.35
+
+
+def test_chunks_do_not_change_scores(spark, monkeypatch):
+    model = lbl_lm.learn(training_texts(spark)[1])
+    codes = np.random.default_rng(3).integers(0, len(model.scorer.words.common), 1_000)
+    whole = np.concatenate(list(model.scorer.logs(codes)))
+    monkeypatch.setattr(lbl_lm, "CHUNK", 7)
+    assert np.allclose(np.concatenate(list(model.scorer.logs(codes))), whole, atol=1e-4)
+
+
 def test_scores_of_odd_rows(docs, monkeypatch):
     from pyspark.sql import functions as F
 
