@@ -1,7 +1,7 @@
 """Policy-driven strip of key/value metadata, reports and audits.
 
 The policy is a small table.  It is broadcast only after its size is known; a larger one
-is joined by shuffle, with the metadata side salted, because one key may hold a large
+is joined by shuffle, with the rows of hot keys salted, because one key may hold a large
 share of all rows.
 """
 
@@ -17,7 +17,9 @@ from inkveil.plans.policies import ANY, DEFAULT_POLICY, PolicyRow, active
 from inkveil.session import BROADCAST_MAX_ROWS, small_side
 
 META_KEY = ("path", "kind", "surface", "key", "ordinal")
-SALTS = 32
+#: A key is hot if it holds more than one in HOT of all rows, so there are fewer hot keys than HOT;
+#: its rows are dealt to a number of tasks in proportion.
+HOT, SALTS = 64, 128
 
 
 def policy_frame(
@@ -34,12 +36,26 @@ def policy_frame(
 def _join(meta: DataFrame, policy: DataFrame, on: list[str], small: bool) -> DataFrame:
     if small:
         return meta.join(F.broadcast(policy), on, "left")
-    spread_out = policy.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = meta.withColumn(
-        "_salt", F.pmod(F.xxhash64("path", "ordinal"), F.lit(SALTS)).cast("int"))
+    hot = F.broadcast(hot_keys(meta, on))
+    salts = F.coalesce("_salts", F.lit(1))
+    spread_out = (policy.join(hot, on, "left")
+                  .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts"))
+    salted = (meta.join(hot, on, "left")
+              .withColumn("_salt", F.pmod(F.xxhash64("path", "ordinal", "value"), salts).cast("int")).drop("_salts"))
     return salted.join(spread_out, [*on, "_salt"], "left").drop("_salt")
 
 
+def hot_keys(meta: DataFrame, on: list[str]) -> DataFrame:
+    """(*on, _salts): keys with more than one in HOT of all rows and the tasks that share their rows.
+
+    Rows are counted by key inside each task first; the few keys are found when the join runs.
+    """
+    counts = meta.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = meta.agg(F.count(F.lit(1)).alias("_total")).scalar()
+    return (counts.withColumn("_total", total).filter(F.col("_n") * HOT > F.col("_total"))
+            .select(*on, F.ceil(F.col("_n") * SALTS / F.col("_total")).cast("int").alias("_salts")))
+
+
 def with_action(
     meta: DataFrame, policy: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
 ) -> DataFrame:
@@ -101,21 +117,36 @@ def bag_difference(before: DataFrame, after: DataFrame) -> DataFrame:
             .filter("times > 0").withColumnRenamed("value", "old_value"))
 
 
-def diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per key: kept, changed, cleared or added.  The key is unique per row."""
-    keys = list(META_KEY)
-    b = before.select(*keys, F.col("value").alias("old_value"), F.lit(True).alias("_b"))
-    a = after.select(*keys, F.col("value").alias("new_value"), F.lit(True).alias("_a"))
+def _diff_status(is_new: Column) -> Column:
     old_blank = F.coalesce(F.col("old_value") == "", F.lit(True))
     new_blank = F.coalesce(F.col("new_value") == "", F.lit(True))
-    status = (
-        F.when(F.col("_b").isNull(), "added")
-        .when(F.col("_a").isNotNull() & F.col("old_value").eqNullSafe(F.col("new_value")), "kept")
+    return (
+        F.when(is_new, "added")
+        .when(F.col("old_value").eqNullSafe(F.col("new_value")), "kept")
         .when(new_blank & ~old_blank, "cleared")
         .when(old_blank & new_blank, "kept")
         .otherwise("changed")
     )
-    return b.join(a, keys, "full_outer").select(*keys, "old_value", "new_value", status.alias("status"))
+
+
+def diff_planned(planned: DataFrame) -> DataFrame:
+    """The diff of a planned strip: each row holds both values, so nothing is shuffled or joined."""
+    dropped = F.coalesce(F.col("action") == "drop", F.lit(False))
+    rows = planned.withColumn("new_value", F.when(~dropped, F.col("value")))
+    return rows.select(*META_KEY, "old_value", "new_value", _diff_status(F.lit(False)).alias("status"))
+
+
+def diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per key of two tables: kept, changed, cleared or added.  The key is unique in either table.
+
+    Both tables meet in one aggregation by key, without a join; null keys are a key like others.
+    """
+    keys, value = list(META_KEY), F.struct("value")
+    both = (before.select(*keys, value.alias("_old"), F.lit(None).cast("struct<value:string>").alias("_new"))
+            .unionByName(after.select(*keys, F.lit(None).cast("struct<value:string>").alias("_old"), value.alias("_new"))))
+    met = both.groupBy(*keys).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    rows = met.withColumn("old_value", F.col("_old.value")).withColumn("new_value", F.col("_new.value"))
+    return rows.select(*keys, "old_value", "new_value", _diff_status(F.col("_old").isNull()).alias("status"))
 
 
 def residual_metadata(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pathlib
 import tempfile
+import uuid
 import zipfile
 
 from pyspark import StorageLevel
@@ -54,6 +55,12 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return folder
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one run's files, in the shared folder that the session names; local only where none is (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="files-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` worked out once for several readers, its plan cut off.
 

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 
 def write_cleaned(
     df: DataFrame, folder: str, partition_by: list[str] | None = None,
-    mode: str = "errorifexists",
+    mode: str = "errorifexists", kind: str = "parquet",
 ) -> None:
-    """Cleaned table as parquet, written by the executors; never overwrites by default.
+    """Cleaned table as files of ``kind``, written by the executors; never overwrites by default.
 
     Tasks write their own files per partition value, so a large value is many files,
     not one hot task.
@@ -17,4 +17,4 @@ def write_cleaned(
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(folder)
+    writer.format(kind).save(folder)

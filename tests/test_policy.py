@@ -131,3 +131,38 @@ def test_records_to_rows(spark):
 
 def test_distinct_values(meta):
     assert reports.distinct_values(meta, ["surface"]).filter("surface = 'info'").count() == 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_planned_diff_is_the_diff_of_both_tables(spark, meta):
+    policy = PO.policy_frame(spark)
+    rows = lambda df: sorted(map(str, df.collect()))
+    planned = PO.diff_planned(PO.plan_strip(meta, policy))
+    apart = PO.diff(meta, PO.strip(meta, policy))
+    assert rows(planned) == rows(apart)
+    assert "Join" not in plan_of(PO.diff(meta, meta))
+    assert "Aggregate" not in plan_of(planned)
+
+
+def test_diff_of_empty_tables_and_null_keys(spark, meta):
+    none = meta.limit(0)
+    assert PO.diff(none, none).count() == 0
+    assert {r.status for r in PO.diff(none, meta.filter("value <> ''")).collect()} == {"added"}
+    odd = spark.createDataFrame([(None, "k", "s", None, 0, "1", "string")], COLUMNS)
+    assert [r.status for r in PO.diff(odd, odd).collect()] == ["kept"]
+
+
+def test_only_hot_keys_are_salted(spark):
+    rows = [(f"p{i}", "k", "s", "hot" if i % 2 else f"cold{i}", 0, str(i), "string") for i in range(400)]
+    rows.append(("p", "k", "s", None, 0, None, "string"))
+    frame = spark.createDataFrame(rows, COLUMNS)
+    keys = ["kind", "surface", "key"]
+    assert [(r.key, r._salts) for r in PO.hot_keys(frame, keys).collect()] == [("hot", 64)]
+    policy = PO.policy_frame(spark, [
+        PolicyRow("k", "s", "hot", ("author",), "blank"), PolicyRow("k", "s", "cold2", ("author",), "drop")])
+    small, large = (sorted(map(str, PO.strip(frame, policy, max_rows=n).collect())) for n in (1_000, 0))
+    assert small == large and len(large) == 400
+    assert PO.strip(frame.limit(0), policy, max_rows=0).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from inkveil.constants import DEFAULT_RULES, RULE_ORDER
 from workload.metadata_oracles import LINES, TURN_PATH
-from workload.text_oracles import kept_sql, redacted_sql
+from workload.text_oracles import ORACLES as TEXT_ORACLES, kept_sql, redacted_sql
 
 STEM = "p_brand || '-' || p_partkey"
 EXT = "(['.pdf', '.DOCX', '.xlsx', '.jpeg', '.bin', '', '.txt', '.Png'])[1 + p_partkey % 8]"
@@ -105,6 +105,11 @@ MIXED = " UNION ALL ".join((
 ))
 
 ORACLES: dict[str, str] = {
+    "binary_inventory": (
+        "SELECT coalesce(nullif(role, ''), '__HIVE_DEFAULT_PARTITION__') AS role, 'txt' AS ext, false AS supported, "
+        "CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS n_bytes, "
+        "CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS n_read FROM conversations GROUP BY 1"),
+    "stream_redact": TEXT_ORACLES["redact_conversations"],
     "mixed_batch_results": MIXED,
     "detect_type": f"SELECT p_partkey, {KIND.format(other=HEAD_KIND)} AS kind FROM part",
     "output_names": (

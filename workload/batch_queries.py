@@ -11,21 +11,40 @@ from inkveil.config import ALL_RULES, AnonymiseConfig, RuleSet, rule_set
 from inkveil.functions import crypto, display
 from inkveil.operators import encryption, metadata, policy, reports
 from inkveil.plans import batch
-from inkveil.session import spread
-from inkveil.sources import files, packages
+from inkveil.session import run_folder, spread
+from inkveil.sources import files, packages, sinks
 from inkveil.sources.tables import read_table
+from inkveil.streaming import streams
 from workload import planted_parts as PP
+from workload.text_queries import CUSTOM_KEYWORDS
 
 # ------------------------------------------------------------------- files
 
 
 def binary_inventory(spark, folder):
-    """The table files themselves as binary files; their content is not read."""
-    found = files.binary_files(spark, folder, supported_only=False)
-    return found.select(
-        display.base_name(F.col("path")).alias("file"),
-        files.file_extension(F.col("path")).alias("ext"),
-        files.is_supported(F.col("path")).alias("supported"), "length")
+    """Turns written as one folder of text files per role, found again as binary files and read whole."""
+    turns = read_table(spark, folder, "conversations", "role", "text")
+    out = run_folder(spark, "binary")
+    sinks.write_cleaned(turns.withColumn("text", F.coalesce("text", F.lit(""))), out, ["role"], kind="text")
+    found = files.binary_files(spark, out, supported_only=False).filter(F.col("path").endswith(".txt"))
+    return found.groupBy(
+        F.regexp_extract("path", "role=([^/]*)/", 1).alias("role"), files.file_extension(F.col("path")).alias("ext"),
+        files.is_supported(F.col("path")).alias("supported"),
+    ).agg(F.sum("length").alias("n_bytes"), F.sum(F.length("content")).cast("bigint").alias("n_read"))
+
+
+def stream_redact(spark, folder):
+    """Turns redacted as they arrive: half of them, a stop, the other half, and the same checkpoint again."""
+    turns = read_table(spark, folder, "conversations", "conv_id", "turn", "text")
+    out = run_folder(spark, "stream")
+    rules = rule_set(C.RULE_ORDER, keywords=CUSTOM_KEYWORDS)
+    second = F.coalesce(F.col("conv_id") % 2 != 0, F.lit(False))
+    for arrived in (~second, second):
+        turns.filter(arrived).write.mode("append").parquet(f"{out}/in")
+        stream = streams.redact_stream(streams.read_stream(spark, f"{out}/in", turns.schema), "text", rules)
+        streams.write_available(stream, f"{out}/out", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/out").select(
+        "conv_id", "turn", "redacted", reports.total_redactions(F.col("counts")).alias("n"))
 
 
 FILE_NAME = (
@@ -289,6 +308,7 @@ def batch_status(spark, folder):
 
 QUERIES = {
     "binary_inventory": binary_inventory,
+    "stream_redact": stream_redact,
     "detect_type": detect_type,
     "output_names": output_names,
     "bundle_manifest": bundle_manifest,

@@ -218,6 +218,9 @@ ORACLES: dict[str, str] = {
         f"ELSE value END AS value FROM ({PDF})"),
     "policy_strip": _after(*ALL),
     "policy_strip_salted": _after(*ALL),
+    "policy_strip_skewed": (
+        f"{_after(*ALL)} UNION ALL SELECT concat_ws('/', 'lineitem', l_orderkey, l_linenumber), 'lineitem', "
+        f"'l_returnflag', CASE WHEN l_returnflag IS NOT NULL THEN '' END FROM lineitem"),
     "policy_strip_author_only": _after("author"),
     "policy_strip_dates_only": _after("dates"),
     "package_strip": (
@@ -237,6 +240,10 @@ ORACLES: dict[str, str] = {
         f"SELECT path, surface, key, old_value, CASE WHEN act2 <> 'drop' THEN value END AS new_value, "
         f"CASE WHEN act2 = '' THEN 'kept' ELSE 'cleared' END AS status "
         f"FROM ({stripped('author', 'geo')})"),
+    "before_after_diff_tables": (
+        f"SELECT path, surface, key, CASE WHEN act2 <> 'drop' THEN value END AS old_value, old_value AS new_value, "
+        f"CASE WHEN act2 = 'drop' THEN 'added' WHEN act2 = '' OR coalesce(old_value, '') = '' THEN 'kept' "
+        f"ELSE 'changed' END AS status FROM ({stripped('author', 'geo')})"),
     "residual_metadata": (
         f"SELECT path, surface, key, value FROM ({META}) WHERE act <> '' AND act <> 'author:blank' "
         f"AND value <> ''"),

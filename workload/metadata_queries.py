@@ -214,9 +214,25 @@ def removed_report(spark, folder):
 
 
 def before_after_diff(spark, folder):
-    before = TABLE_META(spark, folder)
-    after = PO.strip(before, _policy(spark, "author", "geo"))
-    return PO.diff(before, after).select("path", "surface", "key", "old_value", "new_value", "status")
+    planned = PO.plan_strip(TABLE_META(spark, folder), _policy(spark, "author", "geo"))
+    return PO.diff_planned(planned).select("path", "surface", "key", "old_value", "new_value", "status")
+
+
+def before_after_diff_tables(spark, folder):
+    """Two tables that know nothing of each other: the stripped one first, so that dropped rows come back as added."""
+    whole = TABLE_META(spark, folder)
+    stripped = PO.strip(whole, _policy(spark, "author", "geo"))
+    return PO.diff(stripped, whole).select("path", "surface", "key", "old_value", "new_value", "status")
+
+
+def policy_strip_skewed(spark, folder):
+    """One key holds over a third of all rows; joined by shuffle with salts for hot keys only."""
+    lines = read_table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
+    path = F.concat_ws("/", F.lit("lineitem"), F.col("l_orderkey"), F.col("l_linenumber"))
+    meta = TABLE_META(spark, folder).unionByName(
+        metadata.records_to_meta(lines, path, "table", "lineitem", ["l_returnflag"]))
+    rows = (*TABLE_POLICY, PolicyRow("table", "lineitem", "l_returnflag", ("software",), "blank"))
+    return PO.strip(meta, PO.policy_frame(spark, rows), max_rows=0).select("path", "surface", "key", "value")
 
 
 def residual_metadata(spark, folder):
@@ -369,6 +385,8 @@ QUERIES = {
     "package_strip_legacy": package_strip_legacy,
     "removed_report": removed_report,
     "before_after_diff": before_after_diff,
+    "before_after_diff_tables": before_after_diff_tables,
+    "policy_strip_skewed": policy_strip_skewed,
     "residual_metadata": residual_metadata,
     "uncovered_keys": uncovered_keys,
     "body_parts": body_parts,
