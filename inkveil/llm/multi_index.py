@@ -8,12 +8,15 @@ found in one cell are then compared in double precision.
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from inkveil.llm.common import prepare, read_table, stored
 from inkveil.llm.graph import components
@@ -51,6 +54,25 @@ def codebook(x: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
     return centers
 
 
+def multi_sequence(p: list[float], q: list[float], n: int) -> list[tuple[int, int]]:
+    """The ``n`` pairs (i, j) of least p[i] + q[j] in their order; ``p`` and ``q`` ascend.
+
+    A heap holds the border of the pairs visited: a pair enters it once the one before it in its
+    row and the one before it in its column are visited.
+    """
+    seen, heap = [], [(p[0] + q[0], 0, 0)]
+    reached = [0] * (len(p) + 1)  # columns visited in each row
+    while len(seen) < n:
+        _, i, j = heapq.heappop(heap)
+        seen.append((i, j))
+        reached[i] = j + 1
+        if i + 1 < len(p) and reached[i + 1] == j:
+            heapq.heappush(heap, (p[i + 1] + q[j], i + 1, j))
+        if j + 1 < len(q) and (i == 0 or reached[i - 1] > j + 1):
+            heapq.heappush(heap, (p[i] + q[j + 1], i, j + 1))
+    return seen
+
+
 @dataclass
 class Grid:
     first: np.ndarray
@@ -66,20 +88,13 @@ class Grid:
         return p.argmin(axis=1) * len(self.second) + q.argmin(axis=1)
 
     def traverse(self, x: np.ndarray) -> np.ndarray:
-        """For each row the cells in order of the sum of the two distances, ``visits`` of them.
-
-        Among the first n cells are only codewords i-th and j-th nearest with i * j <= n, so a
-        row's grid is cut to the nearest ``visits`` of either half before it is sorted.
-        """
+        """For each row the cells in order of the sum of the two distances, ``visits`` of them."""
         p, q = self.halves(x)
-        a, b = min(self.visits, p.shape[1]), min(self.visits, q.shape[1])
-        i, j = np.argsort(p, axis=1, kind="stable")[:, :a], np.argsort(q, axis=1, kind="stable")[:, :b]
-        total = np.take_along_axis(p, i, 1)[:, :, None] + np.take_along_axis(q, j, 1)[:, None, :]
-        cells = i[:, :, None] * len(self.second) + j[:, None, :]
-        flat = total.reshape(len(x), -1)
-        n = min(self.visits, flat.shape[1])
-        first = np.argsort(flat, axis=1, kind="stable")[:, :n]
-        return np.take_along_axis(cells.reshape(len(x), -1), first, 1)
+        i, j = np.argsort(p, axis=1, kind="stable"), np.argsort(q, axis=1, kind="stable")
+        p, q = np.take_along_axis(p, i, 1).tolist(), np.take_along_axis(q, j, 1).tolist()
+        n = min(self.visits, i.shape[1] * j.shape[1])
+        seen = np.array([multi_sequence(a, b, n) for a, b in zip(p, q, strict=True)], np.int64).reshape(len(x), n, 2)
+        return np.take_along_axis(i, seen[:, :, 0], 1) * len(self.second) + np.take_along_axis(j, seen[:, :, 1], 1)
 
 
 def fit(sample: np.ndarray, n: int, seed: int = 5) -> Grid:
@@ -140,9 +155,21 @@ def vector_links(vectors: DataFrame, least: float = LEAST) -> DataFrame:
                     [pa.array(cell, pa.int64()), pa.array(np.full(len(rows_), home)),
                      batch.column("rep").take(pa.array(rows_)), v.take(pa.array(rows_))], names=["cell", "home", "rep", "v"])
 
-    placed = spread(vectors).mapInArrow(assign, "cell long, home boolean, rep long, v array<double>")
+    def count(batches):
+        here, seeking = Counter(), Counter()
+        for batch in batches:
+            x = unit(_matrix(batch.column("v")))
+            here.update(grid.home(x).tolist())
+            seeking.update(grid.traverse(x).ravel().tolist())
+        cells = list(here | seeking)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cells, pa.int64())] + [pa.array([c[k] for k in cells], pa.int64()) for c in (here, seeking)], names=["cell", "h", "s"])
+
+    kind = vectors.schema["v"].dataType.simpleString()
+    placed = spread(vectors).mapInArrow(assign, f"cell long, home boolean, rep long, v {kind}")
+    counted = spread(vectors.select("v")).mapInArrow(count, "cell long, h long, s long")
     # A cell is cut into blocks of either side, so a crowded one is many tasks; each block of one side meets each of the other.
-    sizes = placed.groupBy("cell").agg(F.count(F.when(F.col("home"), 1)).alias("h"), F.count(F.when(~F.col("home"), 1)).alias("s"))
+    sizes = counted.groupBy("cell").agg(F.sum("h").alias("h"), F.sum("s").alias("s"))
     blocks = sizes.where("h > 0 and s > 0").select(
         "cell", F.ceil(F.col("h") / BLOCK).alias("hb"), F.ceil(F.col("s") / BLOCK).alias("sb"))
     mine = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
@@ -178,12 +205,14 @@ def near_vectors(embeddings: DataFrame, least: float = LEAST) -> DataFrame:
     vectors are filled up with zeros.  Rows without an id are left out; rows with equal ids and
     vectors count as copies.
     """
-    cast = F.transform(F.col("embedding"), lambda c: c.cast("double"))
+    element = embeddings.schema["embedding"].dataType.elementType
+    kind = "float" if isinstance(element, FloatType) else "double"  # floats travel as such; cosines are of doubles
+    cast = F.transform(F.col("embedding"), lambda c: c.cast(kind))
     rows = stored(embeddings.where(F.col("vec_id").isNotNull()).select("vec_id", cast.alias("v")), "vectors")
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     usable = F.coalesce(finite & F.exists("v", lambda c: c != 0.0), F.lit(False))
     width = rows.where(usable).agg(F.max(F.size("v"))).first()[0] or 0
-    filled = F.concat("v", F.transform(F.sequence(F.lit(0), F.lit(width) - F.size("v")), lambda c: F.lit(0.0)))
+    filled = F.concat("v", F.transform(F.sequence(F.lit(0), F.lit(width) - F.size("v")), lambda c: F.lit(0.0).cast(kind)))
     filled = F.slice(filled, 1, max(1, width))
     good = rows.where(usable).select("vec_id", filled.alias("v"))
     nodes = stored(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vector-nodes")

@@ -156,6 +156,32 @@ def test_traversal_visits_nearest_cells_first():
         assert np.allclose(total[cells], np.sort(total)[:20])
 
 
+def test_traversal_of_all_cells_visits_each_once():
+    rng = np.random.default_rng(6)
+    p, q = (sorted(rng.integers(0, 4, n).tolist()) for n in (5, 9))  # many ties
+    seen = multi_index.multi_sequence(p, q, 45)
+    assert len(set(seen)) == 45
+    assert [p[i] + q[j] for i, j in seen] == sorted(a + b for a in p for b in q)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_all_links_to_planted_partners(spark, kind):
+    """The given 2,000 vectors and a partner of every second one, at cosines from 0.95 on."""
+    rng = np.random.default_rng(8)
+    x = np.array([r["embedding"] for r in table(spark, "embeddings", "/root/testdata/sf0.1")], np.float64)
+    side = rng.normal(size=x[::2].shape)
+    cosine = rng.uniform(0.95, 0.999, (len(side), 1))
+    unit = multi_index.unit(x[::2])
+    side = multi_index.unit(side - (side * unit).sum(axis=1, keepdims=True) * unit)
+    partner = cosine * unit + np.sqrt(1 - cosine ** 2) * side
+    x = np.concatenate((x, partner)).astype(np.float32 if kind == "float" else np.float64)
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), f"vec_id long, embedding array<{kind}>")
+    unit = multi_index.unit(x.astype(np.float64))
+    links = dict(enumerate(((unit @ unit.T >= 0.95).sum(axis=1) - 1).tolist()))
+    assert sum(links.values()) > 1_900
+    assert {r["vec_id"]: r["n_links"] for r in multi_index.near_vectors(frame).collect()} == links
+
+
 # shards
 
 def test_sharding(spark, docs):
