@@ -11,9 +11,10 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +25,19 @@ PART_SCHEMA = (
     "path string, kind string, part string, ordinal int, content binary, xml string, error string"
 )
 PACKAGE_SCHEMA = "path string, kind string, content binary, error string"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+# Rows of a batch that become Python objects at a time, and rows of a batch that leaves a worker.
+_TAKEN_PARTS, _TAKEN_PACKAGES, _GIVEN = 256, 16, 2_000
 
 
 @dataclass(frozen=True)
 class Caps:
-    """Optional guards; None: no limit.  ``flush_bytes`` only sizes the batches of rows."""
+    """Optional guards; None: no limit.  ``flush_bytes`` only sizes the batches of rows, which hold few rows anyway."""
 
     entry_bytes: int | None = None
     package_bytes: int | None = None
     entries: int | None = None
-    flush_bytes: int = 32 << 20
+    flush_bytes: int = 8 << 20
 
 
 _DECLARED = re.compile(r"""\A\s*<\?xml[^>]*?\sencoding\s*=\s*["']([A-Za-z0-9._-]+)["']""")
@@ -126,30 +130,45 @@ def _entries(path: str, kind: str, content: bytes, caps: Caps) -> Iterator[tuple
         yield path, kind, None, None, None, None, f"{type(err).__name__}: {err}"
 
 
+def _taken(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[tuple]:
+    """Rows of Arrow batches as tuples; only so many are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield from zip(*(column.to_pylist() for column in batch.slice(at, rows).columns))
+
+
+def _given(rows: Iterable[tuple], schema: str, flush_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches, bounded by their bytes and by their number."""
+    fields = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split() for f in schema.split(", "))])
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), fields)], schema=fields)
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+        if size >= flush_bytes or len(held) >= _GIVEN:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 def unzip_parts(files: DataFrame, caps: Caps = Caps()) -> DataFrame:
     """``(path, content)`` -> part rows; XML parts as text, others as bytes.
 
     One scan for a mix of kinds: a file that is no package is one row without a part, and with an
     error if its kind is unknown.  Its bytes do not go to a worker.
     """
-    names = [c.split()[0] for c in PART_SCHEMA.split(", ")]
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, held = [], 0
-        for batch in batches:
-            for path, kind, content in zip(batch["path"], batch["kind"], batch["content"]):
-                for row in _entries(path, kind, content or b"", caps):
-                    rows.append(row)
-                    held += len(row[4] or b"") + len(row[5] or "")
-                    if held >= caps.flush_bytes:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows, held = [], 0
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (row for path, kind, content in _taken(batches, _TAKEN_PACKAGES)
+                 for row in _entries(path, kind, content or b"", caps))
+        return _given(parts, PART_SCHEMA, caps.flush_bytes)
 
     kind = F.col("kind") if "kind" in files.columns else file_kind(F.col("path"), F.col("content"))
     return files.select("path", kind.alias("kind"), "content").withColumn(
-        "content", F.when(F.col("kind").isin(*C.PACKAGE_KINDS), F.col("content"))).mapInPandas(unpack, PART_SCHEMA)
+        "content", F.when(F.col("kind").isin(*C.PACKAGE_KINDS), F.col("content"))).mapInArrow(unpack, PART_SCHEMA)
 
 
 def _size(parts: DataFrame):
@@ -163,27 +182,32 @@ def _size(parts: DataFrame):
 def zip_parts(parts: DataFrame, caps: Caps = Caps()) -> DataFrame:
     """Part rows -> one package per path, entries in their original order.
 
-    One package is written by one task.  With caps, its size is checked first, on lengths
-    alone: a package beyond them becomes a row with an error and is never gathered.
+    One package is written by one task, which reads its rows in order and holds one package at a
+    time.  With caps, its size is checked first, on lengths alone: a package beyond them becomes a
+    row with an error and is never gathered.
     """
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            for row in group.sort_values("ordinal").itertuples():
-                stamp = zipfile.ZipInfo(row.part, (1980, 1, 1, 0, 0, 0))
-                stamp.compress_type = zipfile.ZIP_DEFLATED
-                archive.writestr(stamp, _bytes(row.part, row.xml, row.content))
-        first = group.iloc[0]
-        return pd.DataFrame([(first["path"], first["kind"], out.getvalue(), None)],
-                            columns=["path", "kind", "content", "error"])
+    def written(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for (path,), entries in groupby(rows, key=lambda row: row[:1]):
+            out, kinds = io.BytesIO(), []
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                for _, kind, part, content, xml in entries:
+                    kinds = kinds or [kind]
+                    stamp = zipfile.ZipInfo(part, (1980, 1, 1, 0, 0, 0))
+                    stamp.compress_type = zipfile.ZIP_DEFLATED
+                    archive.writestr(stamp, _bytes(part, xml, content))
+            yield path, kinds[0], out.getvalue(), None
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _given(written(_taken(batches, _TAKEN_PARTS)), PACKAGE_SCHEMA, caps.flush_bytes)
 
     rows = parts.filter("part IS NOT NULL")
     content = F.col("content") if "content" in parts.columns else F.lit(None).cast("binary")
 
     def packed(fit: DataFrame) -> DataFrame:
-        return fit.select("path", "kind", "part", "ordinal", content.alias("content"), "xml").groupBy(
-            "path").applyInPandas(pack, PACKAGE_SCHEMA)
+        ordered = fit.select("path", "kind", "part", "ordinal", content.alias("content"), "xml").repartition(
+            "path").sortWithinPartitions("path", F.col("ordinal").asc_nulls_last())
+        return ordered.select("path", "kind", "part", "content", "xml").mapInArrow(pack, PACKAGE_SCHEMA)
 
     if caps.package_bytes is None and caps.entries is None:
         return packed(rows)
