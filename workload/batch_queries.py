@@ -11,7 +11,7 @@ from inkveil.config import ALL_RULES, AnonymiseConfig, RuleSet, rule_set
 from inkveil.functions import crypto, display
 from inkveil.operators import encryption, metadata, policy, reports
 from inkveil.plans import batch
-from inkveil.session import run_folder, spread
+from inkveil.session import run_folder, settled, spread
 from inkveil.sources import files, packages, sinks
 from inkveil.sources.tables import read_table
 from inkveil.streaming import streams
@@ -119,8 +119,8 @@ PACKAGE_RULES = rule_set(C.RULE_ORDER, keywords=("that", "les", "der"))
 
 
 def _package_run(spark, folder) -> batch.PackageRun:
-    parts = metadata.check_parts(PP.body(spark, folder).unionByName(
-        PP.comments(spark, folder).withColumn("ordinal", F.lit(1))))
+    parts = settled(metadata.check_parts(PP.body(spark, folder).unionByName(
+        PP.comments(spark, folder).withColumn("ordinal", F.lit(1)))))
     return batch.anonymise_packages(parts, AnonymiseConfig(rules=PACKAGE_RULES))
 
 
@@ -149,7 +149,7 @@ def _strip_run(spark, folder, *categories: str, legacy: bool = False) -> batch.P
         p = build(spark, folder)
         parts = p if parts is None else parts.unionByName(p)
     config = AnonymiseConfig(rules=rule_set([]), categories=categories or C.CATEGORIES, legacy_gate=legacy)
-    return batch.anonymise_packages(metadata.check_parts(parts), config)
+    return batch.anonymise_packages(settled(metadata.check_parts(parts)), config)
 
 
 def _package_removed(*categories: str, legacy: bool = False):
