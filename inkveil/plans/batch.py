@@ -168,11 +168,11 @@ class PackageRun:
 
     @cached_property
     def _read(self) -> DataFrame | None:
-        """Records of files that are in the run; their kind is the file's own."""
+        """Records of files that are in the run, joined once for all results; their kind is the file's own."""
         if self._records is None:
             return None
         columns = metadata.META_COLUMNS
-        return self._records.drop("kind").join(self._others, "path").select(*columns)
+        return settled(self._records.drop("kind").join(self._others, "path").select(*columns))
 
     @cached_property
     def before(self) -> DataFrame:
